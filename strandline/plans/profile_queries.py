@@ -365,7 +365,7 @@ def distinctive_peaks(s, f):
     rs = _rounded_series(s, f)
     aligned = correlation.align_members(rs, ["nation"], "week", "flag", "net", _FLAGS)
     return b.rounded(
-        correlation.distinctive_peaks(rs, aligned, ["nation"], "week", "flag", "net", _FLAGS, 3, 0.1), ["others_mean"]
+        correlation.distinctive_peaks(rs, aligned, ["nation"], "week", "flag", "net", _FLAGS, 3, 0.1), ["others_mean"], 9
     )
 
 
@@ -373,4 +373,4 @@ Q["distinctive_peaks"] = distinctive_peaks
 SQL["distinctive_peaks"] = f"""WITH {_SQL_RSERIES}, r AS (SELECT nation, flag, week, net, row_number() OVER (PARTITION BY nation, flag ORDER BY net DESC, week) AS rank FROM rs),
 p AS (SELECT * FROM r WHERE rank <= 3),
 o AS (SELECT p.nation, p.flag, p.week, p.net, p.rank, avg(rs.net) AS others_mean FROM p JOIN rs ON rs.nation = p.nation AND rs.week = p.week AND rs.flag <> p.flag GROUP BY ALL)
-SELECT nation, flag, week, net, rank, round(others_mean, 6) AS others_mean FROM o WHERE net > others_mean + 0.1"""
+SELECT nation, flag, week, net, rank, round(others_mean, 9) AS others_mean FROM o WHERE net > others_mean + 0.1"""

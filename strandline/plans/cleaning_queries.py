@@ -304,16 +304,18 @@ zz AS (SELECT * FROM z WHERE NOT starts_with(right_title, 'red'))"""
 Q["substring_candidates"] = lambda s, f: matching.substring_candidates(_short_titles(s, f), _long_titles(s, f), "left_title", "right_title")
 SQL["substring_candidates"] = f"WITH {_SQL_FUZZY} SELECT left_title, right_title FROM a, zz WHERE contains(right_title, left_title) OR contains(left_title, right_title)"
 Q["fuzzy_substring_match"] = lambda s, f: matching.fuzzy_substring_match(
-    _short_titles(s, f), _long_titles(s, f).filter(F.col("right_title").contains(" s") | F.col("right_title").contains("bolt")), "left_title", "right_title"
+    _short_titles(s, f), _long_titles(s, f), "left_title", "right_title"
 )
+_SQL_MATCHES = _SQL_FUZZY + """, e AS (SELECT left_title, right_title, 'exact' AS match FROM a JOIN zz ON left_title = right_title),
+fz AS (SELECT left_title, min(right_title) AS right_title, 'fuzzy_substring' AS match FROM a JOIN zz ON contains(right_title, left_title)
+  WHERE left_title NOT IN (SELECT left_title FROM e) AND right_title NOT IN (SELECT left_title FROM e) GROUP BY 1)"""
+SQL["fuzzy_substring_match"] = f"WITH {_SQL_MATCHES} SELECT * FROM e UNION ALL SELECT * FROM fz"
 Q["cross_reference"] = lambda s, f: matching.cross_reference(
     matching.fuzzy_substring_match(_short_titles(s, f), _long_titles(s, f), "left_title", "right_title"),
     _short_titles(s, f), _long_titles(s, f), "left_title", "right_title",
 )
-SQL["cross_reference"] = f"""WITH {_SQL_FUZZY}, e AS (SELECT left_title FROM a JOIN zz ON left_title = right_title)
-SELECT (SELECT count(*) FROM e) AS exact_matches,
-  (SELECT count(*) FROM a WHERE left_title NOT IN (SELECT left_title FROM e) AND EXISTS (SELECT 1 FROM zz WHERE right_title NOT IN (SELECT left_title FROM e) AND starts_with(right_title, left_title || ' '))) AS fuzzy_matches,
-  (SELECT count(*) FROM a) - exact_matches - fuzzy_matches AS only_left, (SELECT count(*) FROM zz) - exact_matches - fuzzy_matches AS only_right"""
+SQL["cross_reference"] = f"""WITH {_SQL_MATCHES}, n AS (SELECT (SELECT count(*) FROM e) AS x, (SELECT count(*) FROM fz) AS y, (SELECT count(*) FROM a) AS l, (SELECT count(*) FROM zz) AS r)
+SELECT x AS exact_matches, y AS fuzzy_matches, l - x - y AS only_left, r - x - y AS only_right FROM n"""
 
 
 def alias_match(s, f):

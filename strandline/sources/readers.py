@@ -12,6 +12,7 @@ from strandline.functions import text
 LANGUAGES = ["en", "fr", "es", "nl", "ar"]
 NUMBER_LINE = r"^\d+$"
 TIMING_LINE = r"^\d{2}:\d{2}:\d{2},\d{3} --> \d{2}:\d{2}:\d{2},\d{3}$"
+TIME_OF_DAY = r"(\d{2}):(\d{2}):(\d{2}),(\d{3})"
 TIMING_LOOSE = r"(\d+):(\d+):(\d+)[,.](\d+)\s*-->\s*(\d+):(\d+):(\d+)[,.](\d+)"
 
 _TEXT = T.StringType()
@@ -85,16 +86,16 @@ def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     return parse_timed_text(named, "content")
 
 
-def _seconds(parts: Column, first: int) -> Column:
-    h, m, s, ms = (
-        F.regexp_extract(parts, TIMING_LOOSE, first + i).try_cast("double") for i in range(4)
-    )
+def _seconds(parts: Column, first: int, pattern: str = TIMING_LOOSE) -> Column:
+    h, m, s, ms = (F.regexp_extract(parts, pattern, first + i).try_cast("double") for i in range(4))
     return (h * 3600000.0 + m * 60000.0 + s * 1000.0 + ms) / 1000.0
 
 
 def parse_timed_text(files: DataFrame, content: str) -> DataFrame:
     """Entries of timed text: number, start, end, duration, cleaned text, ``ok``.
 
+    ``first_time`` is the first time of day on the timing line, even of a broken one.
+
     Entries are separated by blank lines; an entry whose number or timing cannot be
     read keeps ``ok = false`` so that it can be counted as skipped.
     """
@@ -112,6 +113,7 @@ def parse_timed_text(files: DataFrame, content: str) -> DataFrame:
         "subtitle_index",
         _seconds(F.col("_timing"), 1).alias("start_time"),
         _seconds(F.col("_timing"), 5).alias("end_time"),
+        _seconds(F.col("_timing"), 1, TIME_OF_DAY).alias("first_time"),
         text.clean_text(rest).alias("dialogue_text"),
     )
     return out.withColumn("duration", F.col("end_time") - F.col("start_time")).withColumn(

@@ -302,7 +302,7 @@ def quick_drift(
     )
 
 
-def cross_group_drift(df: DataFrame, keys: list[str], member: str, duration: str, fail: float = 3.0) -> DataFrame:
+def cross_group_drift(df: DataFrame, keys: list[str], member: str, duration: str, fail: float = 3.0, digits: int | None = 2) -> DataFrame:
     """Largest relative deviation of a member's length from the mean of its group.
 
     Mean, minimum and maximum are enough: the largest deviation belongs to one of the
@@ -324,7 +324,7 @@ def cross_group_drift(df: DataFrame, keys: list[str], member: str, duration: str
         *keys,
         "members",
         F.when(single, "PASS").when(worst > fail, "FAIL").otherwise("PASS").alias("status"),
-        F.when(single, F.lit(0.0)).otherwise(F.round(worst, 2)).alias("max_drift_percent"),
+        F.when(single, F.lit(0.0)).otherwise(worst if digits is None else F.round(worst, digits)).alias("max_drift_percent"),
         F.when(~single & (worst > fail), F.when(up > down, F.col("_high_member")).otherwise(F.col("_low_member"))).alias("worst_member"),
         F.when(single, F.lit("Only one member available")).alias("warning"),
     )

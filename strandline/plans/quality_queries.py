@@ -306,12 +306,12 @@ SELECT user_id, total_members, passed, warned, failed, round(pr, 6) AS pass_rate
 
 
 def _targets(s, f):
-    drift = quality.cross_group_drift(_durations(s, f), ["user_id"], "event_type", "duration").select("user_id", F.col("max_drift_percent").alias("group_drift"))
+    drift = quality.cross_group_drift(_durations(s, f), ["user_id"], "event_type", "duration", digits=None).select("user_id", F.col("max_drift_percent").alias("group_drift"))
     return _results(s, f).join(drift, "user_id", "left").join(_featured(s, f).withColumn("featured", F.lit(True)), "user_id", "left")
 
 
 _SQL_TARGETS = f"""{_SQL_GROUP}, {_sql_results("res", "1.0::DOUBLE")}, {_SQL_FEAT},
-tg AS (SELECT res.*, round(worst, 2) AS group_drift, feat.user_id IS NOT NULL AS featured FROM res LEFT JOIN grp USING (user_id) LEFT JOIN feat USING (user_id))"""
+tg AS (SELECT res.*, worst AS group_drift, feat.user_id IS NOT NULL AS featured FROM res LEFT JOIN grp USING (user_id) LEFT JOIN feat USING (user_id))"""
 Q["target_score"] = lambda s, f: quality.target_score(_targets(s, f), "status", "drift", "group_drift", "featured").select(
     "user_id", "event_type", "status", "priority_score", "reason"
 )
@@ -351,6 +351,11 @@ Q["diagnose_null_ids"] = lambda s, f: (
     _extents(s, f).filter(F.col("expected").isNull()).join(b.event_series(s, f), "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("record_count"), F.max("minute_offset").alias("max_minute"))
 )
 SQL["diagnose_null_ids"] = f"""WITH {_SQL_EXT} SELECT user_id, count(*) AS record_count, max(minute_offset) AS max_minute FROM event_series WHERE user_id IN (SELECT user_id FROM over WHERE expected IS NULL) GROUP BY 1"""
+Q["diagnose_null_durations"] = lambda s, f: (
+    b.event_lines(s, f).select("user_id").distinct().join(_runtimes(s, f), "user_id", "left")
+    .filter(F.col("runtime").isNull()).join(T(s, f, "customer").select(F.col("c_custkey").alias("user_id"), "c_name"), "user_id", "left").drop("runtime")
+)
+SQL["diagnose_null_durations"] = f"WITH {_SQL_TIMED} SELECT DISTINCT user_id, c_name FROM timed LEFT JOIN rt USING (user_id) LEFT JOIN customer ON c_custkey = user_id WHERE runtime IS NULL"
 Q["diagnose_name_mapping"] = lambda s, f: T(s, f, "documents").select(
     F.regexp_replace(F.concat("source", F.lit("_"), F.col("lang")), r"^.*_", "").alias("suffix"), "source"
 ).distinct()

@@ -107,6 +107,12 @@ def safe_int(c: Column | str, default: int = 0) -> Column:
     return F.coalesce(whole.try_cast("int"), F.lit(default))
 
 
+def fixed(c: Column | str, digits: int) -> Column:
+    """A number with a fixed count of decimals, rounded from its exact binary value."""
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", _col(c).cast("double"), F.lit(pattern))
+
+
 def parse_duration(c: Column | str) -> Column:
     """``1h 43m``, ``1h``, ``43m`` or ``103`` to minutes; NULL otherwise."""
     d = _col(c)

@@ -66,7 +66,8 @@ def chunk_text(df: DataFrame, column: str, max_tokens: int = 300, overlap: int =
 
     A text of at most ``max_tokens`` stays whole. Chunks start every ``max_tokens -
     overlap`` tokens until the text is used up, so the last one may consist of
-    overlap only.
+    overlap only. The chunk list is never empty; the outer explode keeps Catalyst from
+    adding a not-empty filter that would tokenise every text again below.
     """
     tokens = text.words(column)
     step = max_tokens - overlap
@@ -81,7 +82,7 @@ def chunk_text(df: DataFrame, column: str, max_tokens: int = 300, overlap: int =
         .select(
             *[c for c in df.columns if c != column],
             F.size("_c").cast("bigint").alias("total_chunks"),
-            F.posexplode("_c").alias("_i", "chunk"),
+            F.posexplode_outer("_c").alias("_i", "chunk"),
         )
         .withColumn("chunk_num", (F.col("_i") + 1).cast("bigint"))
         .drop("_i")
@@ -115,7 +116,7 @@ def chunk_with_tokenizer(
         .select(
             *[c for c in df.columns if c != column],
             F.size("_c").cast("bigint").alias("total_chunks"),
-            F.posexplode("_c").alias("_i", "chunk"),
+            F.posexplode_outer("_c").alias("_i", "chunk"),
         )
         .withColumn("chunk_num", (F.col("_i") + 1).cast("bigint"))
         .drop("_i")
@@ -358,8 +359,8 @@ def lexicon_scores(df: DataFrame, ident: str, column: str, lexicon: DataFrame) -
     ``lexicon`` has word, label and weight, each (word, label) once. Words are counted
     per text before the join, so a frequent word is one row per text.
     """
-    words = df.select(F.col(ident), F.explode(text.words(F.lower(F.col(column)))).alias("word"))
-    counted = words.groupBy(ident, "word").agg(F.count(F.lit(1)).alias("_n"))
+    words = df.select(F.col(ident), F.explode_outer(text.words(F.lower(F.col(column)))).alias("word"))
+    counted = words.filter(F.col("word").isNotNull()).groupBy(ident, "word").agg(F.count(F.lit(1)).alias("_n"))
     totals = counted.groupBy(ident).agg(F.sum("_n").alias("_all"))
     hits = counted.join(lexicon, "word").groupBy(ident, "label").agg(F.sum(F.col("_n") * F.col("weight")).alias("_s"))
     return hits.join(totals, ident).select(ident, "label", F.try_divide(F.col("_s"), F.col("_all").cast("double")).alias("score"))

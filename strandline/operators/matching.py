@@ -160,9 +160,9 @@ def containment_pairs(
         F.transform(literal, lambda x: F.when(F.length(x) < size, F.array(x)).otherwise(_grams(x, size)))
     )
     every = F.array_distinct(F.concat(*[_grams(F.col("_t"), n) for n in range(1, size + 1)]))
-    index = targets.select("_t", F.explode(every).alias("_g"))
+    index = targets.select("_t", F.explode_outer(every).alias("_g")).filter(F.col("_g").isNotNull())
     frequency = index.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
-    needed = patterns.select("_p", F.explode(F.array_distinct(keys)).alias("_g"))
+    needed = patterns.select("_p", F.explode_outer(F.array_distinct(keys)).alias("_g")).filter(F.col("_g").isNotNull())
     rarest = (
         needed.join(frequency, "_g", "left")
         .groupBy("_p")

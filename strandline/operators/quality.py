@@ -243,7 +243,7 @@ def timing_drift(
         .when((base != "FAIL") & (rest < -edge), "WARN")
         .otherwise(base)
     )
-    number = lambda c, d: F.format_string(f"%.{d}f", c)
+    number = text.fixed
     span = F.concat(F.lit("(subtitle: "), number(dur, 1), F.lit("s, film: "), number(ref, 0), F.lit("s)"))
     issues = F.array(
         F.when(ref.isNull(), "No documented length"),
@@ -708,7 +708,7 @@ def target_score(
         + F.when(d > w["drift_high_at"], w["drift_high"]).when(d > w["drift_medium_at"], w["drift_medium"]).otherwise(0)
         + F.when(g > 10, w["group_high"]).when(g > 5, w["group_medium"]).otherwise(0)
     )
-    one = lambda c: F.format_string("%.1f", c)
+    one = lambda c: text.fixed(c, 1)
     reason = F.concat_ws(
         ", ",
         F.when(feat, "Featured film"),

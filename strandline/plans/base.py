@@ -8,8 +8,26 @@ from pyspark.sql import functions as F
 from strandline.operators import series
 
 
+TEXT_TABLES = {"documents", "pages"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame, bytes_per_core: int = 32 << 20) -> DataFrame:
+    """Share a small input of few files among all cores before costly text work.
+
+    A Parquet file of one row group is one task however long its texts are. Only an
+    input with fewer files than cores and less than ``bytes_per_core`` for each of
+    them is repartitioned; a large one is left to its own splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if len(df.inputFiles()) < cores and size < cores * bytes_per_core:
+        return df.repartition(cores)
+    return df
 
 
 EVENT_DIMS = ["click", "error", "purchase", "signup", "view"]

@@ -393,24 +393,30 @@ SQL["parse_timed_text"] = f"""WITH {_SQL_TT} SELECT doc_id, i AS position, numbe
 dialogue_text, CASE WHEN ok THEN 3.0::DOUBLE END AS duration, ok FROM en"""
 
 
+def _slugged(s, f):
+    """Timed texts under the slug of their source and language."""
+    d = T(s, f, "documents").select("doc_id", F.concat_ws("_", "source", "lang").alias("film_slug"))
+    return _timed_text(s, f).join(d, "doc_id").select("film_slug", "content")
+
+
 def read_subtitles(s, f):
-    """The same entries after a trip through files, one per document."""
+    """The same entries after a trip through files; every writing task has its own file per slug."""
     path = scratch_path(s, "timed")
-    _timed_text(s, f).select(
-        F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("_en")).alias("name"), F.col("content").alias("value")
-    ).repartition("name").write.partitionBy("name").option("lineSep", "\n\n\n").text(path)
+    rows = _slugged(s, f).select(F.col("film_slug").alias("name"), F.col("content").alias("value"))
+    rows.write.partitionBy("name").option("lineSep", "\n\n\n").text(path)
     files = s.read.format("binaryFile").load(path)
-    named = files.select(F.regexp_extract("path", r"name=(doc[0-9]+_en)", 1).alias("film_slug"), readers.decode_bytes("content").alias("content"))
+    named = files.select(F.regexp_extract("path", r"name=([^/]+)/", 1).alias("film_slug"), readers.decode_bytes("content").alias("content"))
     return readers.document_metadata(readers.parse_timed_text(named, "content"))
 
 
 Q["read_subtitles"] = read_subtitles
-_SQL_META = f"""WITH {_SQL_TT} SELECT 'doc' || doc_id || '_en' AS film_slug, count(CASE WHEN ok THEN 1 END) AS total_subtitles, count(CASE WHEN NOT ok THEN 1 END) AS skipped,
-coalesce(max(CASE WHEN ok THEN end_time END) - min(CASE WHEN ok THEN start_time END), 0.0) AS total_duration, 'Doc' || doc_id AS film_name, 'en' AS language_code FROM en GROUP BY doc_id"""
+_SQL_META = f"""WITH {_SQL_TT}, sg AS (SELECT source || '_' || lang AS film_slug, en.* FROM en JOIN documents USING (doc_id)),
+g AS (SELECT film_slug, count(CASE WHEN ok THEN 1 END) AS total_subtitles, count(CASE WHEN NOT ok THEN 1 END) AS skipped,
+coalesce(max(CASE WHEN ok THEN end_time END) - min(CASE WHEN ok THEN start_time END), 0.0) AS total_duration FROM sg GROUP BY 1)
+SELECT *, array_to_string(list_transform(string_split(regexp_replace(film_slug, '_(en|ja|fr|es|nl|ar)', '', 'g'), '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS film_name,
+coalesce(nullif(regexp_extract(film_slug, '_(ja|fr|es|nl|ar)$', 1), ''), 'en') AS language_code FROM g"""
 SQL["read_subtitles"] = _SQL_META
-Q["document_metadata"] = lambda s, f: readers.document_metadata(
-    _entries(s, f).withColumn("film_slug", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("_en")))
-)
+Q["document_metadata"] = lambda s, f: readers.document_metadata(readers.parse_timed_text(_slugged(s, f), "content"))
 SQL["document_metadata"] = _SQL_META
 
 

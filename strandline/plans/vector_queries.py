@@ -346,7 +346,7 @@ def stream_sessions(s, f):
 
 
 Q["stream_sessions"] = stream_sessions
-SQL["stream_sessions"] = f"""WITH {b.SQL_EVENT_LINES}, m AS (SELECT *, CASE WHEN seconds - lag(seconds) OVER (PARTITION BY user_id ORDER BY seconds, event_id) < 18000 THEN 0 ELSE 1 END AS fresh FROM event_lines),
+SQL["stream_sessions"] = f"""WITH {b.SQL_EVENT_LINES}, m AS (SELECT *, CASE WHEN seconds - lag(seconds) OVER (PARTITION BY user_id ORDER BY seconds, event_id) <= 18000 THEN 0 ELSE 1 END AS fresh FROM event_lines),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY seconds, event_id) AS island FROM m),
 g AS (SELECT user_id, min(seconds) AS "start", max(seconds) AS "end", max(value) AS intensity, count(*) AS members FROM i GROUP BY user_id, island)
 SELECT * FROM g WHERE "end" + 18000 <= (SELECT max(seconds) FROM event_lines)"""

@@ -65,7 +65,7 @@ def read_csv_with_encodings(spark: SparkSession, path: str, schema: str) -> Data
     """
     files = spark.read.format("binaryFile").load(path)
     lines = F.split(F.regexp_replace(decode_bytes("content"), "\r\n?", "\n"), "\n")
-    rows = files.select("path", F.posexplode(lines).alias("pos", "line"))
+    rows = files.select("path", F.posexplode_outer(lines).alias("pos", "line"))
     body = rows.filter((F.col("pos") > 0) & (F.col("line") != ""))
     return body.select(F.from_csv("line", schema).alias("r")).select("r.*")
 
@@ -86,8 +86,9 @@ def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     return parse_timed_text(named, "content")
 
 
-def _seconds(parts: Column, first: int, pattern: str = TIMING_LOOSE) -> Column:
-    h, m, s, ms = (F.regexp_extract(parts, pattern, first + i).try_cast("double") for i in range(4))
+def _seconds(numbers: Column, first: int) -> Column:
+    """Seconds from four number texts (hours, minutes, seconds, milliseconds)."""
+    h, m, s, ms = (F.get(numbers, F.lit(first + i)).try_cast("double") for i in range(4))
     return (h * 3600000.0 + m * 60000.0 + s * 1000.0 + ms) / 1000.0
 
 
@@ -102,19 +103,27 @@ def parse_timed_text(files: DataFrame, content: str) -> DataFrame:
     ids = [c for c in files.columns if c != content]
     flat = F.regexp_replace(F.regexp_replace(F.col(content), "\r\n?", "\n"), "^﻿", "")
     blocks = F.filter(F.split(flat, r"\n[ \t]*\n\s*"), lambda x: F.trim(x) != "")
-    rows = files.select(*ids, F.posexplode(blocks).alias("position", "block"))
+    rows = files.select(*ids, F.posexplode_outer(blocks).alias("position", "block")).filter(F.col("block").isNotNull())
     parts = rows.withColumn("_lines", F.split(F.regexp_replace("block", r"^\n+|\n+$", ""), "\n"))
-    numbered = parts.withColumn("subtitle_index", F.trim(F.get("_lines", F.lit(0))).try_cast("bigint"))
-    timing = numbered.withColumn("_timing", F.coalesce(F.get("_lines", F.lit(1)), F.lit("")))
+    line = F.coalesce(F.get("_lines", F.lit(1)), F.lit(""))
     rest = F.array_join(F.slice("_lines", 3, F.greatest(F.size("_lines"), F.lit(1))), "\n")
-    out = timing.select(
+    fields = F.struct(
+        F.trim(F.get("_lines", F.lit(0))).try_cast("bigint").alias("number"),
+        F.when(line.rlike(TIMING_LOOSE), F.regexp_extract_all(line, F.lit(r"\d+"), F.lit(0))).alias("pair"),
+        F.regexp_extract_all(F.regexp_extract(line, TIME_OF_DAY, 0), F.lit(r"\d+"), F.lit(0)).alias("first"),
+        text.clean_text(rest).alias("text"),
+    )
+    # A one-element explode keeps later filters from being rewritten in terms of the
+    # patterns, which would evaluate them many times per row.
+    parsed = parts.select(*ids, "position", F.explode(F.array(fields)).alias("_e"))
+    out = parsed.select(
         *ids,
         "position",
-        "subtitle_index",
-        _seconds(F.col("_timing"), 1).alias("start_time"),
-        _seconds(F.col("_timing"), 5).alias("end_time"),
-        _seconds(F.col("_timing"), 1, TIME_OF_DAY).alias("first_time"),
-        text.clean_text(rest).alias("dialogue_text"),
+        F.col("_e.number").alias("subtitle_index"),
+        _seconds(F.col("_e.pair"), 0).alias("start_time"),
+        _seconds(F.col("_e.pair"), 4).alias("end_time"),
+        _seconds(F.col("_e.first"), 0).alias("first_time"),
+        F.col("_e.text").alias("dialogue_text"),
     )
     return out.withColumn("duration", F.col("end_time") - F.col("start_time")).withColumn(
         "ok", F.col("subtitle_index").isNotNull() & F.col("start_time").isNotNull() & F.col("end_time").isNotNull()

@@ -359,11 +359,11 @@ def lexicon_scores(df: DataFrame, ident: str, column: str, lexicon: DataFrame) -
     ``lexicon`` has word, label and weight, each (word, label) once. Words are counted
     per text before the join, so a frequent word is one row per text.
     """
-    words = df.select(F.col(ident), F.explode_outer(text.words(F.lower(F.col(column)))).alias("word"))
-    counted = words.filter(F.col("word").isNotNull()).groupBy(ident, "word").agg(F.count(F.lit(1)).alias("_n"))
-    totals = counted.groupBy(ident).agg(F.sum("_n").alias("_all"))
-    hits = counted.join(lexicon, "word").groupBy(ident, "label").agg(F.sum(F.col("_n") * F.col("weight")).alias("_s"))
-    return hits.join(totals, ident).select(ident, "label", F.try_divide(F.col("_s"), F.col("_all").cast("double")).alias("score"))
+    split = df.select(F.col(ident), text.words(F.lower(F.col(column))).alias("_w"))
+    words = split.select(ident, F.size("_w").alias("_all"), F.explode_outer("_w").alias("word"))
+    counted = words.filter(F.col("word").isNotNull()).groupBy(ident, "_all", "word").agg(F.count(F.lit(1)).alias("_n"))
+    hits = counted.join(lexicon, "word").groupBy(ident, "_all", "label").agg(F.sum(F.col("_n") * F.col("weight")).alias("_s"))
+    return hits.select(ident, "label", F.try_divide(F.col("_s"), F.col("_all").cast("double")).alias("score"))
 
 
 def score_text(

@@ -120,14 +120,19 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], accu
             for i, (lo, hi) in enumerate(brackets)
         ],
     ).first()
-    picks = []
+    picks, missed = [], []
     for i, (p, (lo, hi)) in enumerate(zip(probabilities, brackets)):
         rank, below, inside = p * (n - 1), second[f"b{i}"], second[f"m{i}"]
         if not (below <= rank and -(-rank // 1) <= below + inside - 1):
-            # The sketch missed the rank: widen to everything for this one.
-            lo, hi, below, inside = first["lo"], first["hi"], 0, n
-        share = 0.0 if inside == 1 else min(1.0, max(0.0, (rank - below) / (inside - 1)))
+            missed.append(i)
+        share = 0.0 if inside <= 1 else min(1.0, max(0.0, (rank - below) / (inside - 1)))
         picks.append(
             F.percentile(F.when((F.col("v") >= lo) & (F.col("v") <= hi), F.col("v")), F.lit(share)).alias(f"q{i}")
         )
-    return list(values.agg(*picks).first())
+    found = list(values.agg(*picks).first())
+    for i in missed:
+        # The sketch put the bracket beside the rank: repeat with a wider one.
+        if accuracy <= 4:
+            raise ArithmeticError(f"no bracket holds the quantile {probabilities[i]}")
+        found[i] = exact_quantiles(df, column, [probabilities[i]], max(4, accuracy // 8))[0]
+    return found

@@ -86,15 +86,18 @@ def _present(members: list[str]):
     return F.filter(F.array(*[F.col(f"`{m}`") for m in members]), lambda v: v.isNotNull())
 
 
-def divergence(aligned: DataFrame, keys: list[str], time: str, members: list[str], k: int = 3) -> DataFrame:
-    """Buckets where the members differ most (population variance, two members at least)."""
+def divergence(aligned: DataFrame, keys: list[str], time: str, members: list[str], k: int = 3, digits: int = 9) -> DataFrame:
+    """Buckets where the members differ most (population variance, two members at least).
+
+    Variances that agree in ``digits`` decimals count as ties, the earlier bucket first.
+    """
     values = _present(members)
     size = F.size(values).cast("double")
     mean = F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), size)
     spread = F.try_divide(
         F.aggregate(F.transform(values, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x), size
     )
-    scored = aligned.filter(F.size(values) > 1).withColumn("variance", spread)
+    scored = aligned.filter(F.size(values) > 1).withColumn("variance", F.round(spread, digits))
     return top_k(scored, keys, [F.col("variance").desc(), F.col(time).asc()], k).select(
         *keys, time, "variance", "rank"
     )

@@ -368,11 +368,12 @@ def similarity_network(attributes: DataFrame, min_score: int = 1) -> DataFrame:
     weight = F.when(F.col("kind") == "director", 5).otherwise(1)
     frequency = attributes.groupBy("kind", "attribute").agg(F.count(F.lit(1)).alias("_f"))
     ranked = attributes.join(frequency, ["kind", "attribute"]).filter(F.col("_f") > 1).withColumn("_w", weight)
-    tail = (
-        Window.partitionBy("entity").orderBy(F.col("_f").desc(), "kind", "attribute")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    prefix = ranked.withColumn("_tail", F.sum("_w").over(tail)).filter(F.col("_tail") >= min_score)
+    common_first = [F.col("_f").desc(), F.col("kind").asc(), F.col("attribute").asc()]
+    # Weights are at least 1, so the dropped tail is among the min_score commonest.
+    head = top_k(ranked, ["entity"], common_first, min_score, "_r")
+    tail = Window.partitionBy("entity").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
+    dropped = head.withColumn("_tail", F.sum("_w").over(tail)).filter(F.col("_tail") < min_score)
+    prefix = ranked.join(dropped.select("entity", "kind", "attribute"), ["entity", "kind", "attribute"], "left_anti")
     left = prefix.select(F.col("entity").alias("entity_a"), "kind", "attribute")
     right = prefix.select(F.col("entity").alias("entity_b"), "kind", "attribute")
     candidates = left.join(right, ["kind", "attribute"]).filter("entity_a < entity_b").select("entity_a", "entity_b").distinct()

@@ -288,19 +288,23 @@ Q["unmatched"] = lambda s, f: matching.unmatched(
 SQL["unmatched"] = "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"
 
 
+def _bracketed():
+    return F.concat(F.lit("["), F.col("p_name"), F.lit("]"))
+
+
 def _short_titles(s, f):
-    return b.table(s, f, "part").select(F.col("p_name").alias("left_title")).distinct()
+    return b.table(s, f, "part").select(_bracketed().alias("left_title")).distinct()
 
 
 def _long_titles(s, f):
     return b.table(s, f, "part").select(
-        F.when(F.col("p_size") > 40, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" "), F.lower("p_type"))).alias("right_title")
-    ).filter(~F.col("right_title").startswith("red")).distinct()
+        F.when(F.col("p_size") > 40, _bracketed()).otherwise(F.concat(_bracketed(), F.lit(" "), F.lower("p_type"))).alias("right_title")
+    ).filter(~F.col("right_title").startswith("[red")).distinct()
 
 
-_SQL_FUZZY = """a AS (SELECT DISTINCT p_name AS left_title FROM part),
-z AS (SELECT DISTINCT CASE WHEN p_size > 40 THEN p_name ELSE p_name || ' ' || lower(p_type) END AS right_title FROM part),
-zz AS (SELECT * FROM z WHERE NOT starts_with(right_title, 'red'))"""
+_SQL_FUZZY = """a AS (SELECT DISTINCT '[' || p_name || ']' AS left_title FROM part),
+z AS (SELECT DISTINCT CASE WHEN p_size > 40 THEN '[' || p_name || ']' ELSE '[' || p_name || '] ' || lower(p_type) END AS right_title FROM part),
+zz AS (SELECT * FROM z WHERE NOT starts_with(right_title, '[red'))"""
 Q["substring_candidates"] = lambda s, f: matching.substring_candidates(_short_titles(s, f), _long_titles(s, f), "left_title", "right_title")
 SQL["substring_candidates"] = f"WITH {_SQL_FUZZY} SELECT left_title, right_title FROM a, zz WHERE contains(right_title, left_title) OR contains(left_title, right_title)"
 Q["fuzzy_substring_match"] = lambda s, f: matching.fuzzy_substring_match(

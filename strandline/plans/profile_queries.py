@@ -343,10 +343,10 @@ Q["correlation_summary"] = lambda s, f: b.rounded(
 )
 SQL["correlation_summary"] = f"""WITH {_SQL_ALIGNED}, p AS ({_SQL_PAIRS}), q AS (SELECT *, member_a || '-' || member_b AS name FROM p WHERE n >= 2)
 SELECT nation, round(avg(r), 6) AS avg_correlation, arg_max(name, r) AS closest_pair, arg_min(name, r) AS most_different_pair FROM q GROUP BY nation"""
-Q["variance_by_key"] = lambda s, f: b.rounded(correlation.divergence(_aligned(s, f), ["nation"], "week", _FLAGS), ["variance"])
-SQL["variance_by_key"] = f"""WITH {b.SQL_SHIP_SERIES}, v AS (SELECT nation, week, var_pop(qty) AS variance FROM ship_series GROUP BY ALL HAVING count(qty) > 1),
+Q["variance_by_key"] = lambda s, f: b.rounded(correlation.divergence(_aligned(s, f), ["nation"], "week", _FLAGS), ["variance"], 9)
+SQL["variance_by_key"] = f"""WITH {b.SQL_SHIP_SERIES}, v AS (SELECT nation, week, round(var_pop(qty), 9) AS variance FROM ship_series GROUP BY ALL HAVING count(qty) > 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY variance DESC, week) AS rank FROM v)
-SELECT nation, week, round(variance, 6) AS variance, rank FROM r WHERE rank <= 3"""
+SELECT nation, week, variance, rank FROM r WHERE rank <= 3"""
 Q["arc_stats"] = lambda s, f: b.rounded(correlation.arc_stats(b.ship_series(s, f), ["nation"], "flag", "qty"), ["avg", "min", "max"])
 SQL["arc_stats"] = f"""WITH {b.SQL_SHIP_SERIES} SELECT nation, flag, round(avg(qty), 6) AS avg, round(min(qty), 6) AS min, round(max(qty), 6) AS max, count(qty) AS n FROM ship_series GROUP BY ALL"""
 

@@ -282,17 +282,17 @@ def compare_arcs(s, f):
     arcs = reports.compare_arcs(b.ship_series(s, f), ["nation"], "week", "flag", fd.strongest_value(D), ["A", "N", "R"])
     stats = arcs["stats"].select("nation", F.lit("stats").alias("part"), F.col("flag").alias("name"), F.round("avg", 6).alias("value"))
     pairs = arcs["correlations"].select("nation", F.lit("correlation").alias("part"), F.concat_ws("-", "member_a", "member_b").alias("name"), F.round("r", 6).alias("value"))
-    apart = arcs["divergence"].select("nation", F.lit("divergence").alias("part"), F.col("week").cast("string").alias("name"), F.round("variance", 6).alias("value"))
+    apart = arcs["divergence"].select("nation", F.lit("divergence").alias("part"), F.col("week").cast("string").alias("name"), F.col("variance").alias("value"))
     return stats.unionByName(pairs).unionByName(apart)
 
 
 Q["compare_arcs"] = compare_arcs
 SQL["compare_arcs"] = f"""WITH {b.SQL_SHIP_SERIES}, x AS (SELECT nation, flag, week, greatest({', '.join(D)}) AS v FROM ship_series),
-al AS (SELECT nation, week, max(CASE WHEN flag = 'A' THEN v END) AS a, max(CASE WHEN flag = 'N' THEN v END) AS n, max(CASE WHEN flag = 'R' THEN v END) AS r, var_pop(v) AS var, count(*) AS c FROM x GROUP BY ALL),
+al AS (SELECT nation, week, max(CASE WHEN flag = 'A' THEN v END) AS a, max(CASE WHEN flag = 'N' THEN v END) AS n, max(CASE WHEN flag = 'R' THEN v END) AS r, round(var_pop(v), 9) AS var, count(*) AS c FROM x GROUP BY ALL),
 d AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY var DESC, week) AS rn FROM al WHERE c > 1)
 SELECT nation, 'stats' AS part, flag AS name, round(avg(v), 6) AS value FROM x GROUP BY ALL UNION ALL SELECT nation, 'correlation', 'A-N', round(corr(a, n), 6) FROM al GROUP BY 1
 UNION ALL SELECT nation, 'correlation', 'A-R', round(corr(a, r), 6) FROM al GROUP BY 1 UNION ALL SELECT nation, 'correlation', 'N-R', round(corr(n, r), 6) FROM al GROUP BY 1
-UNION ALL SELECT nation, 'divergence', CAST(week AS VARCHAR), round(var, 6) FROM d WHERE rn <= 3"""
+UNION ALL SELECT nation, 'divergence', CAST(week AS VARCHAR), var FROM d WHERE rn <= 3"""
 Q["series_export"] = lambda s, f: (
     reports.series_export(b.ship_series(s, f), "week", D, b.SHIP_POSITIVE, b.SHIP_NEGATIVE, 400, 520)
     .select("nation", "flag", "week", F.round("compound", 6).alias("compound"), F.col("dominant.name").alias("dominant"), F.col("dominant.polarity").alias("polarity"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.session import cut_lineage
+from strandline.session import cut_lineage, wide_enough
 
 
 def _with_carry(marked: DataFrame, carry: DataFrame) -> DataFrame:
@@ -87,8 +87,7 @@ def global_row_ids(df: DataFrame, order: list[str], out: str = "row_id", partiti
     numbered rows are checkpointed first, so both uses read the same placement even
     when a task is repeated on another executor.
     """
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or wide_enough(df)
     placed = cut_lineage(
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)

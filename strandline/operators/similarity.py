@@ -139,17 +139,19 @@ def knn_search(
     min_score: float | None = 0.7,
     where: Column | None = None,
     query_limit: int = 4096,
+    query_values: int = 8 << 20,
     block_rows: int = 4096,
 ) -> DataFrame:
     """The k corpus vectors most similar to every query vector, above a threshold.
 
-    Up to ``query_limit`` queries travel to the tasks and each scanned batch keeps its
-    best k; the corpus is not shuffled. More queries than that go through tiles.
+    Up to ``query_limit`` queries with at most ``query_values`` numbers are broadcast and
+    each scanned batch keeps its best k; the corpus is not shuffled. More queries than
+    that go through tiles.
     """
     base = corpus.filter(where) if where is not None else corpus
     kinds, qkinds = dict(corpus.dtypes), dict(queries.dtypes)
     few = queries.select(query_id, query_vector).limit(query_limit + 1).toPandas()
-    if len(few) > query_limit:
+    if len(few) > query_limit or sum(map(len, few[query_vector])) > query_values:
         ask = _blocked(queries.withColumn("_all", F.lit(0)), query_id, "_all", query_vector, block_rows)
         data = _blocked(base.withColumn("_all", F.lit(0)), ident, "_all", vector, block_rows)
         asked = ask.agg(F.max("blocks").alias("n")).scalar()
@@ -159,14 +161,15 @@ def knn_search(
         found = _tiles(ask.withColumn("right_blocks", held), data.withColumn("left_blocks", asked), compare, schema)
         found = found.select(F.col("id_a").alias("query"), F.col("id_b").alias("match"), "score")
     else:
-        query_ids = few[query_id].tolist()
-        matrix = [[float(x) for x in v] for v in few[query_vector]]
+        shipped = corpus.sparkSession.sparkContext.broadcast(
+            (few[query_id].tolist(), [[float(x) for x in v] for v in few[query_vector]])
+        )
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             import numpy as np
 
-            q = np.array(matrix, dtype=float)
-            ids = np.array(query_ids)
+            query_ids, matrix = shipped.value
+            q, ids = np.array(matrix, dtype=float), np.array(query_ids)
             nq = np.sqrt((q * q).sum(axis=1)) if len(q) else q
             for batch in batches:
                 if batch.empty or not len(q):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import series
+from strandline.session import plan_bytes
 
 
 TEXT_TABLES = {"documents", "pages"}
@@ -24,8 +25,7 @@ def spread(df: DataFrame, bytes_per_core: int = 32 << 20) -> DataFrame:
     them is repartitioned; a large one is left to its own splits.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if len(df.inputFiles()) < cores and size < cores * bytes_per_core:
+    if len(df.inputFiles()) < cores and plan_bytes(df) < cores * bytes_per_core:
         return df.repartition(cores)
     return df
 

@@ -288,8 +288,8 @@ Q["unmatched"] = lambda s, f: matching.unmatched(
 SQL["unmatched"] = "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"
 
 
-def _bracketed():
-    return F.concat(F.lit("["), F.col("p_name"), F.lit("]"))
+def _bracketed(name=None):
+    return F.concat(F.lit("["), F.col("p_name") if name is None else name, F.lit("]"))
 
 
 def _short_titles(s, f):
@@ -297,14 +297,15 @@ def _short_titles(s, f):
 
 
 def _long_titles(s, f):
+    """The names of another catalogue: other words for one colour, often a type behind."""
+    other = _bracketed(F.replace("p_name", F.lit("red"), F.lit("crimson")))
     return b.table(s, f, "part").select(
-        F.when(F.col("p_size") > 40, _bracketed()).otherwise(F.concat(_bracketed(), F.lit(" "), F.lower("p_type"))).alias("right_title")
-    ).filter(~F.col("right_title").startswith("[red")).distinct()
+        F.when(F.col("p_size") > 40, other).otherwise(F.concat(other, F.lit(" "), F.lower("p_type"))).alias("right_title")
+    ).distinct()
 
 
-_SQL_FUZZY = """a AS (SELECT DISTINCT '[' || p_name || ']' AS left_title FROM part),
-z AS (SELECT DISTINCT CASE WHEN p_size > 40 THEN '[' || p_name || ']' ELSE '[' || p_name || '] ' || lower(p_type) END AS right_title FROM part),
-zz AS (SELECT * FROM z WHERE NOT starts_with(right_title, '[red'))"""
+_SQL_FUZZY = """a AS (SELECT DISTINCT '[' || p_name || ']' AS left_title FROM part), o AS (SELECT '[' || replace(p_name, 'red', 'crimson') || ']' AS n, p_size, p_type FROM part),
+zz AS (SELECT DISTINCT CASE WHEN p_size > 40 THEN n ELSE n || ' ' || lower(p_type) END AS right_title FROM o)"""
 Q["substring_candidates"] = lambda s, f: matching.substring_candidates(_short_titles(s, f), _long_titles(s, f), "left_title", "right_title")
 SQL["substring_candidates"] = f"WITH {_SQL_FUZZY} SELECT left_title, right_title FROM a, zz WHERE contains(right_title, left_title) OR contains(left_title, right_title)"
 Q["fuzzy_substring_match"] = lambda s, f: matching.fuzzy_substring_match(

@@ -40,6 +40,17 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the size of a result; file sizes for plain scans."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def wide_enough(df: DataFrame, target_bytes: int = 128 << 20, most: int = 20000) -> int:
+    """Number of partitions that keeps each near a target size."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(most, -(-plan_bytes(df) // target_bytes)))
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     spark = df.sparkSession

@@ -89,9 +89,16 @@ def weak_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -
     def mark(df: DataFrame):
         return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
 
-    current = cut_lineage(
-        edges.select(F.greatest(SRC, DST).alias("a"), F.least(SRC, DST).alias("b")).filter("a <> b").distinct()
+    # Nodes are numbered in the order of their ids, so the smallest number of a
+    # component is its smallest id and the rounds move short integers.
+    every = nodes.select("node_id").unionByName(endpoints(edges)).distinct()
+    number = cut_lineage(global_row_ids(every, ["node_id"], "i"))
+    ends = (
+        edges.select(SRC, DST).filter(F.col(SRC) != F.col(DST)).distinct()
+        .join(number.select(F.col("node_id").alias(SRC), F.col("i").alias("x")), SRC)
+        .join(number.select(F.col("node_id").alias(DST), F.col("i").alias("y")), DST)
     )
+    current = cut_lineage(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     state = mark(current)
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -107,11 +114,10 @@ def weak_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -
         state = new_state
     else:
         raise RuntimeError("components did not settle")
-    labels = current.groupBy("a").agg(F.min("b").alias("component"))
-    every = nodes.select("node_id").unionByName(endpoints(edges)).distinct()
-    return every.join(labels, F.col("node_id") == F.col("a"), "left").select(
-        "node_id", F.coalesce("component", "node_id").alias("component")
-    )
+    labels = current.groupBy("a").agg(F.min("b").alias("c"))
+    marked = number.join(labels, F.col("i") == F.col("a"), "left").select("node_id", F.coalesce("c", "i").alias("c"))
+    roots = number.select(F.col("i").alias("c"), F.col("node_id").alias("component"))
+    return marked.join(roots, "c").select("node_id", "component")
 
 
 def graph_metrics(nodes: DataFrame, edges: DataFrame, components: bool = True) -> DataFrame:
@@ -253,6 +259,7 @@ def ego_centrality(ego: DataFrame) -> DataFrame:
     Brandes' (2001) accumulation over the path levels, normalised for directed graphs.
     All networks advance together, keyed by (ego, source, node).
     """
+    ego = cut_lineage(ego.select("ego", SRC, DST))
     base = ego_degrees(ego)
     levels = path_levels(ego)
     incoming = union_all(

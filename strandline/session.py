@@ -41,8 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of a result; file sizes for plain scans."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the tables a plan reads.
+
+    Sizes of the scans, not of the result: Catalyst's guess for a join is the product
+    of its sides.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if "Relation" in leaf.nodeName():
+            total += int(str(leaf.stats().sizeInBytes()))
+    return total
 
 
 def wide_enough(df: DataFrame, target_bytes: int = 128 << 20, most: int = 20000) -> int:

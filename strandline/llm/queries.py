@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, token_counts
+from strandline.llm import bpe, decontaminate, quality_hosts, token_counts
 from strandline.llm.common import read
 
 
@@ -18,6 +18,14 @@ def vocabulary(name: str) -> str:
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_hosts.judged(read(spark, folder, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     return token_counts.context_limits(token_counts.length_histogram(docs, vocabulary(WORD_BPE)))
@@ -28,6 +36,8 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_decontamination": op2_decontamination,
     "op8_token_counts": op8_token_counts,
     "op10_bpe": op10_bpe,
 }

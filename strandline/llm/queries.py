@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, decontaminate, ngram_join, quality_hosts, token_counts
+from strandline.llm import bpe, decontaminate, line_dedup, ngram_join, quality_hosts, token_counts
 from strandline.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_report(read(spark, folder, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, folder, "documents"), size=4, percent=85)
 
@@ -42,6 +46,7 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
+    "op4_line_dedup": op4_line_dedup,
     "op5_ngram_join": op5_ngram_join,
     "op8_token_counts": op8_token_counts,
     "op10_bpe": op10_bpe,

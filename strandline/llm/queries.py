@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, decontaminate, line_dedup, ngram_join, quality_hosts, token_counts
+from strandline.llm import bpe, decontaminate, lattice_lm, line_dedup, ngram_join, quality_hosts, token_counts
 from strandline.llm.common import read
 
 
@@ -39,6 +39,10 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.context_limits(token_counts.length_histogram(docs, vocabulary(WORD_BPE)))
 
 
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice_lm.scores(read(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(read(spark, folder, "documents"), vocabulary(WORD_BPE))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_ngram_join": op5_ngram_join,
     "op8_token_counts": op8_token_counts,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_bpe": op10_bpe,
 }
 SQL: dict[str, str] = {}

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import SPACE, col, free_names, stored
-from strandline.llm.prefix_join import cross_pairs, live_postings, prefix_size, star_pairs, verified
+from strandline.llm.prefix_join import cross_pairs, live_postings, members, prefix_size, star_pairs, verified
 from strandline.llm.quality_hosts import trimmed_words, windows
 
 SIZE = 5
@@ -87,12 +87,15 @@ def first_lines(docs: DataFrame, percent: int = PERCENT, text: str = "text") ->
     classes = stored(classes.select(F.monotonically_increasing_id().alias("rep"), "first", "x.n", "x.prefix"), "line-classes")
     live = live_postings(classes)
 
-    wanted = stored(classes.join(live.select("rep").distinct(), "rep").select("rep", "first.*"), "wanted-lines")
-    ids = wanted.select("doc_id", "th").distinct()
-    near = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]) & (F.xxhash64("text") == ids["th"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = _sets(_lines(near), ["doc_id", "th", "pos"])
-    same = sets["doc_id"].eqNullSafe(wanted["doc_id"]) & (sets["th"] == wanted["th"]) & (sets["pos"] == wanted["pos"])
-    sets = stored(sets.join(wanted, same).select("rep", "tokens"), "line-sets")
+    def checked(pairs: DataFrame) -> DataFrame:
+        """The links among the pairs; only documents with their members are read again."""
+        pairs = stored(pairs.select("a", "b", "na", "nb"), "line-pairs")
+        wanted = stored(classes.join(members(pairs), "rep").select("rep", "first.*"), "wanted-lines")
+        ids = stored(wanted.select("doc_id", "th").distinct(), "wanted-texts")
+        near = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]) & (F.xxhash64("text") == ids["th"]), "left_semi")
+        sets = _sets(_lines(near), ["doc_id", "th", "pos"])
+        same = sets["doc_id"].eqNullSafe(wanted["doc_id"]) & (sets["th"] == wanted["th"]) & (sets["pos"] == wanted["pos"])
+        return verified(pairs, stored(sets.join(wanted, same).select("rep", "tokens"), "line-sets"), percent)
 
     firsts = classes.select("rep", "first")
 
@@ -101,11 +104,11 @@ def first_lines(docs: DataFrame, percent: int = PERCENT, text: str = "text") ->
             links = links.join(firsts.select(F.col("rep").alias(side), F.col("first").alias(f"first_{side}")), side)
         return links.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("rep")).distinct()
 
-    gone = stored(later(verified(star_pairs(live, percent), sets, percent)), "later-lines")
+    gone = stored(later(checked(star_pairs(live, percent))), "later-lines")
     ordered = live.join(firsts, "rep")
     open_ = ordered.join(gone, "rep", "left_anti")
     across = cross_pairs(ordered, open_, lambda x, y: x("first") < y("first"), percent)
-    more = verified(across, sets, percent).select(F.col("b").alias("rep"))
+    more = checked(across).select(F.col("b").alias("rep"))
     gone = stored(gone.unionAll(more).distinct(), "gone-lines")
     return classes.join(gone, "rep", "left_anti").select("first.*")
 

@@ -53,13 +53,20 @@ def possible(side_a: dict[str, Column], side_b: dict[str, Column], percent: int)
 
 
 def sides(side_a: dict[str, Column], side_b: dict[str, Column]) -> list[Column]:
-    return [c.alias(SHORT[f] + s) for s, cols in (("a", side_a), ("b", side_b)) for f, c in cols.items() if f in ("rep", "n", "pos")]
+    return [c.alias(SHORT[f] + s) for s, cols in (("a", side_a), ("b", side_b)) for f, c in cols.items() if f != "most"]
 
 
 def pairs_of(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb, common) where the shared keys and what lies behind the last of them suffice."""
-    pairs = shared.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    return pairs.where(enough(F.col("common") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1, percent))
+    """(a, b, na, nb, common) where the shared keys leave room for the similarity.
+
+    The prefix that ends first shares only keys with the other prefix, so the overlap is at
+    most these and what its set has behind its prefix; behind the last shared key it is no
+    more than either side has left.
+    """
+    pairs = shared.groupBy("a", "b", "na", "nb", "wa", "wb").agg(F.count(F.lit(1)).alias("common"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    behind = F.when(F.col("wa") <= F.col("wb"), F.col("na") - prefix_size(F.col("na"), percent)).otherwise(F.col("nb") - prefix_size(F.col("nb"), percent))
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    return pairs.where(enough(F.col("common") + F.least(behind, left), percent)).select("a", "b", "na", "nb", "common")
 
 
 def star_pairs(live: DataFrame, percent: int) -> DataFrame:
@@ -98,4 +105,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs = pairs.where(enough((F.col("na") + F.col("nb") - apart) / 2, percent)).select("a", "b", "na", "nb")
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
-    return pairs.where(enough(F.size(F.array_intersect("tokens_a", "tokens_b")), percent)).select("a", "b")
+    return pairs.where(enough(F.size(F.array_intersect("tokens_a", "tokens_b")), percent)).select("a", "b").distinct()
+
+
+def members(pairs: DataFrame) -> DataFrame:
+    """(rep) of every class in the pairs, once."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()

@@ -121,14 +121,13 @@ def judged(docs: DataFrame, host: str = "source", text: str = "text") -> DataFra
 def good_documents(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The rows that pass, in their columns.
 
-    Texts aren't shuffled while rejected hosts are few enough for Spark to broadcast them;
-    measures are taken twice instead, once for the hosts.
+    Rows are stored with their measures once: a filter on measures that aren't stored would be
+    pushed below them and take them again. Texts aren't shuffled while rejected hosts are few
+    enough for Spark to broadcast them.
     """
     frame, names = measured(docs, text, "q_")
-    slim = docs.select(col(text).alias("text"), col(host).alias("host"))
-    slim, short = measured(slim)
-    verdicts = stored(host_verdicts(slim, short, "host").where("host_rejected").select("host_key"), "rejected-hosts")
-    [key] = free_names(frame, "_host_key")
-    kept = frame.where(~base_failed(names)).withColumn(key, host_key(col(host)))
-    kept = kept.join(verdicts, kept[key] == verdicts["host_key"], "left_anti")
+    frame = stored(frame, "measured-documents")
+    rejected = stored(host_verdicts(frame, names, host).where("host_rejected").select("host_key"), "rejected-hosts")
+    kept = frame.where(~F.coalesce(base_failed(names), F.lit(False)))
+    kept = kept.join(rejected, host_key(kept[host]) == rejected["host_key"], "left_anti")
     return kept.select(*[col(c) for c in docs.columns])

@@ -96,14 +96,17 @@ def host_verdicts(frame: DataFrame, names: dict[str, str], host: str = "source",
         F.count(F.lit(1)).alias("n_docs"), *[F.sum(failed(r, names).cast("bigint")).alias(f"{r}_n") for r in RULES]
     )
     hosts = stored(counts, "host-counts")
-    for rule in RULES:
-        rate = F.col(f"{rule}_n") / F.col("n_docs")
-        mean = hosts.agg(F.sum(f"{rule}_n") / F.sum("n_docs")).scalar()
-        spread = hosts.agg(F.coalesce(F.var_samp(rate), F.lit(0.0))).scalar()
+    rate = {r: F.col(f"{r}_n") / F.col("n_docs") for r in RULES}
+    means = [(F.sum(f"{r}_n") / F.sum("n_docs")).alias(f"{r}_mean") for r in RULES]
+    spreads = [F.coalesce(F.var_samp(rate[r]), F.lit(0.0)).alias(f"{r}_spread") for r in RULES]
+    prior = hosts.agg(F.struct(*means, *spreads)).scalar()
+    shrunk = []
+    for r in RULES:
+        mean, spread = prior[f"{r}_mean"], prior[f"{r}_spread"]
         strength = F.when(spread > 0, F.greatest(mean * (1 - mean) / spread - 1, F.lit(1.0))).otherwise(F.lit(STRONGEST))
-        hosts = hosts.withColumn(f"{rule}_rate", (F.col(f"{rule}_n") + mean * strength) / (F.col("n_docs") + strength))
-    rejected = F.greatest(*[F.col(f"{r}_rate") for r in RULES]) > limit
-    return hosts.select("host_key", "n_docs", *[f"{r}_rate" for r in RULES], rejected.alias("host_rejected"))
+        shrunk.append(((F.col(f"{r}_n") + mean * strength) / (F.col("n_docs") + strength)).alias(f"{r}_rate"))
+    rates = hosts.select("host_key", "n_docs", *shrunk)
+    return rates.withColumn("host_rejected", F.greatest(*[F.col(f"{r}_rate") for r in RULES]) > limit)
 
 
 def judged(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, decontaminate, lattice_lm, line_dedup, ngram_join, quality_hosts, token_counts
+from strandline.llm import bpe, decontaminate, lattice_lm, line_dedup, ngram_join, quality_hosts, token_counts, url_graph
 from strandline.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_graph.judged(read(spark, folder, "pages"), url_graph.RULES)
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(read(spark, folder, "documents"))
 
@@ -50,6 +54,7 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
+    "op3_url_filters": op3_url_filters,
     "op4_line_dedup": op4_line_dedup,
     "op5_ngram_join": op5_ngram_join,
     "op8_token_counts": op8_token_counts,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, decontaminate, lattice_lm, line_dedup, ngram_join, quality_hosts, token_counts, url_graph
+from strandline.llm import bpe, decontaminate, lattice_lm, line_dedup, ngram_join, pii, quality_hosts, token_counts, url_graph
 from strandline.llm.common import read
 
 
@@ -38,6 +38,15 @@ def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, folder, "documents"), size=4, percent=85)
 
 
+#: Key of the registered query's pseudonyms; users bring their own secret.
+QUERY_KEY = "strandline"
+
+
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymised(docs, QUERY_KEY)
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     return token_counts.context_limits(token_counts.length_histogram(docs, vocabulary(WORD_BPE)))
@@ -57,6 +66,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_line_dedup": op4_line_dedup,
     "op5_ngram_join": op5_ngram_join,
+    "op6_pii": op6_pii,
     "op8_token_counts": op8_token_counts,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_bpe": op10_bpe,

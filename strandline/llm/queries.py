@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, decontaminate, lattice_lm, line_dedup, ngram_join, pii, quality_hosts, token_counts, url_graph
+from strandline.llm import bpe, decontaminate, lattice_lm, licences, line_dedup, ngram_join, pii, quality_hosts, token_counts, url_graph
 from strandline.llm.common import read
 
 
@@ -47,6 +47,10 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pseudonymised(docs, QUERY_KEY)
 
 
+def op7_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scanned(read(spark, folder, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     return token_counts.context_limits(token_counts.length_histogram(docs, vocabulary(WORD_BPE)))
@@ -67,6 +71,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_ngram_join": op5_ngram_join,
     "op6_pii": op6_pii,
+    "op7_license_scans": op7_license_scans,
     "op8_token_counts": op8_token_counts,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_bpe": op10_bpe,

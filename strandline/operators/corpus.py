@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from strandline.functions import dims as fd
 from strandline.functions import text
-from strandline.operators.ordered import chunked_running_sum, global_row_ids, top_k
+from strandline.operators.ordered import global_row_ids, top_k
 from strandline.operators.series import lines_of_peaks
 
 # Patterns of the answer rubric and its weights.
@@ -173,10 +174,11 @@ def joined_lines(
 ) -> DataFrame:
     """The lines of every key joined by blanks and cut to a length.
 
-    Every line adds at least its separator, so the first ``limit + 1`` lines decide
-    the result; no more than those are gathered for one key.
+    NULL lines add nothing, not even a separator, and are ordered last. Every other line but the
+    first adds its separator at least, so ``limit + 2`` of them are longer than ``limit`` and
+    decide the cut text; no more are gathered for one key.
     """
-    first = top_k(lines, keys, [F.col(c).asc() for c in order], limit + 1, "_rank")
+    first = top_k(lines, keys, [F.col(line).isNull().asc(), *[F.col(c).asc() for c in order]], limit + 2, "_rank")
     packed = first.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("_rank", F.col(line).alias("line")))).alias("_l")
     )
@@ -356,14 +358,18 @@ def narrative_excerpts(
 def lexicon_scores(df: DataFrame, ident: str, column: str, lexicon: DataFrame) -> DataFrame:
     """Sum of the lexicon weights of a text's words per label, over its number of words.
 
-    ``lexicon`` has word, label and weight, each (word, label) once. Words are counted
+    ``lexicon`` has word, label and weight, each (word, label) once. Every text has a row for
+    every label, 0 where no word of it occurs (also for texts without words). Words are counted
     per text before the join, so a frequent word is one row per text.
     """
     split = df.select(F.col(ident), text.words(F.lower(F.col(column))).alias("_w"))
     words = split.select(ident, F.size("_w").alias("_all"), F.explode_outer("_w").alias("word"))
     counted = words.filter(F.col("word").isNotNull()).groupBy(ident, "_all", "word").agg(F.count(F.lit(1)).alias("_n"))
     hits = counted.join(lexicon, "word").groupBy(ident, "_all", "label").agg(F.sum(F.col("_n") * F.col("weight")).alias("_s"))
-    return hits.select(ident, "label", F.try_divide(F.col("_s"), F.col("_all").cast("double")).alias("score"))
+    found = hits.select(ident, "label", F.try_divide(F.col("_s"), F.col("_all").cast("double")).alias("score"))
+    labels = lexicon.agg(F.array_sort(F.collect_set("label"))).scalar()
+    every = df.select(ident, F.explode(labels).alias("label")).distinct()
+    return every.join(found, [ident, "label"], "left").select(ident, "label", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def score_text(
@@ -399,26 +405,40 @@ def running_cost_ledger(
     fallback: str,
     limit: float = 20.0,
     thresholds: tuple[float, ...] = (5.0, 10.0, 15.0),
-    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Cost of every call, running total per session, thresholds crossed, calls over the limit.
 
     ``usage`` has input_tokens and output_tokens, ``prices`` input and output prices per
-    1000 tokens and model; unknown models pay the fallback model's price. Every call is
-    charged, so rows from the first one at or above the limit on are marked rejected.
+    1000 tokens and model; unknown models pay the fallback model's price. A call that would
+    bring its session's total to the limit is rejected and not charged, and a cheaper one
+    behind it may still pass. Whether a call passes depends on all before it, so each session
+    is read in its order; only its running total is kept, however long it is.
     """
     default = prices.filter(F.col("model") == fallback).select(F.struct("input", "output").alias("p")).scalar()
     known = prices.select(F.col("model").alias("_m"), F.struct("input", "output").alias("_p"))
     priced = usage.join(known, F.col(model) == F.col("_m"), "left").withColumn("_p", F.coalesce(F.col("_p"), default))
     cost = F.col("input_tokens") / 1000.0 * F.col("_p.input") + F.col("output_tokens") / 1000.0 * F.col("_p.output")
     charged = priced.withColumn("cost", cost).drop("_m", "_p")
-    if chunk_rows:
-        total = chunked_running_sum(charged, [session], [seq], F.col("cost"), "session_total", F.floor(F.col(seq) / chunk_rows))
-    else:
-        w = Window.partitionBy(session).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-        total = charged.withColumn("session_total", F.sum("cost").over(w))
-    before = F.col("session_total") - F.col("cost")
+    names = charged.columns
+    result = StructType([*charged.schema.fields, StructField("session_total", DoubleType()), StructField("_before", DoubleType()), StructField("rejected", BooleanType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        started, current, total = False, None, 0.0
+        for batch in batches:
+            after, before, rejected = [], [], []
+            for key, price in zip(batch[session], batch["cost"]):
+                if not started or (key != current and not (pd.isna(key) and pd.isna(current))):
+                    started, current, total = True, key, 0.0
+                over = total + price >= limit
+                before.append(total)
+                total = total if over else total + price
+                after.append(total)
+                rejected.append(over)
+            yield batch[names].assign(session_total=after, _before=before, rejected=rejected)
+
+    ordered = charged.repartition(session).sortWithinPartitions(session, seq)
+    out = ordered.mapInPandas(run, result)
     crossed = F.filter(
-        F.array(*[F.when((before < t) & (F.col("session_total") >= t), F.lit(t)) for t in thresholds]), lambda x: x.isNotNull()
+        F.array(*[F.when((F.col("_before") < t) & (F.col("session_total") >= t), F.lit(t)) for t in thresholds]), lambda x: x.isNotNull()
     )
-    return total.withColumn("thresholds_crossed", crossed).withColumn("rejected", F.col("session_total") >= limit)
+    return out.select(*names, "session_total", crossed.alias("thresholds_crossed"), "rejected")

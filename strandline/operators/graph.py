@@ -77,7 +77,7 @@ def edge_type_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("edge_type").agg(F.count(F.lit(1)).alias("edges"))
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Component label (smallest node id) of every node.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014) over distinct
@@ -100,7 +100,7 @@ def weak_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -
     )
     current = cut_lineage(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     state = mark(current)
-    for _ in range(max_rounds):
+    while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -112,8 +112,6 @@ def weak_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -
         if new_state == state:
             break
         state = new_state
-    else:
-        raise RuntimeError("components did not settle")
     labels = current.groupBy("a").agg(F.min("b").alias("c"))
     marked = number.join(labels, F.col("i") == F.col("a"), "left").select("node_id", F.coalesce("c", "i").alias("c"))
     roots = number.select(F.col("i").alias("c"), F.col("node_id").alias("component"))
@@ -225,7 +223,7 @@ def ego_degrees(ego: DataFrame) -> DataFrame:
     )
 
 
-def path_levels(ego: DataFrame, max_depth: int = 64) -> list[DataFrame]:
+def path_levels(ego: DataFrame) -> list[DataFrame]:
     """Directed shortest paths inside every ego network, one frame per distance.
 
     Rows are (ego, s, v, sigma): sigma shortest paths lead from s to v. The frontier
@@ -239,7 +237,7 @@ def path_levels(ego: DataFrame, max_depth: int = 64) -> list[DataFrame]:
     level = steps.select("ego", F.col("u").alias("s"), F.col("w").alias("v"), F.lit(1.0).alias("sigma"))
     levels = [level]
     seen = level.select("ego", "s", "v")
-    for _ in range(max_depth):
+    while True:
         onward = (
             levels[-1].withColumnRenamed("v", "u").join(steps, ["ego", "u"]).filter(F.col("w") != F.col("s"))
             .groupBy("ego", "s", F.col("w").alias("v")).agg(F.sum("sigma").alias("sigma"))
@@ -249,7 +247,6 @@ def path_levels(ego: DataFrame, max_depth: int = 64) -> list[DataFrame]:
             return levels
         levels.append(fresh)
         seen = seen.unionByName(fresh.select("ego", "s", "v"))
-    raise RuntimeError("paths are longer than max_depth")
 
 
 def ego_centrality(ego: DataFrame) -> DataFrame:

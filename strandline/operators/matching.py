@@ -149,12 +149,13 @@ def containment_pairs(
     looks up the one of its grams that is rarest among the targets (or itself, when
     shorter than a gram), so the join is an equality join and common grams are not
     used; the containment is verified on the few candidates. With ``wildcard`` an
-    underscore of the pattern matches any character, as in SQL LIKE. Blank patterns
-    match nothing.
+    underscore of the pattern matches any character and a percent sign any run of them,
+    as in SQL LIKE; a pattern of wildcards alone asks for a length, so it looks up all
+    lengths from there (those of a pattern without a percent sign count as found inside). Blank patterns match nothing.
     """
     patterns = short.select(F.col(pattern).alias("_p")).filter(F.col("_p") != "").distinct()
     targets = long.select(F.col(target).alias("_t")).filter(F.col("_t") != "").distinct()
-    pieces = F.split("_p", "_") if wildcard else F.array("_p")
+    pieces = F.split("_p", "[_%]") if wildcard else F.array("_p")
     literal = F.filter(pieces, lambda x: x != "")
     keys = F.flatten(
         F.transform(literal, lambda x: F.when(F.length(x) < size, F.array(x)).otherwise(_grams(x, size)))
@@ -169,7 +170,14 @@ def containment_pairs(
         .agg(F.min_by("_g", F.struct(F.coalesce(F.col("_f"), F.lit(0)).alias("f"), F.col("_g").alias("g"))).alias("_g"))
     )
     check = F.expr("_t LIKE concat('%', _p, '%')") if wildcard else F.col("_t").contains(F.col("_p"))
-    return rarest.join(index, "_g").filter(check).select(F.col("_p").alias(pattern), F.col("_t").alias(target))
+    found = rarest.join(index, "_g").filter(check).select("_p", "_t")
+    if wildcard:
+        loose = patterns.filter(F.col("_p").rlike("^[_%]+$")).withColumn("_n", F.length(F.regexp_replace("_p", "%", "")))
+        lengths = targets.select("_t", F.length("_t").alias("_l"))
+        asked = loose.withColumn("_top", lengths.agg(F.max("_l")).scalar()).filter("_n <= _top")
+        asked = asked.select("_p", F.explode(F.sequence("_n", "_top")).alias("_l"))
+        found = found.unionByName(asked.join(lengths, "_l").select("_p", "_t"))
+    return found.select(F.col("_p").alias(pattern), F.col("_t").alias(target))
 
 
 def pattern_join(df: DataFrame, dimension: DataFrame, title: str, slug: str) -> DataFrame:

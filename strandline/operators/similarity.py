@@ -17,11 +17,18 @@ from strandline.functions import vectors as fv
 from strandline.operators.ordered import top_k
 
 
-def _blocked(df: DataFrame, ident: str, group: str, vector: str, rows: int) -> DataFrame:
-    """Vectors with their block number and the number of blocks of their group."""
-    sizes = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("blocks"))
-    return df.join(sizes, group).select(
-        F.col(group).alias("g"),
+def _blocked(df: DataFrame, ident: str, group: str | None, vector: str, rows: int) -> DataFrame:
+    """Vectors with their block number and the number of blocks of their group.
+
+    Without a group all vectors are one, and its number of blocks is a scalar.
+    """
+    blocks = F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int")
+    if group is None:
+        sized = df.withColumn("blocks", df.agg(F.greatest(blocks, F.lit(1))).scalar())
+    else:
+        sized = df.join(df.groupBy(group).agg(blocks.alias("blocks")), group)
+    return sized.select(
+        (F.lit(0) if group is None else F.col(group)).alias("g"),
         F.col(ident).alias("id"),
         F.col(vector).cast("array<double>").alias("vec"),
         "blocks",
@@ -32,6 +39,11 @@ def _blocked(df: DataFrame, ident: str, group: str, vector: str, rows: int) -> D
 def _tile(id_type: str, group_type: str, metric: str, k: int | None, skip_same: bool, min_score: float | None):
     schema = f"g {group_type}, id_a {id_type}, id_b {id_type}, score double"
 
+    def mirrored(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """A tile above the diagonal stands for its mirror image too."""
+        here = compare(left, right)
+        return here if key[1] == key[2] else pd.concat([here, compare(right, left)], ignore_index=True)
+
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
@@ -63,12 +75,23 @@ def _tile(id_type: str, group_type: str, metric: str, k: int | None, skip_same:
             return empty
         return pd.DataFrame({"g": left["g"].iloc[0], "id_a": ids_a[i], "id_b": ids_b[j], "score": score[i, j]})
 
-    return compare, schema
+    return compare, mirrored, schema
+
+
+def _half_tiles(side: DataFrame, mirrored, schema: str) -> DataFrame:
+    """All tiles of one table with itself, each pair of blocks once."""
+    left = side.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    right = side.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block"))))
+    return _matched(left, right, mirrored, schema)
 
 
 def _tiles(left: DataFrame, right: DataFrame, compare, schema: str) -> DataFrame:
     a = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1)))
     b = right.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)))
+    return _matched(a, b, compare, schema)
+
+
+def _matched(a: DataFrame, b: DataFrame, compare, schema: str) -> DataFrame:
     a = a.select("g", F.col("block").alias("bi"), F.col("other").alias("bj"), "id", "vec")
     # Fresh aliases: both sides may come from the same table.
     b = b.select(
@@ -83,9 +106,8 @@ def cosine_topk(
 ) -> DataFrame:
     """The k most similar other vectors of the same group, exact, ties by id."""
     kinds = dict(df.dtypes)
-    side = _blocked(df, ident, group, vector, block_rows).withColumn("left_blocks", F.col("blocks")).withColumn("right_blocks", F.col("blocks"))
-    compare, schema = _tile(kinds[ident], kinds[group], "cosine", k, True, None)
-    found = _tiles(side, side, compare, schema)
+    _, mirrored, schema = _tile(kinds[ident], kinds[group], "cosine", k, True, None)
+    found = _half_tiles(_blocked(df, ident, group, vector, block_rows), mirrored, schema)
     return top_k(found, ["g", "id_a"], [F.col("score").desc(), F.col("id_b").asc()], k).withColumnRenamed("g", group)
 
 
@@ -96,10 +118,8 @@ def distance_matrix(profiles: DataFrame, ident: str, vector: str, block_rows: in
     entity); use :func:`cosine_topk` for long tables.
     """
     kinds = dict(profiles.dtypes)
-    one = profiles.withColumn("_all", F.lit(0))
-    side = _blocked(one, ident, "_all", vector, block_rows).withColumn("left_blocks", F.col("blocks")).withColumn("right_blocks", F.col("blocks"))
-    compare, schema = _tile(kinds[ident], "int", "euclidean", None, False, None)
-    pairs = _tiles(side, side, compare, schema).select("id_a", "id_b", F.col("score").alias("distance"))
+    _, mirrored, schema = _tile(kinds[ident], "int", "euclidean", None, False, None)
+    pairs = _half_tiles(_blocked(profiles, ident, None, vector, block_rows), mirrored, schema).select("id_a", "id_b", F.col("score").alias("distance"))
     largest = pairs.filter("id_a <> id_b").agg(F.coalesce(F.max("distance"), F.lit(0.0)).alias("m")).scalar()
     return (
         pairs.withColumn("_m", largest)
@@ -135,63 +155,73 @@ def knn_search(
     vector: str,
     query_id: str,
     query_vector: str,
+    *,
     k: int = 5,
     min_score: float | None = 0.7,
     where: Column | None = None,
-    query_limit: int = 4096,
-    query_values: int = 8 << 20,
     block_rows: int = 4096,
 ) -> DataFrame:
     """The k corpus vectors most similar to every query vector, above a threshold.
 
-    Up to ``query_limit`` queries with at most ``query_values`` numbers are broadcast and
-    each scanned batch keeps its best k; the corpus is not shuffled. More queries than
-    that go through tiles.
+    Exact for any number of queries and corpus vectors, by one plan: blocks of queries meet
+    blocks of the corpus, and a tile passes on only k rows a query. Each corpus vector is
+    copied once for every block of queries.
     """
     base = corpus.filter(where) if where is not None else corpus
     kinds, qkinds = dict(corpus.dtypes), dict(queries.dtypes)
-    few = queries.select(query_id, query_vector).limit(query_limit + 1).toPandas()
-    if len(few) > query_limit or sum(map(len, few[query_vector])) > query_values:
-        ask = _blocked(queries.withColumn("_all", F.lit(0)), query_id, "_all", query_vector, block_rows)
-        data = _blocked(base.withColumn("_all", F.lit(0)), ident, "_all", vector, block_rows)
-        asked = ask.agg(F.max("blocks").alias("n")).scalar()
-        held = data.agg(F.max("blocks").alias("n")).scalar()
-        compare, schema = _tile(kinds[ident], "int", "cosine", k, False, min_score)
-        schema = schema.replace("id_a " + kinds[ident], "id_a " + qkinds[query_id])
-        found = _tiles(ask.withColumn("right_blocks", held), data.withColumn("left_blocks", asked), compare, schema)
-        found = found.select(F.col("id_a").alias("query"), F.col("id_b").alias("match"), "score")
-    else:
-        shipped = corpus.sparkSession.sparkContext.broadcast(
-            (few[query_id].tolist(), [[float(x) for x in v] for v in few[query_vector]])
-        )
+    ask = _blocked(queries, query_id, None, query_vector, block_rows)
+    data = _blocked(base, ident, None, vector, block_rows)
+    size = lambda df: df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int"), F.lit(1))).scalar()
+    compare, _, schema = _tile(kinds[ident], "int", "cosine", k, False, min_score)
+    schema = schema.replace("id_a " + kinds[ident], "id_a " + qkinds[query_id])
+    found = _tiles(ask.withColumn("right_blocks", size(base)), data.withColumn("left_blocks", size(queries)), compare, schema)
+    found = found.select(F.col("id_a").alias("query"), F.col("id_b").alias("match"), "score")
+    return top_k(found, ["query"], [F.col("score").desc(), F.col("match").asc()], k)
 
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import numpy as np
-
-            query_ids, matrix = shipped.value
-            q, ids = np.array(matrix, dtype=float), np.array(query_ids)
-            nq = np.sqrt((q * q).sum(axis=1)) if len(q) else q
-            for batch in batches:
-                if batch.empty or not len(q):
-                    continue
-                batch = batch.sort_values("id", kind="stable")
-                v = np.vstack(batch["vec"].to_numpy())
-                length = nq[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
-                score = np.divide(q @ v.T, length, out=np.zeros(length.shape), where=length > 0)
-                ranked = score if min_score is None else np.where(score >= min_score, score, -np.inf)
-                order = np.argsort(-ranked, axis=1, kind="stable")[:, :k]
-                i = np.repeat(np.arange(len(q)), order.shape[1])
-                j = order.ravel()
-                keep = np.isfinite(ranked[i, j])
-                i, j = i[keep], j[keep]
-                yield pd.DataFrame({"query": ids[i], "match": batch["id"].to_numpy()[j], "score": score[i, j]})
-
-        found = base.select(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("vec")).mapInPandas(
-            search, f"query {qkinds[query_id]}, match {kinds[ident]}, score double"
-        )
+
+def knn_approximate(
+    corpus: DataFrame,
+    queries: DataFrame,
+    ident: str,
+    vector: str,
+    query_id: str,
+    query_vector: str,
+    *,
+    width: int,
+    k: int = 5,
+    tables: int = 12,
+    planes: int = 8,
+    seed: int = 17,
+) -> DataFrame:
+    """The k most similar vectors among those that share a hash with the query in one of the tables.
+
+    Random hyperplanes give each vector one bit a plane; ``planes`` bits are the key of a table.
+    Candidates come from equality joins, so the corpus isn't compared as a whole; every vector is
+    indexed. Set the result against :func:`knn_search` with :func:`recall` to choose the numbers.
+    """
+    import random
+
+    draw = random.Random(seed)
+    normals = [[[draw.gauss(0, 1) for _ in range(width)] for _ in range(planes)] for _ in range(tables)]
+
+    def keys(column: str) -> Column:
+        vec = F.col(column).cast("array<double>")
+        bit = lambda n: F.when(fv.dot(vec, F.array(*[F.lit(x) for x in n])) > 0, "1").otherwise("0")
+        return F.array(*[F.concat(F.lit(f"{t}:"), *[bit(n) for n in normals[t]]) for t in range(tables)])
+
+    data = corpus.select(F.col(ident).alias("match"), F.col(vector).alias("_v"), F.explode(keys(vector)).alias("_key"))
+    ask = queries.select(F.col(query_id).alias("query"), F.col(query_vector).alias("_q"), F.explode(keys(query_vector)).alias("_key"))
+    near = data.join(ask, "_key").groupBy("query", "match").agg(F.first("_v").alias("_v"), F.first("_q").alias("_q"))
+    found = near.select("query", "match", fv.cosine(F.col("_q").cast("array<double>"), F.col("_v").cast("array<double>")).alias("score"))
     return top_k(found, ["query"], [F.col("score").desc(), F.col("match").asc()], k)
 
 
+def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
+    """Share of the exact (query, match) rows that were found, over all queries."""
+    marked = exact.select("query", "match").join(found.select("query", "match", F.lit(1).alias("_hit")), ["query", "match"], "left")
+    return marked.agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("recall"), F.count(F.lit(1)).alias("wanted"))
+
+
 def validate_vectors(df: DataFrame, vector: str, width: int) -> DataFrame:
     """Rows, wrong widths, NULLs, NaN and infinite values of a vector column."""
     v = F.col(vector)

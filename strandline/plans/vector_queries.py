@@ -59,17 +59,18 @@ p AS (SELECT query, vec_id AS match, list_cosine_similarity(qv, v) AS score FROM
 SELECT query, match, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
 
 
-def _knn(s, f, limit):
+def _knn(s, f, rows):
     return b.rounded(
         similarity.knn_search(
-            T(s, f, "embeddings"), _label_queries(s, f), "vec_id", "embedding", "query_label", "query_vector", 5, 0.05, F.col("label") != 3, limit, 100
+            T(s, f, "embeddings"), _label_queries(s, f), "vec_id", "embedding", "query_label", "query_vector",
+            k=5, min_score=0.05, where=F.col("label") != 3, block_rows=rows,
         ), ["score"],
     )
 
 
 Q["knn_search"] = lambda s, f: _knn(s, f, 4096)
 SQL["knn_search"] = f"WITH {_SQL_KNN}"
-Q["knn_search_tiled"] = lambda s, f: _knn(s, f, 0)
+Q["knn_search_tiled"] = lambda s, f: _knn(s, f, 100)
 SQL["knn_search_tiled"] = f"WITH {_SQL_KNN}"
 Q["validate_vectors"] = lambda s, f: similarity.validate_vectors(
     T(s, f, "embeddings").withColumn(
@@ -115,8 +116,9 @@ def lexicon_scores(s, f):
 
 Q["lexicon_scores"] = lexicon_scores
 SQL["lexicon_scores"] = f"""WITH lx AS (SELECT DISTINCT unnest({_SQL_WORDS.replace('{0}', 'lower(text)')}) AS word FROM benchmark),
-dw AS (SELECT doc_id, unnest({_SQL_WORDS.replace('{0}', 'lower(text)')}) AS word FROM documents), tt AS (SELECT doc_id, count(*) AS n FROM dw GROUP BY 1)
-SELECT doc_id, CASE WHEN length(word) > 5 THEN 'long' ELSE 'short' END AS label, round(sum(1.0::DOUBLE / (length(word) + 6)) / any_value(n), 6) AS score FROM dw JOIN lx USING (word) JOIN tt USING (doc_id) GROUP BY ALL"""
+dw AS (SELECT doc_id, unnest({_SQL_WORDS.replace('{0}', 'lower(text)')}) AS word FROM documents), tt AS (SELECT doc_id, count(*) AS n FROM dw GROUP BY 1),
+sc AS (SELECT doc_id, CASE WHEN length(word) > 5 THEN 'long' ELSE 'short' END AS label, sum(1.0::DOUBLE / (length(word) + 6)) / any_value(n) AS score FROM dw JOIN lx USING (word) JOIN tt USING (doc_id) GROUP BY ALL)
+SELECT doc_id, label, round(coalesce(score, 0.0), 6) AS score FROM documents CROSS JOIN (VALUES ('long'), ('short')) v(label) LEFT JOIN sc USING (doc_id, label)"""
 
 # --- corpus ---------------------------------------------------------------------------
 Q["chunk_text"] = lambda s, f: corpus.chunk_text(T(s, f, "documents").select("doc_id", "text"), "text", 300, 50)
@@ -237,15 +239,17 @@ def running_cost_ledger(s, f):
     prices = T(s, f, "conversations").select(F.col("role").alias("model")).distinct().filter("model <> 'system'").select(
         "model", (F.length("model") * 0.11).alias("input"), (F.length("model") * 0.23).alias("output")
     )
-    out = corpus.running_cost_ledger(usage, prices, "conv_id", "turn", "model", "user", chunk_rows=4)
+    out = corpus.running_cost_ledger(usage, prices, "conv_id", "turn", "model", "user")
     return b.rounded(out, ["cost", "session_total"])
 
 
 Q["running_cost_ledger"] = running_cost_ledger
-SQL["running_cost_ledger"] = """WITH u AS (SELECT conv_id, turn, role AS model, length(text) * 7 AS i, length(text) * 3 AS o, CASE role WHEN 'system' THEN 4 ELSE length(role) END AS l, length(text) AS n FROM conversations),
-c AS (SELECT *, i / 1000.0::DOUBLE * (l * 0.11::DOUBLE) + o / 1000.0::DOUBLE * (l * 0.23::DOUBLE) AS cost FROM u), t AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn) AS st FROM c)
+SQL["running_cost_ledger"] = """WITH RECURSIVE u AS (SELECT conv_id, turn, role AS model, length(text) * 7 AS i, length(text) * 3 AS o, CASE role WHEN 'system' THEN 4 ELSE length(role) END AS l FROM conversations),
+c AS (SELECT *, i / 1000.0::DOUBLE * (l * 0.11::DOUBLE) + o / 1000.0::DOUBLE * (l * 0.23::DOUBLE) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM u),
+t AS (SELECT *, 0.0::DOUBLE AS before, cost >= 20 AS rejected, CASE WHEN cost >= 20 THEN 0.0 ELSE cost END AS st FROM c WHERE rn = 1
+UNION ALL SELECT c.*, t.st, t.st + c.cost >= 20, CASE WHEN t.st + c.cost >= 20 THEN t.st ELSE t.st + c.cost END FROM t JOIN c ON c.conv_id = t.conv_id AND c.rn = t.rn + 1)
 SELECT conv_id, turn, model, CAST(i AS INTEGER) AS input_tokens, CAST(o AS INTEGER) AS output_tokens, round(cost, 6) AS cost, round(st, 6) AS session_total,
-list_filter([CASE WHEN st - cost < 5 AND st >= 5 THEN 5.0::DOUBLE END, CASE WHEN st - cost < 10 AND st >= 10 THEN 10.0::DOUBLE END, CASE WHEN st - cost < 15 AND st >= 15 THEN 15.0::DOUBLE END], lambda x: x IS NOT NULL) AS thresholds_crossed, st >= 20 AS rejected FROM t"""
+list_filter([CASE WHEN before < 5 AND st >= 5 THEN 5.0::DOUBLE END, CASE WHEN before < 10 AND st >= 10 THEN 10.0::DOUBLE END, CASE WHEN before < 15 AND st >= 15 THEN 15.0::DOUBLE END], lambda x: x IS NOT NULL) AS thresholds_crossed, rejected FROM t"""
 
 # --- reports -------------------------------------------------------------------------
 

@@ -28,8 +28,9 @@ def build_session(app: str = "strandline", cores: str | int = "*", **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    ``spark.checkpoint.dir`` wins; a private temporary folder is used only where
-    neither the setting nor a checkpoint folder exists, as in local tests.
+    ``spark.checkpoint.dir`` wins, then a checkpoint folder set in code. A temporary folder of
+    this machine, one for each session, is only made for a local master: elsewhere executors
+    couldn't read it, so a missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -37,7 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(path)
+    return path
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -55,10 +60,10 @@ def plan_bytes(df: DataFrame) -> int:
     return total
 
 
-def wide_enough(df: DataFrame, target_bytes: int = 128 << 20, most: int = 20000) -> int:
+def wide_enough(df: DataFrame, target_bytes: int = 128 << 20) -> int:
     """Number of partitions that keeps each near a target size."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(most, -(-plan_bytes(df) // target_bytes)))
+    return max(least, -(-plan_bytes(df) // target_bytes))
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

@@ -83,3 +83,12 @@ def test_coalesce_join_prefers_the_id(spark):
     lookup = spark.createDataFrame([("i1", "a", 10), ("i2", "b", 20)], "lid string, lname string, v int")
     got = matching.coalesce_join(df, lookup, "id", "lid", F.col("name"), F.col("lname"), ["v"]).collect()
     assert sorted((r["id"] or "", r["v"] or 0) for r in got) == [("", 20), ("i1", 10), ("zz", 0)]
+
+
+def test_wildcards_alone_and_percent_signs(spark):
+    df = spark.createDataFrame([("ab",), ("abcdef",), ("abcdeg",), ("",)], "slug string")
+    short = spark.createDataFrame([("___",), ("a%e",), ("%",), ("c_e",), ("______",), ("_______",)], "p string")
+    got = {tuple(r) for r in matching.containment_pairs(short, df, "p", "slug", wildcard=True).collect()}
+    long = {"abcdef", "abcdeg"}
+    want = {(p, t) for p in ("___", "a%e", "c_e", "______") for t in long} | {("%", t) for t in long | {"ab"}}
+    assert got == want

@@ -88,3 +88,21 @@ def test_materialise_and_freshness(spark, tmp_path):
     stamped = spark.sql("select timestamp_ntz'2024-01-01 00:00:00' as t")
     assert tuple(writers.freshness(stamped, "t", 48, "2024-01-02 12:00:00").first()) == (36.0, "PASS")
     assert tuple(writers.freshness(stamped.limit(0), "t", 48).first()) == (None, "WARN")
+
+
+class _Remote:
+    """Stands for a session on a cluster."""
+
+    class conf:
+        get = staticmethod(lambda key, default=None: None)
+
+    class sparkContext:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from strandline.session import shared_dir
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(_Remote)

@@ -32,9 +32,9 @@ def test_topk_against_brute_force(spark, block_rows):
 def test_knn_paths_agree(spark):
     data, df = cloud(spark)
     ask = df.filter("id < 3").select(F.col("id").alias("q"), F.col("v").alias("qv"))
-    args = ("id", "v", "q", "qv", 5, 0.1, F.col("g") == "g0")
-    few = similarity.knn_search(df, ask, *args)
-    many = similarity.knn_search(df, ask, *args, query_limit=0, block_rows=9)
+    args, more = ("id", "v", "q", "qv"), {"k": 5, "min_score": 0.1, "where": F.col("g") == "g0"}
+    few = similarity.knn_search(df, ask, *args, **more)
+    many = similarity.knn_search(df, ask, *args, **more, block_rows=2)
     pick = lambda x: [(r["query"], r["rank"], r["match"], round(r["score"], 9)) for r in x.orderBy("query", "rank").collect()]
     assert pick(few) == pick(many)
     for q in range(3):
@@ -42,6 +42,22 @@ def test_knn_paths_agree(spark):
         assert [m for x, _, m, _ in pick(few) if x == q] == [i for _, i in want]
 
 
+def test_approximate_search_reports_its_recall(spark):
+    data, df = cloud(spark)
+    ask = df.filter("id % 5 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    exact = similarity.knn_search(df, ask, "id", "v", "q", "qv", k=3, min_score=None)
+    wide = similarity.knn_approximate(df, ask, "id", "v", "q", "qv", width=len(data[0][2]), k=3, tables=24, planes=3)
+    row = similarity.recall(exact, wide).first()
+    assert row["wanted"] == 3 * ask.count() and row["recall"] >= 0.9
+
+
+def test_search_of_nothing(spark):
+    _, df = cloud(spark)
+    ask = df.select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    assert similarity.knn_search(df, ask.limit(0), "id", "v", "q", "qv").count() == 0
+    assert similarity.knn_search(df.limit(0), ask, "id", "v", "q", "qv").count() == 0
+
+
 def test_expressions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0], [0.0, 0.0], [])], "a array<double>, b array<double>, z array<double>, e array<double>")
     c = {k: F.col(k) for k in "abze"}

@@ -7,13 +7,13 @@ similarity share a prefix member and pass every filter here; each surviving pair
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import stored
 
-FIELDS = ("rep", "n", "pos", "most", "last")
-SHORT = dict(zip(FIELDS, ("", "n", "p", "m", "w")))
+FIELDS = ("rep", "n", "pos", "rank", "most", "last")
+SHORT = dict(zip(FIELDS, ("", "n", "p", "r", "m", "w")))
 
 
 def prefix_size(n: Column, percent: int) -> Column:
@@ -21,9 +21,9 @@ def prefix_size(n: Column, percent: int) -> Column:
 
 
 def live_postings(classes: DataFrame) -> DataFrame:
-    """(key, rep, n, pos, most, last) of the prefix members that two classes or more hold.
+    """(key, rep, n, pos, rank, most, last) of the prefix members that two classes or more hold.
 
-    ``most`` bounds the overlap with any set whose prefix ends later in the order: what of the
+    ``rank`` counts such members up to this one within its class. ``most`` bounds the overlap with any set whose prefix ends later in the order: what of the
     own prefix no other prefix holds can't be common. ``last`` is the prefix's last member.
     """
     postings = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "key"))
@@ -31,7 +31,8 @@ def live_postings(classes: DataFrame) -> DataFrame:
     live = stored(postings.join(keys, "key"), "postings")
     held = live.groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
     bound = classes.join(held, "rep").select("rep", (F.col("n") - F.size("prefix") + F.col("shared")).alias("most"), F.element_at("prefix", -1).alias("last"))
-    return stored(live.join(bound, "rep"), "live")
+    along = Window.partitionBy("rep").orderBy("pos", "key")
+    return stored(live.join(bound, "rep").withColumn("rank", F.row_number().over(along)), "live")
 
 
 def enough(overlap: Column, percent: int) -> Column:
@@ -42,18 +43,18 @@ def enough(overlap: Column, percent: int) -> Column:
 def possible(side_a: dict[str, Column], side_b: dict[str, Column], percent: int) -> Column:
     """Length and positional filters on one shared key.
 
-    Up to the shared key at most min(pos) + 1 members are common, behind it no more than either
-    side has left; the prefix that ends first bounds the overlap as a whole.
+    Up to the shared key only members that other prefixes hold can be common, behind it no more
+    than either side has left; the prefix that ends first bounds the overlap as a whole.
     """
     na, nb, pa, pb = side_a["n"], side_b["n"], side_a["pos"], side_b["pos"]
     need = percent * (na + nb)
     most = F.when(side_a["last"] <= side_b["last"], side_a["most"]).otherwise(side_b["most"])
-    along = F.least(pa, pb) + F.least(na - pa, nb - pb)
+    along = F.least(side_a["rank"], side_b["rank"]) + F.least(na - pa, nb - pb) - 1
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= need) & ((100 + percent) * along >= need)
 
 
 def sides(side_a: dict[str, Column], side_b: dict[str, Column]) -> list[Column]:
-    return [c.alias(SHORT[f] + s) for s, cols in (("a", side_a), ("b", side_b)) for f, c in cols.items() if f != "most"]
+    return [c.alias(SHORT[f] + s) for s, cols in (("a", side_a), ("b", side_b)) for f, c in cols.items() if f not in ("most", "rank")]
 
 
 def pairs_of(shared: DataFrame, percent: int) -> DataFrame:

@@ -34,9 +34,15 @@ RULES = {
 
 
 def trimmed_words(text: Column) -> Column:
-    """Words of a text; an empty array for NULL or a text of white space."""
+    """Words of a text; an empty array for NULL or a text of white space.
+
+    Where single blanks alone part the words no pattern is matched.
+    """
     bare = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE + "+"))
+    odd = bare.contains("  ")
+    for space in "\t\n\x0b\f\r":
+        odd = odd | bare.contains(space)
+    return F.when(bare == "", F.array().cast("array<string>")).when(odd, F.split(bare, SPACE + "+")).otherwise(F.split(bare, " "))
 
 
 def windows(hashes: Column, size: int = 5) -> Column:

@@ -422,14 +422,14 @@ SQL["write_json_nulls"] = f"WITH {_SQL_HOLES} SELECT o_orderkey, price IS NULL A
 
 def read_csv_with_encodings(s, f):
     utf8, latin = scratch_path(s, "csv"), scratch_path(s, "csv")
-    rows = b.table(s, f, "customer").withColumn("c_name", F.concat(F.lit("Café "), F.col("c_name")))
-    writers.write_csv(rows.filter(F.col("c_acctbal") >= 0), utf8)
-    rows.filter(F.col("c_acctbal") < 0).write.option("header", True).option("encoding", "ISO-8859-1").csv(latin)
+    rows = b.table(s, f, "customer").withColumn("c_name", F.concat(F.lit('Café "1,2"\n  '), F.col("c_name")))
+    for part, path, encoding in ((rows.filter(F.col("c_acctbal") >= 0), utf8, "UTF-8"), (rows.filter(F.col("c_acctbal") < 0), latin, "ISO-8859-1")):
+        part.write.option("header", True).option("encoding", encoding).option("escape", '"').csv(path)
     return readers.read_csv_with_encodings(s, utf8, _CUSTOMER_DDL).unionByName(readers.read_csv_with_encodings(s, latin, _CUSTOMER_DDL))
 
 
 Q["read_csv_with_encodings"] = read_csv_with_encodings
-SQL["read_csv_with_encodings"] = "SELECT c_custkey, 'Café ' || c_name AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+SQL["read_csv_with_encodings"] = "SELECT c_custkey, 'Café \"1,2\"' || chr(10) || '  ' || c_name AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 
 
 def write_csv_report(s, f):

@@ -312,31 +312,48 @@ SQL["entity_lookup"] = f"WITH {b.SQL_SHIP_SERIES} SELECT nation, flag, {', '.joi
 # --- streams --------------------------------------------------------------------------
 
 
-def _event_stream(s, f):
-    schema = T(s, f, "events").schema
-    raw = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(f)
-    return raw.select(
+# Parts of ten days arrive in order, events of up to 40 minutes before a border with the next part.
+_PART, _PARTS, _DELAY = 10 * 86400, [0, 1, 2], "11 days"
+
+
+def _event_rows(s, f):
+    return T(s, f, "events").select(
         "event_id", "user_id", "event_type", "value",
         F.timestamp_seconds(b.seconds_since("ts", "2024-01-01")).alias("ts"),
         *[F.when(F.col("event_type") == d, F.col("value") / 997.0).otherwise(F.lit(0.0)).alias(d) for d in b.EVENT_DIMS],
     )
 
 
+def _event_stream(s, f, again=False):
+    """Events from several micro-batches and a closing marker; ``again``: each in the next part too."""
+    rows = _event_rows(s, f)
+    late = F.unix_timestamp("ts") + F.pmod("event_id", F.lit(3)) * 1200
+    part = F.least(F.floor(late / _PART), F.lit(_PARTS[-1]))
+    if again:
+        rows = rows.withColumn("part", F.explode(F.array(part, part + 1)))
+    else:
+        rows = rows.withColumn("part", part)
+    marker = rows.limit(1).select(*[F.lit("2100-01-01").cast("timestamp").alias(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
+    path = streams.staged_arrivals(rows, F.col("part"), [*_PARTS, *([len(_PARTS)] if again else [])], marker, "arrivals")
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return stream.drop("part")
+
+
 def stream_minute_aggregate(s, f):
-    out = streams.run_to_parquet(streams.stream_minute_aggregate(_event_stream(s, f), ["user_id"], "ts", b.EVENT_DIMS, "1 hour", "0 seconds"), "minute", 600)
+    out = streams.run_to_parquet(streams.stream_minute_aggregate(_event_stream(s, f), ["user_id"], "ts", b.EVENT_DIMS, "1 hour", _DELAY), "minute", 600)
     got = s.read.schema("user_id bigint, dialogue_count bigint, " + ", ".join(f"{d} double" for d in b.EVENT_DIMS) + ", bucket_start timestamp").parquet(out)
     return b.rounded(got.withColumn("minute_offset", F.floor(F.unix_timestamp("bucket_start") / 3600).cast("bigint")).drop("bucket_start"), b.EVENT_DIMS)
 
 
 Q["stream_minute_aggregate"] = stream_minute_aggregate
-SQL["stream_minute_aggregate"] = f"""WITH {b.SQL_EVENT_SERIES} SELECT user_id, minute_offset, dialogue_count, {b.sql_rounded(b.EVENT_DIMS)} FROM event_series
-WHERE (minute_offset + 1) * 3600 <= (SELECT max(seconds) FROM event_lines)"""
+SQL["stream_minute_aggregate"] = f"WITH {b.SQL_EVENT_SERIES} SELECT user_id, minute_offset, dialogue_count, {b.sql_rounded(b.EVENT_DIMS)} FROM event_series"
 
 
 def stream_idempotent_load(s, f):
-    twice = _event_stream(s, f).select("event_id", "ts", "value", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
-    out = streams.run_to_parquet(streams.stream_idempotent(twice, ["event_id"], "ts", "1 hour"), "dedup", 600)
-    return s.read.schema("event_id bigint, ts timestamp, value double, copy int").parquet(out).select("event_id", "value")
+    """Every event arrives twice, its copy in a later micro-batch."""
+    twice = _event_stream(s, f, again=True).select("event_id", "ts", "value")
+    out = streams.run_to_parquet(streams.stream_idempotent(twice, ["event_id"], "ts", _DELAY), "dedup", 600)
+    return s.read.schema("event_id bigint, ts timestamp, value double").parquet(out).filter("event_id IS NOT NULL").select("event_id", "value")
 
 
 Q["stream_idempotent_load"] = stream_idempotent_load
@@ -344,23 +361,22 @@ SQL["stream_idempotent_load"] = "SELECT event_id, value FROM events"
 
 
 def stream_sessions(s, f):
-    out = streams.run_to_parquet(streams.stream_sessions(_event_stream(s, f), ["user_id"], "ts", "value", "5 hours", "0 seconds"), "sessions", 600)
+    out = streams.run_to_parquet(streams.stream_sessions(_event_stream(s, f), ["user_id"], "ts", "value", "5 hours", _DELAY), "sessions", 600)
     got = s.read.schema("user_id bigint, start timestamp, end timestamp, intensity double, members bigint").parquet(out)
     return got.withColumns({c: F.unix_timestamp(c) for c in ("start", "end")})
 
 
 Q["stream_sessions"] = stream_sessions
 SQL["stream_sessions"] = f"""WITH {b.SQL_EVENT_LINES}, m AS (SELECT *, CASE WHEN seconds - lag(seconds) OVER (PARTITION BY user_id ORDER BY seconds, event_id) <= 18000 THEN 0 ELSE 1 END AS fresh FROM event_lines),
-i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY seconds, event_id) AS island FROM m),
-g AS (SELECT user_id, min(seconds) AS "start", max(seconds) AS "end", max(value) AS intensity, count(*) AS members FROM i GROUP BY user_id, island)
-SELECT * FROM g WHERE "end" + 18000 <= (SELECT max(seconds) FROM event_lines)"""
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY seconds, event_id) AS island FROM m)
+SELECT user_id, min(seconds) AS "start", max(seconds) AS "end", max(value) AS intensity, count(*) AS members FROM i GROUP BY user_id, island"""
 
 
 def stream_quality_gate(s, f):
-    good, bad = streams.stream_quality_gate(_event_stream(s, f), (F.col("value") > 200) | (F.col("event_type") == "error"))
-    kept = s.read.schema("event_id bigint").parquet(streams.run_to_parquet(good.select("event_id"), "good", 600))
-    held = s.read.schema("event_id bigint").parquet(streams.run_to_parquet(bad.select("event_id"), "held", 600))
-    return kept.withColumn("side", F.lit("good")).unionByName(held.withColumn("side", F.lit("quarantine")))
+    path, state = scratch_path(s, "gate"), scratch_path(s, "gate-state")
+    rows = _event_stream(s, f).filter("event_id IS NOT NULL").select("event_id", "event_type", "value")
+    streams.stream_quality_gate(rows, (F.col("value") > 200) | (F.col("event_type") == "error"), path, state).awaitTermination(600)
+    return s.read.schema("event_id bigint, side string").option("basePath", path).parquet(path).select("event_id", "side")
 
 
 Q["stream_quality_gate"] = stream_quality_gate
@@ -369,7 +385,7 @@ SQL["stream_quality_gate"] = "SELECT event_id, CASE WHEN value > 200 OR event_ty
 
 def stream_batch_load(s, f):
     path, state = scratch_path(s, "batches"), scratch_path(s, "batches-state")
-    twice = _event_stream(s, f).select("event_id", "value", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
+    twice = _event_stream(s, f, again=True).filter("event_id IS NOT NULL").select("event_id", "value")
     query = streams.load_batches(twice, path, ["event_id"], state)
     query.awaitTermination(600)
     return s.read.schema("event_id bigint, value double").parquet(path)

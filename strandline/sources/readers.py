@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,17 +60,18 @@ def decode_bytes(content: Column | str, fallback: str = "ISO-8859-1") -> Column:
 
 
 def read_csv_with_encodings(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV files, each in UTF-8 or Latin-1, with a header line.
+    """CSV files, each in UTF-8 or Latin-1, with a header line; quoted fields may hold line ends.
 
-    The encoding is a property of a file, so a file is decoded as one value; large
-    data sets come as many files. Where the encoding is known, ``spark.read.csv``
-    with ``encoding`` splits files further.
+    A first scan, line by line, finds the files that aren't valid UTF-8; then Spark's own
+    parser reads either kind with its encoding. Only file names reach the driver.
     """
-    files = spark.read.format("binaryFile").load(path)
-    lines = F.split(F.regexp_replace(decode_bytes("content"), "\r\n?", "\n"), "\n")
-    rows = files.select("path", F.posexplode_outer(lines).alias("pos", "line"))
-    body = rows.filter((F.col("pos") > 0) & (F.col("line") != ""))
-    return body.select(F.from_csv("line", schema).alias("r")).select("r.*")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok"))
+    files: dict[bool, list[str]] = {True: [], False: []}
+    for row in lines.groupBy("file").agg(F.bool_and("ok").alias("ok")).collect():
+        files[row["ok"]].append(unquote(row["file"]))
+    read = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+    parts = [read.option("encoding", e).csv(files[ok]) for ok, e in ((True, "UTF-8"), (False, "ISO-8859-1")) if files[ok]]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:

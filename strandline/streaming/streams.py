@@ -48,10 +48,38 @@ def stream_sessions(
     )
 
 
-def stream_quality_gate(rows: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:
-    """Good rows and quarantined rows; stateless."""
-    flag = F.coalesce(bad, F.lit(True))
-    return rows.filter(~flag), rows.filter(flag)
+def stream_quality_gate(rows: DataFrame, bad: Column, path: str, state: str) -> StreamingQuery:
+    """Append every row below ``path`` under side=good or side=quarantine; NULL counts as bad.
+
+    One pass over the source: each micro-batch is written once, split by side, into a
+    folder of its own that a repeated batch replaces.
+    """
+    side = F.when(F.coalesce(bad, F.lit(True)), F.lit("quarantine")).otherwise(F.lit("good"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy("side").parquet(f"{path}/batch={number}")
+
+    return (
+        rows.withColumn("side", side)
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", state)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def staged_arrivals(rows: DataFrame, part: Column, parts: list, closing: DataFrame | None, name: str) -> str:
+    """Write a table as files that arrive one part after the other, and return their folder.
+
+    ``closing`` is a last arrival far in the future: it moves the watermark past every open
+    window and session, so that an ended input gives complete results.
+    """
+    path = scratch_path(rows.sparkSession, name)
+    for value in parts:
+        rows.filter(part == value).write.mode("append").parquet(path)
+    if closing is not None:
+        closing.write.mode("append").parquet(path)
+    return path
 
 
 def run_to_parquet(stream: DataFrame, name: str, timeout: int | None = None) -> str:

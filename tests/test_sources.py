@@ -29,6 +29,13 @@ def test_metadata_without_readable_entries(spark):
     assert (got["total_subtitles"], got["skipped"], got["total_duration"]) == (0, 1, 0.0)
 
 
+def test_csv_with_line_ends_and_quotes_in_fields(spark, tmp_path):
+    (tmp_path / "a b.csv").write_bytes('Name,Year\n"Castle\n  (1986)",1986\n"say ""hi"", now",2000\n'.encode())
+    (tmp_path / "c.csv").write_bytes('Name,Year\n"Été\nlong",1999\n'.encode("latin-1"))
+    got = readers.read_csv_with_encodings(spark, str(tmp_path), "Name STRING, Year INT")
+    assert rows(got) == sorted([("Castle\n  (1986)", 1986), ('say "hi", now', 2000), ("Été\nlong", 1999)], key=repr)
+
+
 def test_csv_encodings(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("Name,Year\nÉlan,2001\n\n".encode("utf-8"))
     (tmp_path / "b.csv").write_bytes("Name,Year\r\nÉté,1999\r\n".encode("latin-1"))

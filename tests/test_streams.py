@@ -26,10 +26,11 @@ def test_duplicates_and_gate(spark, tmp_path):
     batch, stream = source(spark, tmp_path, [[("a", 1, 0.5), ("a", 1, 0.5), ("b", 2, 1.5)], [("a", 3, 0.5), ("c", 4, None)]])
     once = spark.read.parquet(streams.run_to_parquet(streams.stream_idempotent(stream, ["k"], "ts", "1 hour"), "once", 120))
     assert sorted(r["k"] for r in once.collect()) == ["a", "b", "c"]
-    good, bad = streams.stream_quality_gate(stream, (F.col("x") < 0) | (F.col("x") > 1))
-    kept = spark.read.parquet(streams.run_to_parquet(good, "good", 120))
-    held = spark.read.parquet(streams.run_to_parquet(bad, "bad", 120))
-    assert rows(kept.unionByName(held)) == rows(batch) and held.count() == 2
+    path = scratch_path(spark, "gate")
+    streams.stream_quality_gate(stream, (F.col("x") < 0) | (F.col("x") > 1), path, scratch_path(spark, "gate-state")).awaitTermination(120)
+    got = spark.read.option("basePath", path).parquet(path)
+    assert rows(got.select(batch.columns)) == rows(batch) and got.where("side = 'quarantine'").count() == 2
+    assert got.select("batch").distinct().count() == 2
 
 
 def test_batch_load_is_idempotent(spark, tmp_path):
@@ -38,3 +39,12 @@ def test_batch_load_is_idempotent(spark, tmp_path):
     query = streams.load_batches(stream, path, ["k"], scratch_path(spark, "state"))
     query.awaitTermination(120)
     assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == ["a", "b"]
+
+
+def test_a_closing_arrival_completes_open_windows(spark):
+    df = spark.createDataFrame([("a", 5, 0.2), ("a", 70, 0.5), ("b", 130, 1.0)], "k string, sec long, x double").withColumn("ts", F.timestamp_seconds("sec"))
+    marker = df.limit(1).select(F.lit(None).cast("string").alias("k"), F.lit(10**9).alias("sec"), F.lit(0.0).alias("x"), F.timestamp_seconds(F.lit(10**9)).alias("ts"))
+    path = streams.staged_arrivals(df, F.floor(F.col("sec") / 100), [0, 1], marker, "arrivals")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = streams.run_to_parquet(streams.stream_minute_aggregate(stream, ["k"], "ts", ["x"], "1 minute", "3 minutes"), "closed", 120)
+    assert sorted((r["k"], r["dialogue_count"]) for r in spark.read.parquet(out).collect()) == [("a", 1), ("a", 1), ("b", 1)]

@@ -106,7 +106,7 @@ def test_pages_without_rows_or_rules(spark):
 
 
 def test_language_model(spark):
-    rows = [(i, t.replace("w", "The ")) for i, t in rows_of(4, 120)] + [(1000, "日本語 İx " + "y" * 300), (1001, "\u00e9t\u00e9 \U0001f642")]
+    rows = [(i, t and t.replace("w", "The ")) for i, t in rows_of(4, 120)] + [(1000, "日本語 İx " + "y" * 300), (1001, "\u00e9t\u00e9 \U0001f642")]
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     once = {r["doc_id"]: r for r in lattice_lm.scores(docs, path).collect()}

@@ -88,14 +88,17 @@ def first_lines(docs: DataFrame, percent: int = PERCENT, text: str = "text") ->
     live = live_postings(classes)
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """The links among the pairs; only documents with their members are read again."""
+        """The links among the pairs; only their lines are cut from the texts again."""
         pairs = stored(pairs.select("a", "b", "na", "nb"), "line-pairs")
-        wanted = stored(classes.join(members(pairs), "rep").select("rep", "first.*"), "wanted-lines")
-        ids = stored(wanted.select("doc_id", "th").distinct(), "wanted-texts")
-        near = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]) & (F.xxhash64("text") == ids["th"]), "left_semi")
-        sets = _sets(_lines(near), ["doc_id", "th", "pos"])
-        same = sets["doc_id"].eqNullSafe(wanted["doc_id"]) & (sets["th"] == wanted["th"]) & (sets["pos"] == wanted["pos"])
-        return verified(pairs, stored(sets.join(wanted, same).select("rep", "tokens"), "line-sets"), percent)
+        wanted = classes.join(members(pairs), "rep").select("rep", "first.*")
+        wanted = wanted.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("hash")).agg(F.collect_list(F.struct("rep", "pos")).alias("at"))
+        wanted = stored(wanted, "wanted-lines")
+        near = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["id"]) & (F.xxhash64("text") == wanted["hash"]))
+        lines = near.select("at", F.split("text", "\n").alias("lines"))
+        # two uses of the lines keep the split from being moved into the function, where it would run for each line
+        picked = F.transform("at", lambda a: F.struct(a["rep"].alias("rep"), F.when(a["pos"] < F.size("lines"), F.get("lines", a["pos"])).alias("line")))
+        lines = lines.select(F.explode(picked).alias("x")).select("x.rep", trimmed_words(F.col("x.line")).alias("words"))
+        return verified(pairs, stored(_sets(lines, ["rep"]), "line-sets"), percent)
 
     firsts = classes.select("rep", "first")
 
@@ -137,11 +140,12 @@ def line_report(docs: DataFrame, percent: int = PERCENT, text: str = "text") ->
 
 def without_repeats(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """The documents without lines that match an earlier one, in their columns."""
-    th, blank = free_names(docs, "_text_hash", "_blank_lines")
+    th, all_lines, blank = free_names(docs, "_text_hash", "_lines", "_blank_lines")
     kept = _kept(docs, percent, text)
-    lines = F.split(F.coalesce(col(text), F.lit("")), "\n")
+    lines = col(all_lines)
+    out = docs.withColumns({th: F.xxhash64(col(text)), all_lines: F.split(F.coalesce(col(text), F.lit("")), "\n")})
     bare = F.filter(F.transform(_worded(lines), lambda x, i: F.when(~x, i)), lambda i: i.isNotNull())
-    out = docs.withColumns({th: F.xxhash64(col(text)), blank: bare})
+    out = out.withColumn(blank, bare)
     out = out.join(kept, out["doc_id"].eqNullSafe(kept["kept_id"]) & (out[th] == kept["kept_th"]), "left")
     gone = F.size(lines) - F.size(col(blank)) - F.coalesce(F.size("kept"), F.lit(0))
     stay = F.sort_array(F.concat(col(blank), F.col("kept")))

@@ -31,22 +31,51 @@ def _raw_orders(s, f):
 _SQL_RAW = """raw AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS title, CAST(year(o_orderdate) AS VARCHAR) AS release_date,
 CASE WHEN o_orderstatus = 'P' THEN 'n/a' ELSE CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR) END AS running_time,
 CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS director FROM orders)"""
-Q["stage_films"] = lambda s, f: cleaning.stage_columns(
-    _raw_orders(s, f), ["release_date", "running_time"], ["director"], {"release_date": "release_year"}
+Q["stage_films"] = lambda s, f: cleaning.stage_films(
+    _raw_orders(s, f).select(
+        "*",
+        F.col("id").cast("string").alias("rt_score"),
+        F.when(F.col("title") != "", F.col("title")).alias("producer"),
+        F.lit(None).cast("string").alias("description"),
+        *[F.lit("x").alias(c) for c in ("original_title", "original_title_romanised", "url")],
+    )
+)
+SQL["stage_films"] = f"""WITH {_SQL_RAW} SELECT id, title, TRY_CAST(release_date AS INTEGER) AS release_year, TRY_CAST(running_time AS INTEGER) AS running_time,
+coalesce(director, '') AS director, CAST(id AS INTEGER) AS rt_score, CASE WHEN title <> '' THEN title ELSE '' END AS producer, '' AS description FROM raw"""
+Q["stage_people"] = lambda s, f: cleaning.stage_people(
+    b.table(s, f, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.col("c_name").alias("name"),
+        F.when(F.col("c_nationkey") % 3 == 0, "Male").when(F.col("c_nationkey") % 3 == 1, "Female").otherwise(F.col("c_mktsegment")).alias("gender"),
+        F.when(F.col("c_acctbal") > 0, F.concat(F.lit("https://api.example/species/"), F.col("c_nationkey"))).otherwise("").alias("species"),
+        F.lit("https://api.example/people").alias("url"),
+    )
 )
-SQL["stage_films"] = f"""WITH {_SQL_RAW} SELECT id, title, TRY_CAST(release_date AS INTEGER) AS release_year,
-TRY_CAST(running_time AS INTEGER) AS running_time, coalesce(director, '') AS director FROM raw"""
-Q["stage_people"] = lambda s, f: cleaning.whitelist(b.table(s, f, "orders"), "o_orderstatus", ["F", "O"], "status").select(
-    "o_orderkey", "status", text.last_segment(F.concat(F.lit("https://api.example/people/"), F.col("o_custkey"))).alias("person_id")
+SQL["stage_people"] = """SELECT c_custkey AS id, c_name AS name, CASE c_nationkey % 3 WHEN 0 THEN 'Male' WHEN 1 THEN 'Female' END AS gender,
+CASE WHEN c_acctbal > 0 THEN CAST(c_nationkey AS VARCHAR) END AS species_id FROM customer"""
+Q["stage_locations"] = lambda s, f: cleaning.stage_locations(
+    b.table(s, f, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(F.col("l_returnflag") != "A", F.col("l_returnflag")).alias("climate"),
+        F.when(F.col("l_linestatus") == "O", F.col("l_linestatus")).alias("terrain"),
+        F.when(F.col("l_discount") > 0, F.concat(F.round(F.col("l_discount") * 100, 0).cast("int").cast("string"), F.lit("%"))).otherwise("").alias("surface_water"),
+        F.lit("u").alias("url"),
+    )
 )
-SQL["stage_people"] = """SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END AS status,
-split_part('https://api.example/people/' || o_custkey, '/', -1) AS person_id FROM orders"""
-Q["stage_locations"] = lambda s, f: (
-    b.table(s, f, "lineitem")
-    .select("l_orderkey", "l_linenumber", F.when(F.col("l_discount") > 0, F.concat(F.round(F.col("l_discount") * 100, 0).cast("int").cast("string"), F.lit("%"))).otherwise("").alias("water"))
-    .withColumn("water_pct", cleaning.percent_to_double("water")).drop("water")
+SQL["stage_locations"] = """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'A' THEN l_returnflag ELSE '' END AS climate, CASE WHEN l_linestatus = 'O' THEN l_linestatus ELSE '' END AS terrain,
+CASE WHEN l_discount > 0 THEN CAST(replace(CAST(CAST(round(l_discount * 100, 0) AS INTEGER) AS VARCHAR) || '%', '%', '') AS DOUBLE) END AS surface_water_pct FROM lineitem"""
+Q["stage_financials"] = lambda s, f: cleaning.stage_financials(
+    b.table(s, f, "part").select(
+        "p_partkey",
+        F.concat("p_name", F.lit(" (1986)")).alias("name"),
+        F.concat((F.col("p_size") % 5).cast("string"), F.lit("h "), (F.col("p_partkey") % 60).cast("string"), F.lit("m")).alias("duration"),
+        F.when(F.col("p_size") > 25, F.concat(F.lit("$"), F.col("p_size").cast("string"), F.lit(",000"))).otherwise("unknown").alias("budget"),
+        F.col("p_partkey").cast("string").alias("revenue"),
+    )
 )
-SQL["stage_locations"] = """SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 THEN CAST(replace(CAST(CAST(round(l_discount * 100, 0) AS INTEGER) AS VARCHAR) || '%', '%', '') AS DOUBLE) END AS water_pct FROM lineitem"""
+SQL["stage_financials"] = """SELECT p_partkey, p_name || ' (1986)' AS name, p_name AS title, CAST((p_size % 5) * 60 + p_partkey % 60 AS INTEGER) AS duration,
+CASE WHEN p_size > 25 THEN p_size * 1000.0::DOUBLE ELSE 0.0::DOUBLE END AS budget, CAST(p_partkey AS DOUBLE) AS revenue FROM part"""
 Q["stage_species"] = lambda s, f: cleaning.stage_species(
     b.table(s, f, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("classification"),

@@ -43,12 +43,12 @@ def words_of(text: Column, space: str = SPACE) -> Column:
     return F.filter(pieces, lambda w: w != "")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write a frame below the shared folder and read it again.
 
     The copy is readable by every executor, so the work behind it isn't repeated when
     an executor is lost, and its size is known to the planner.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)

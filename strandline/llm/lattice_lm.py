@@ -48,19 +48,22 @@ def is_held(doc_id: int | None) -> bool:
 
 
 def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each chunk of documents, with its words and its documents' counts of them."""
+    """One row for each chunk of documents, with its words and its documents' counts of them.
+
+    ``places`` are the words of each document by their place in ``words``, ascending, as steps
+    from the one before, so that they take little space.
+    """
     kinds = to_arrow_schema(StructType.fromDDL(_CHUNK))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        seen, train, rows, tokens = {}, [], [], 0
+        seen, train, rows, tokens = {}, np.zeros(1 << 16, np.int64), [], 0
 
         def row() -> pa.RecordBatch:
             names = [w.decode("utf-8", "surrogatepass") for w in seen]
-            places = np.fromiter((p for r in rows for p in r[2]), np.int32)
-            counts = np.fromiter((c for r in rows for c in r[3]), np.int32)
+            places, counts = (np.concatenate([r[k] for r in rows]) for k in (2, 3))
             ends = sum(not r[1] for r in rows)
-            cells = [number, names, train, ends, [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], places, counts]
+            cells = [number, names, train[: len(seen)], ends, [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], places, counts]
             return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, kinds)], schema=kinds)
 
         for batch in batches:
@@ -69,17 +72,19 @@ def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
                 for doc_id, whole in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     found = Counter(whole.encode("utf-8", "surrogatepass").translate(_FOLD).split()) if whole else {}
                     held = is_held(doc_id)
-                    places = [seen.setdefault(w, len(seen)) for w in found]
-                    train += [0] * (len(seen) - len(train))
+                    places = np.array([seen.setdefault(w, len(seen)) for w in found], np.int32)
+                    order = np.argsort(places)
+                    places, counts = places[order], np.array(list(found.values()), np.int32)[order]
+                    while train.size < len(seen):
+                        train = np.append(train, np.zeros_like(train))
                     if not held:
-                        for p, c in zip(places, found.values()):
-                            train[p] += c
-                    rows.append((doc_id, held, places, list(found.values())))
-                    tokens += sum(found.values())
+                        train[places] += counts
+                    rows.append((doc_id, held, np.diff(places, prepend=np.int32(0)), counts))
+                    tokens += int(counts.sum())
                     if tokens >= CHUNK_TOKENS:
                         yield row()
                         number += 1
-                        seen, train, rows, tokens = {}, [], [], 0
+                        seen, train, rows, tokens = {}, np.zeros(1 << 16, np.int64), [], 0
         if rows:
             yield row()
 
@@ -182,7 +187,7 @@ def scored_words(words: DataFrame, pieces) -> DataFrame:
 def scores(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     sc = docs.sparkSession.sparkContext
-    parts = stored(chunks(docs, text), "chunks")
+    parts = stored(chunks(docs, text), "chunks", "zstd")
     pairs = parts.select(F.explode(F.arrays_zip("words", "train")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.train").alias("c"))
     words = stored(pairs.groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
     ends = parts.agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0]
@@ -214,8 +219,10 @@ def scores(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 yield _totals(*cells, *((c, w) if c is not None else none))
 
     def _totals(ids, held, sizes, places, n, c, w) -> pa.RecordBatch:
-        places, n = places.to_numpy(), n.to_numpy().astype(np.int64)
-        owner = np.repeat(np.arange(len(sizes)), sizes.to_numpy())
+        sizes, n = sizes.to_numpy(), n.to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        along = np.append(0, np.cumsum(places.to_numpy(), dtype=np.int64))
+        places = along[1:] - np.repeat(along[np.cumsum(sizes) - sizes], sizes)
         c, w = c.to_numpy()[places], w.to_numpy()[places]
         add = lambda x: np.bincount(owner, x, minlength=len(sizes))
         columns = [

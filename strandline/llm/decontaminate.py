@@ -159,7 +159,7 @@ class Automaton:
 def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, item: str = "item_id", text: str = "text") -> Iterator[Automaton]:
     """One automaton for each block of items, a block holding about ``block_words`` words."""
     items = benchmark.select(col(item).alias("item"), col(text).cast("string").alias("text"))
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    total = items.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)

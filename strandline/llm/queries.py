@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import bpe, decontaminate, lattice_lm, licences, line_dedup, ngram_join, pii, quality_hosts, token_counts, url_graph
 from strandline.llm.common import read
+from strandline.llm.twins import SQL as TWINS
 
 
 def vocabulary(name: str) -> str:
@@ -76,4 +77,4 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_bpe": op10_bpe,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = TWINS

@@ -83,56 +83,58 @@ def safe_corr(x: Column | str, y: Column | str) -> Column:
     return F.try_divide(moment, spread)
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], accuracy: int = 10000) -> list[float | None]:
+def exact_quantiles(
+    df: DataFrame, column: str, probabilities: list[float], accuracy: int = 10000, most: int = 1_000_000
+) -> list[float | None]:
     """Interpolated quantiles (PERCENTILE_CONT) of a whole column.
 
-    An approximate sketch brackets every wanted rank; a second pass counts the rows
-    below each bracket and takes the exact percentile of the few values inside it.
-    No task ever holds more than the bracket, about ``4 / accuracy`` of the rows.
-    Only one row of numbers reaches the driver in each pass.
+    A sketch of each bracket proposes a narrower one, a count says which part holds the wanted
+    rank, and so on until a bracket holds at most ``most`` values or a single one; only then is
+    the exact percentile taken of what is inside. No task holds more than ``most`` values, however
+    long the column is, and one row of numbers reaches the driver in each pass.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    margin = 2.0 / accuracy
-    edges = [
-        edge for p in probabilities for edge in (max(0.0, p - margin), min(1.0, p + margin))
-    ]
-    first = values.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", edges, accuracy).alias("e"),
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
-    ).first()
-    n = first["n"]
+    whole = values.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    n = whole["n"]
     if n == 0:
         return [None] * len(probabilities)
-    brackets = []
-    for i, p in enumerate(probabilities):
-        low, high = first["e"][2 * i], first["e"][2 * i + 1]
-        if p - margin <= 0.0:
-            low = first["lo"]
-        if p + margin >= 1.0:
-            high = first["hi"]
-        brackets.append((low, high))
-    second = values.agg(
-        *[F.count(F.when(F.col("v") < lo, 1)).alias(f"b{i}") for i, (lo, _) in enumerate(brackets)],
-        *[
-            F.count(F.when((F.col("v") >= lo) & (F.col("v") <= hi), 1)).alias(f"m{i}")
-            for i, (lo, hi) in enumerate(brackets)
-        ],
-    ).first()
-    picks, missed = [], []
-    for i, (p, (lo, hi)) in enumerate(zip(probabilities, brackets)):
-        rank, below, inside = p * (n - 1), second[f"b{i}"], second[f"m{i}"]
-        if not (below <= rank and -(-rank // 1) <= below + inside - 1):
-            missed.append(i)
-        share = 0.0 if inside <= 1 else min(1.0, max(0.0, (rank - below) / (inside - 1)))
-        picks.append(
-            F.percentile(F.when((F.col("v") >= lo) & (F.col("v") <= hi), F.col("v")), F.lit(share)).alias(f"q{i}")
-        )
-    found = list(values.agg(*picks).first())
-    for i in missed:
-        # The sketch put the bracket beside the rank: repeat with a wider one.
-        if accuracy <= 4:
-            raise ArithmeticError(f"no bracket holds the quantile {probabilities[i]}")
-        found[i] = exact_quantiles(df, column, [probabilities[i]], max(4, accuracy // 8))[0]
-    return found
+    inside = lambda lo, hi: (F.col("v") >= lo) & (F.col("v") <= hi)
+    ranks = [p * (n - 1) for p in probabilities]
+    # low edge, high edge, values below it, values inside
+    brackets = [(whole["lo"], whole["hi"], 0, n) for _ in ranks]
+    margin = 2.0 / accuracy
+    while wide := [i for i, (lo, hi, _, m) in enumerate(brackets) if m > most and lo < hi]:
+        shares = {i: (ranks[i] - brackets[i][2]) / max(1, brackets[i][3] - 1) for i in wide}
+        edges = values.agg(
+            *[
+                F.percentile_approx(
+                    F.when(inside(*brackets[i][:2]), F.col("v")), [max(0.0, shares[i] - margin), min(1.0, shares[i] + margin)], accuracy
+                ).alias(f"e{i}")
+                for i in wide
+            ]
+        ).first()
+        counts = values.agg(
+            *[F.count(F.when(F.col("v") < edges[f"e{i}"][0], 1)).alias(f"b{i}") for i in wide],
+            *[F.count(F.when(F.col("v") <= edges[f"e{i}"][1], 1)).alias(f"t{i}") for i in wide],
+        ).first()
+        stuck = True
+        for i in wide:
+            lo, hi, below, m = brackets[i]
+            new_lo, new_hi, b, t = edges[f"e{i}"][0], edges[f"e{i}"][1], counts[f"b{i}"], counts[f"t{i}"]
+            # both neighbours of the rank must lie inside
+            first, last = int(ranks[i] // 1), int(-(-ranks[i] // 1))
+            if b > first:
+                new_lo, b = lo, below
+            if t <= last:
+                new_hi, t = hi, below + m
+            stuck &= (new_lo, new_hi) == (lo, hi)
+            brackets[i] = (new_lo, new_hi, b, t - b)
+        if stuck:
+            margin /= 8
+            if margin < 1e-9:
+                break
+    picks = []
+    for i, (lo, hi, below, m) in enumerate(brackets):
+        share = 0.0 if m <= 1 else min(1.0, max(0.0, (ranks[i] - below) / (m - 1)))
+        picks.append(F.percentile(F.when(inside(lo, hi), F.col("v")), F.lit(share)).alias(f"q{i}"))
+    return list(values.agg(*picks).first())

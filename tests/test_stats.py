@@ -57,3 +57,16 @@ def test_pearson_states(spark):
     assert correlation.pearson(df.limit(1), "x", "y", False).first()["status"] == "insufficient_data"
     flat = correlation.pearson(df.withColumn("x", F.lit(1.0)), "x", "y", False).first()
     assert flat["r"] is None and flat["status"] == "undefined"
+
+
+def test_quantiles_narrow_until_few_values_are_left(spark):
+    rng = random.Random(4)
+    data = [rng.gauss(0, 1) for _ in range(3000)] + [0.5] * 2000 + [-7.0] * 900
+    df = spark.createDataFrame([(x,) for x in data] + [(None,), (float("nan"),)], "x double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = exact_quantiles(df, "x", shares, accuracy=50, most=100)
+    data.sort()
+    for p, g in zip(shares, got):
+        r = p * (len(data) - 1)
+        lo, hi = data[int(r)], data[min(int(r) + 1, len(data) - 1)]
+        assert abs(g - (lo + (hi - lo) * (r - int(r)))) < 1e-12, p

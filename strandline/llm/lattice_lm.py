@@ -156,17 +156,13 @@ class Pieces:
         return alpha[n]
 
 
-def _sums(part: pa.RecordBatch) -> tuple[list[str], list[int]]:
-    return part.column(0).to_pylist(), part.column(1).to_pylist()
-
-
 def piece_counts(words: DataFrame, pieces) -> DataFrame:
     """(piece, n) over (word, c)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(pieces.value.model.vocab_size())
         for batch in batches:
-            total += pieces.value.count(*_sums(batch))
+            total += pieces.value.count(batch.column(0).to_pylist(), batch.column(1).to_pylist())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["piece", "n"])
 

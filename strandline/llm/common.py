@@ -47,8 +47,37 @@ def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write a frame below the shared folder and read it again.
 
     The copy is readable by every executor, so the work behind it isn't repeated when
-    an executor is lost, and its size is known to the planner.
+    an executor is lost, and its size is known to the planner. It stays until it is released.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path, compression=codec)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _stored.add(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+#: Folders written by stored() and not released yet.
+_stored: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _stored.discard(path)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete stored copies that no frame still to be worked out reads."""
+    for frame in frames:
+        _delete(frame.sparkSession, frame.stored_at)
+
+
+def stored_paths() -> set[str]:
+    """Folders of the copies that this process has stored and not released."""
+    return set(_stored)
+
+
+def release_paths(spark: SparkSession, paths: set[str]) -> None:
+    for path in paths & _stored:
+        _delete(spark, path)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SPACE, col, free_names, stored
+from strandline.llm.common import SPACE, col, free_names, release, stored
 from strandline.llm.prefix_join import cross_pairs, live_postings, members, prefix_size, star_pairs, verified
 from strandline.llm.quality_hosts import trimmed_words, windows
 
@@ -85,6 +85,7 @@ def first_lines(docs: DataFrame, percent: int = PERCENT, text: str = "text") ->
         F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.min_by(F.struct("n", "prefix"), F.struct("doc_id", "th", "pos")).alias("x")
     )
     classes = stored(classes.select(F.monotonically_increasing_id().alias("rep"), "first", "x.n", "x.prefix"), "line-classes")
+    release(signed)
     live = live_postings(classes)
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -98,7 +99,10 @@ def first_lines(docs: DataFrame, percent: int = PERCENT, text: str = "text") ->
         # two uses of the lines keep the split from being moved into the function, where it would run for each line
         picked = F.transform("at", lambda a: F.struct(a["rep"].alias("rep"), F.when(a["pos"] < F.size("lines"), F.get("lines", a["pos"])).alias("line")))
         lines = lines.select(F.explode(picked).alias("x")).select("x.rep", trimmed_words(F.col("x.line")).alias("words"))
-        return verified(pairs, stored(_sets(lines, ["rep"]), "line-sets"), percent)
+        sets = stored(_sets(lines, ["rep"]), "line-sets")
+        links = stored(verified(pairs, sets, percent), "line-links")
+        release(pairs, wanted, sets)
+        return links
 
     firsts = classes.select("rep", "first")
 

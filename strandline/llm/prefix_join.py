@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import stored
+from strandline.llm.common import release, stored
 
 FIELDS = ("rep", "n", "pos", "rank", "most", "last")
 SHORT = dict(zip(FIELDS, ("", "n", "p", "r", "m", "w")))
@@ -32,7 +32,9 @@ def live_postings(classes: DataFrame) -> DataFrame:
     held = live.groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
     bound = classes.join(held, "rep").select("rep", (F.col("n") - F.size("prefix") + F.col("shared")).alias("most"), F.element_at("prefix", -1).alias("last"))
     along = Window.partitionBy("rep").orderBy("pos", "key")
-    return stored(live.join(bound, "rep").withColumn("rank", F.row_number().over(along)), "live")
+    out = stored(live.join(bound, "rep").withColumn("rank", F.row_number().over(along)), "live")
+    release(live)
+    return out
 
 
 def enough(overlap: Column, percent: int) -> Column:

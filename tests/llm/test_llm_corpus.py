@@ -152,7 +152,8 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     state = {i: t for i, t, *_ in docs}
     now = frame
     for name, stage in corpus_pipeline.STAGES:
-        before, now = state, stage(spark, now, str(tmp_path)).cache()
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        before, now = state, spark.read.parquet(f"{tmp_path}/{name}")
         state = {r["doc_id"]: r["text"] for r in now.collect()}
         if name == "quality_rules":
             assert state == {i: t for i, t in before.items() if not brute.quality(t)[5]}

@@ -1,12 +1,15 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences at line ends and behind ``.``, ``!``, ``?`` or ``;`` before white space. Each is
-normalised (lower case, letters and digits, single blanks) and mapped to the identifier of a known
-licence sentence; runs of other sentences become one ``?``. The sequence of identifiers is then
+A text is cut into sentences at blank lines and behind ``.``, ``!``, ``?`` or ``;`` before white space, and
+normalised (lower case, letters and digits, single blanks; so comment marks go, and a line of nothing
+else is blank). A single line end may part sentences or lie within one: a known licence sentence, from
+one cut or line end to another, is found on a line of its own and wrapped over lines alike, the leftmost
+and longest first, and is mapped to its identifier; runs of anything else become one ``?``. The SQL twin
+cuts at every line end, so it agrees where no known sentence is wrapped. The sequence of identifiers is then
 read by ordered rules: a rule whose identifiers stand next to each other names its licence and
 takes them out, so longer rules come before those of their parts.
 
-Texts without any of the trigger words, which every known sentence has one of, are not cut. NULL,
+Texts without any of the trigger words in normal form, which every known sentence has one of, are not cut. NULL,
 empty and other texts without known sentences have an empty sequence and no licence. Every row is
 judged on its own, as a whole text; repeated rows alike.
 """
@@ -30,21 +33,38 @@ SENTENCES = {
         "permit persons to whom the software is furnished to do so subject to the following conditions"
     ],
     "MITNotice": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
-    "AsIs": ["the software is provided as is without warranty of any kind", "this software is provided as is without warranty of any kind"],
+    "AsIs": [
+        "the software is provided as is without warranty of any kind",
+        "this software is provided as is without warranty of any kind",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a "
+        "particular purpose and noninfringement",
+        *[
+            f"this software is provided by the {who} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and "
+            "fitness for a particular purpose are disclaimed"
+            for who in ("copyright holders and contributors", "copyright holder and contributors", "regents and contributors", "author and contributors", "author", "authors")
+        ],
+    ],
     "BSDGrant": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
     ],
     "BSDRef": ["licensed under the bsd license", "licensed under the bsd 3 clause license", "spdx license identifier bsd 3 clause"],
-    "GPL2Ref": ["this work is licensed under the gnu general public license version 2", "spdx license identifier gpl 2 0 only"],
+    "GPL2Ref": ["this work is licensed under the gnu general public license version 2", "spdx license identifier gpl 2 0 only", *[
+        f"{free}you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"
+        for free in ("", "this program is free software ")
+    ]],
     "GPL3Ref": ["this work is licensed under the gnu general public license version 3", "spdx license identifier gpl 3 0 only"],
     "GPLFree": ["this program is free software"],
     "GPLGrant2": [
         "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the "
-        "license or at your option any later version"
+        "license or at your option any later version",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software "
+        "foundation either version 2 of the license or at your option any later version",
     ],
     "GPLGrant3": [
         "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the "
-        "license or at your option any later version"
+        "license or at your option any later version",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software "
+        "foundation either version 3 of the license or at your option any later version",
     ],
     "GPLTerms": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
     "GPLEither2": ["either version 2 of the license or at your option any later version"],
@@ -56,13 +76,14 @@ SENTENCES = {
     "AllRights": ["all rights reserved"],
 }
 #: Every known sentence has one of these words.
-TRIGGERS = ["licens", "permi", "rights", "warranty", "redistribut", "free software", "public domain"]
+TRIGGERS = ["licens", "permi", "rights", "warrant", "redistribut", "free software", "public domain"]
 #: (identifiers that stand next to each other, licence, kind), in the order they are tried.
 RULES = [
     ("ApacheRef,ApacheUse,ApacheCopy", "Apache-2.0", "permissive"),
     ("MITGrant,MITNotice,AsIs", "MIT", "permissive"),
     ("MITGrant,MITNotice", "MIT", "permissive"),
     ("BSDGrant,AsIs", "BSD", "permissive"),
+    ("BSDGrant,?,AsIs", "BSD", "permissive"),
     ("GPLFree,GPLTerms,GPLEither3", "GPL-3.0-or-later", "copyleft"),
     ("GPLFree,GPLTerms,GPLEither2", "GPL-2.0-or-later", "copyleft"),
     ("GPLFree,GPLGrant3", "GPL-3.0-or-later", "copyleft"),
@@ -82,11 +103,29 @@ RULES = [
     ("CC0", "CC0-1.0", "permissive"),
     ("AllRights", "LicenseRef-AllRightsReserved", "reserved"),
 ]
-SPLIT = r"\n+|(?<=[.!?;])\s+"
+# Steps of normal form, on lower-cased text; H marks a cut and S a single line end, then | and a line end.
+STEPS = [
+    (r"\n[^a-z0-9\n]+", "\n"),
+    (r"\n\n+|(?<=[.!?;])\s+", "H"),
+    (r"\n", "S"),
+    (r"[^a-z0-9HS]+", " "),
+    (r"[HS ]*H[HS ]*", "|"),
+    (r" ?S[S ]*", "\n"),
+]
+
+
+def normal(low: Column) -> Column:
+    """Words of a lower-cased text in normal form, with ``|`` at cuts and both ends and a line end at single ones."""
+    out = F.concat(F.lit("\n"), low, F.lit("\n\n"))
+    for pattern, put in STEPS:
+        out = F.regexp_replace(out, pattern, put)
+    return F.concat(F.lit("|"), F.trim(out), F.lit("|"))
 
 
-def normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def any_form(sentences: dict[str, list[str]]) -> str:
+    """Pattern of all known sentences between cuts or line ends, longest first, wrapped anywhere."""
+    forms = sorted((f for fs in sentences.values() for f in fs), key=len, reverse=True)
+    return r"(?<=[|\n])(" + "|".join(f.replace(" ", r"[ \n]") for f in forms) + r")(?=[|\n])"
 
 
 def identifier(sentence: Column, sentences: dict[str, list[str]] = SENTENCES) -> Column:
@@ -99,9 +138,10 @@ def identifier(sentence: Column, sentences: dict[str, list[str]] = SENTENCES) ->
 
 
 def sequence(text: Column, sentences: dict[str, list[str]] = SENTENCES) -> Column:
-    """Identifiers of a text's sentences, runs of ``?`` as one; empty without a known one."""
-    cut = F.filter(F.transform(F.split(text, SPLIT), normal), lambda s: s != "")
-    names = F.transform(cut, lambda s: identifier(s, sentences))
+    """Identifiers of a lower-cased text's sentences, runs of ``?`` as one; empty without a known one."""
+    marked = F.regexp_replace(normal(text), any_form(sentences), "|<$1|")
+    cut = F.filter(F.split(marked, r"\|"), lambda s: F.trim(s, F.lit("\n")) != "")
+    names = F.transform(cut, lambda s: F.when(s.startswith("<"), identifier(F.translate(F.substring(s, 2, 1 << 30), "\n", " "), sentences)).otherwise("?"))
     joined = F.concat(F.lit(","), F.array_join(names, ","), F.lit(","))
     short = F.regexp_replace(joined, r",(?:\?,)+", ",?,")
     return F.when(short.rlike("[A-Za-z]"), short).otherwise(F.lit(""))
@@ -128,7 +168,7 @@ def scanned(docs: DataFrame, text: str = "text", sentences: dict[str, list[str]]
     frame = docs.select("doc_id", low.alias("text"))
     told = F.lit(False)
     for word in TRIGGERS:
-        told = told | F.col("text").contains(word)
+        told = told | F.col("text").rlike(word.replace(" ", "[^a-z0-9]+"))
     frame = frame.select("doc_id", F.when(told, sequence(F.col("text"), sentences)).otherwise("").alias("ids"))
     frame = frame.select("doc_id", "ids", F.when(F.col("ids") != "", read_rules(F.col("ids"), rules)["found"]).alias("found"))
     found = F.coalesce("found", F.array().cast("array<struct<licence:string,kind:string>>"))

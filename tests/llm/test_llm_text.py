@@ -87,6 +87,56 @@ def test_licence_sentences_and_rules(spark):
     assert all(any(t in f for t in licences.TRIGGERS) for fs in licences.SENTENCES.values() for f in fs)
 
 
+MIT = """Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE."""
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def test_wrapped_licence_notices(spark):
+    marked = lambda t, mark: "\r\n".join(f"{mark} {x}".rstrip() for x in t.split("\n"))
+    texts = {"MIT": MIT, "BSD": BSD, "GPL-2.0-or-later": GPL2, "GPL-3.0-or-later": GPL3}
+    ids = {"MIT": "MITGrant,MITNotice,AsIs", "BSD": "BSDGrant,?,AsIs", "GPL-2.0-or-later": "GPLFree,GPLTerms,GPLEither2", "GPL-3.0-or-later": "GPLGrant3"}
+    want = [(n, v) for n, t in texts.items() for v in (t, f"some code\n{t}\nmore", *[marked(t, m) for m in ("#", " *", "//", ";", "--")], re.sub(r"(?<!\n)\n(?!\n)", " ", t))]
+    got = {r["doc_id"]: r for r in licences.scanned(frame(spark, [(k, v) for k, (_, v) in enumerate(want)])).collect()}
+    assert [got[k]["licences"] for k in range(len(want))] == [n for n, _ in want]
+    assert all(ids[n] in got[k]["sentence_ids"] for k, (n, _) in enumerate(want))
+    odd = [(1, "Dedicated to the public\ndomain"), (2, "all rights\n\nreserved"), (3, "x all rights\nreserved"), (4, "All rights\nreserved\nall rights reserved\nby us")]
+    assert {r[0]: r[1] for r in licences.scanned(frame(spark, odd)).collect()} == {1: "CC0", 2: "", 3: "", 4: "AllRights,AllRights,?"}
+
+
 def luhn(digits):
     return sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 

@@ -5,8 +5,10 @@ personalised PageRank flows from trusted hosts along links, another from blocked
 them (who links to a blocked host is suspect), and a host whose distrust is above ``ratio`` times
 its trust is blocked. Seeds are the hosts with more pages allowed than blocked by rules, and those
 with more blocked, each weighted by the difference. Edges are the links between different hosts in
-the pages' html, counted, and the ties of a host to its parent domains of two labels or more that
-have pages themselves (``tie`` links each way), since one operator runs both.
+the pages' html, counted, and the ties of a host to its parent domains of two labels or more
+(``tie`` links each way), since one operator runs them. Parent domains are nodes whether or not they
+have pages, so hosts beside each other reach each other; ports don't count, addresses of numbers have
+no parents, and registries such as co.uk are none. The walks go on until they change by less than ``TOLERANCE``.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Path: what
 follows up to ``?``, ``#`` or the end. A NULL url, or one without ``://``, has both empty, fits no
@@ -25,7 +27,14 @@ from strandline.session import cut_lineage
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?is)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
 DAMPING = 0.85
-ROUNDS = 20
+#: Largest sum of changes between two looks at which the walks end; their totals are at most 1.
+TOLERANCE = 1e-9
+#: Rounds between two looks.
+LOOK = 5
+#: Moves from one host that stay together in a join.
+WIDE = 10_000
+#: Labels below a country's that many owners share.
+REGISTRY = r"^(ac|co|com|edu|gob|gov|gv|ltd|mil|ne|net|nom|or|org|sch)\.[a-z]{2}$"
 #: Rules of the registered query: (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -64,21 +73,23 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def domain_ties(hosts: DataFrame, tie: float = 1.0) -> DataFrame:
-    """(src, dst, n): each host and its parent domains among the hosts, both ways."""
-    labels = F.split("host", r"\.")
+    """(src, dst, n): each host and its parent domains, with or without pages, both ways."""
+    labels = F.split(F.regexp_replace("host", ":[0-9]*$", ""), r"\.")
     parents = F.transform(F.sequence(F.lit(2), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    up = hosts.where(F.size(labels) >= 3).select(F.col("host").alias("src"), F.explode(parents).alias("dst")).where("dst LIKE '%.%'")
-    up = up.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi").select("src", "dst", F.lit(tie).alias("n"))
+    up = hosts.where((F.size(labels) >= 3) & ~F.col("host").rlike("^[0-9.]+(:[0-9]*)?$"))
+    up = up.select(F.col("host").alias("src"), F.explode(parents).alias("dst"), F.lit(tie).alias("n")).where(F.col("dst").rlike(r"^[^.]+\.") & ~F.col("dst").rlike(REGISTRY))
     return up.unionAll(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE, wide: int = WIDE) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, n) and seeds (host, trust, distrust).
 
     Both walks take one join and one sum a round. Trust leaves a host along its links, distrust
     against them, each in proportion to n; what a host without way on holds is lost. The rest of
-    a walk that isn't damped starts anew at its seeds, whose shares sum to 1. After ``rounds``
-    rounds what is still to come is below damping ** rounds of either total.
+    a walk that isn't damped starts anew at its seeds, whose shares sum to 1. What is still to come
+    shrinks by ``damping`` a round, so the walks end: once the scores change by less than ``tolerance`` in
+    all between two looks, or after ``rounds`` rounds if given. Hosts of more than ``wide`` moves
+    are dealt into parts by where these lead.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("into"))
@@ -86,22 +97,35 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rou
     moves = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("out")).alias("t"), F.lit(0.0).alias("d"))
     back = edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("n") / F.col("into")).alias("d"))
     moves = stored(moves.unionAll(back).groupBy("host", "to").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "host-moves")
+    parts = moves.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / F.lit(wide)).cast("int").alias("parts")).where("parts > 1")
+    parts, on = stored(parts, "wide-hosts"), ["host"]
+    if not parts.isEmpty():
+        dealt = moves.join(parts, "host", "left").withColumn("part", F.pmod(F.xxhash64("to"), F.coalesce("parts", F.lit(1))).cast("int"))
+        moves, on = stored(dealt.drop("parts"), "dealt-moves"), ["host", "part"]
     total = seeds.agg(F.struct(F.sum("trust").alias("t"), F.sum("distrust").alias("d"))).scalar()
     share = lambda c, k: F.coalesce(F.col(c) / F.nullif(total[k], F.lit(0.0)), F.lit(0.0)).alias(c)
     start = stored(seeds.select("host", share("trust", "t"), share("distrust", "d")), "host-seeds")
     base = start.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust"))
-    state = start
-    for k in range(rounds):
-        moved = state.join(moves, "host").select(
+    state = seen = start
+    k = 0
+    while rounds is None or k < rounds:
+        k += 1
+        if len(on) > 1:
+            state = state.join(parts, "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        moved = state.join(moves, on).select(
             F.col("to").alias("host"), (damping * F.col("trust") * F.col("t")).alias("trust"), (damping * F.col("distrust") * F.col("d")).alias("distrust")
         )
         state = moved.unionAll(base).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if k % 5 == 4:
+        if k % LOOK == 0:
             state = cut_lineage(state)
+            apart = state.unionAll(seen.select("host", -F.col("trust"), -F.col("distrust"))).groupBy("host").agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d"))
+            if (apart.agg(F.sum(F.abs("t") + F.abs("d"))).first()[0] or 0.0) < tolerance:
+                break
+            seen = state
     return state
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]], ratio: float = 1.0, url: str = "url", html: str = "html", rounds: int = ROUNDS) -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]], ratio: float = 1.0, url: str = "url", html: str = "html", rounds: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust, of every row."""
     parts = stored(ruled(pages, rules, url), "ruled-pages")
     counts = parts.where("host <> ''").groupBy("host").agg(

@@ -105,6 +105,29 @@ def test_pages_without_rows_or_rules(spark):
     assert [r["verdict"] for r in url_graph.judged(pages, [], rounds=5).collect()] == ["allow"]
 
 
+def test_distrust_reaches_hosts_beside_a_blocked_one(spark):
+    urls = ["http://bad.site.net/x", "http://new.site.net:80/", "http://one.co.uk/x", "http://two.co.uk/", "http://10.0.0.1/x", "http://9.0.0.1/", "http://good.shop.net/", "http://far.shop.net/"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    rules = [("block", h, "/x") for h in ("site.net", "one.co.uk", "10.0.0.1")] + [("allow", "good.shop.net", "/")]
+    got = {r["host"]: r for r in url_graph.judged(pages, rules).collect()}
+    assert {h for h, r in got.items() if r["verdict"] == "block"} == {"bad.site.net", "new.site.net:80", "one.co.uk", "10.0.0.1"}
+    assert got["new.site.net:80"]["rule"] is None and got["new.site.net:80"]["distrust"] > 0 and got["far.shop.net"]["trust"] > 0
+    ties = url_graph.domain_ties(spark.createDataFrame([("a.b.c.de",), ("b.de",)], "host string")).collect()
+    assert {(r["src"], r["dst"]) for r in ties} == {(x, y) for p in ("b.c.de", "c.de") for x, y in (("a.b.c.de", p), (p, "a.b.c.de"))}
+
+
+def test_walks_end_where_nothing_moves(spark):
+    n = 34
+    links = [(f"h{k}.x", f"h{k + 1}.x", 1.0) for k in range(n)] + [("h0.x", f"s{k}.x", 1.0) for k in range(30)]
+    edges = spark.createDataFrame(links, "src string, dst string, n double").localCheckpoint()
+    seeds = spark.createDataFrame([(f"h{n}.x", 0.0, 1.0), ("h0.x", 1.0, 0.0)], "host string, trust double, distrust double")
+    once = {r["host"]: r for r in url_graph.propagated(edges, seeds).collect()}
+    assert all(math.isclose(once[f"h{n - k}.x"]["distrust"], 0.15 * 0.85**k, rel_tol=1e-6) for k in range(n + 1))
+    assert math.isclose(once["s3.x"]["trust"], 0.15 * 0.85 / 31, rel_tol=1e-6)
+    dealt = {r["host"]: r for r in url_graph.propagated(edges, seeds, wide=7).collect()}
+    assert once.keys() == dealt.keys() and all(math.isclose(once[h][c], dealt[h][c], abs_tol=1e-12) for h in once for c in ("trust", "distrust"))
+
+
 def test_language_model(spark):
     rows = [(i, t and t.replace("w", "The ")) for i, t in rows_of(4, 120)] + [(1000, "日本語 İx " + "y" * 300), (1001, "\u00e9t\u00e9 \U0001f642")]
     path = public_tokenizers.path("piece_bpe_32k.model")

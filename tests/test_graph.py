@@ -158,3 +158,32 @@ def test_numbered_edges(spark):
     df = spark.createDataFrame([(2, "b"), (1, "a"), (1, "c")], "s int, t string")
     got = graph.edge_set(df, "links", "x", F.col("s"), "y", F.col("t"), "edge_").orderBy("edge_id").collect()
     assert [(r["edge_id"], r["source_node_id"], r["target_node_id"]) for r in got] == [("edge_1", "x_1", "y_a"), ("edge_2", "x_1", "y_c"), ("edge_3", "x_2", "y_b")]
+
+
+def test_components_query_over_all_edges(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    tables = {
+        "orders": ("o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string, o_orderdate date, o_totalprice double", [(k, k, "1", "O", None, 1.0) for k in range(40)]),
+        "customer": ("c_custkey long, c_name string", [(k, f"c{k}") for k in range(42)]),
+        "part": ("p_partkey long, p_name string, p_type string, p_size int, p_brand string", [(k, "p", "t", 1, f"b{k if k < 44 else 44}") for k in range(48)]),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey long", [(k, "s", 1) for k in range(45)]),
+        # Two long paths of orders, one over common parts and one over common suppliers.
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long", [(k, k + j, k) if k < 20 else (k, k + 1, k + j) for k in range(40) for j in (0, 1)]),
+    }
+    for name, (schema, data) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    built = queries()["build_edges"](spark, str(tmp_path)).collect()
+    root = {r["node_id"]: r["node_id"] for r in queries()["build_nodes"](spark, str(tmp_path)).collect()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for e in built:
+        a, z = sorted((find(e["source_node_id"]), find(e["target_node_id"])))
+        root[z] = a
+    got = dict(tuple(r) for r in queries()["weak_components_all"](spark, str(tmp_path)).select("node_id", "component").collect())
+    assert got == {n: find(n) for n in root}
+    assert got["film_0"] == got["film_19"] != got["film_20"] == got["film_39"] and got["character_44"] == got["character_47"]

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import bpe, decontaminate, lattice_lm, licences, line_dedup, ngram_join, pii, quality_hosts, token_counts, url_graph
+from strandline.llm import bpe, decontaminate, hard_negatives, lattice_lm, lexical_search, licences, line_dedup, ngram_join, pii, quality_hosts, token_counts, token_planes, url_graph
 from strandline.llm.common import read
 from strandline.llm.twins import SQL as TWINS
+from strandline.session import scratch_path
 
 
 def vocabulary(name: str) -> str:
@@ -65,6 +67,21 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(read(spark, folder, "documents"), vocabulary(WORD_BPE))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    seventh = F.pmod(F.col("vec_id"), F.lit(7)) == 0
+    label = F.when(seventh, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    rows = hard_negatives.prepared(read(spark, folder, "embeddings"), label)
+    return hard_negatives.mined(rows, F.pmod(F.col("vec_id"), F.lit(100)) == 0)
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.ranked(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+def op13_token_planes(spark: SparkSession, folder: str) -> DataFrame:
+    return token_planes.round_trip(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), scratch_path(spark, "token-planes"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -76,5 +93,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_bpe": op10_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_token_planes": op13_token_planes,
 }
 SQL: dict[str, str] = TWINS

@@ -67,9 +67,30 @@ o AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (g.k IS NULL) AS n_kep
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_lines - n_kept, 0)::BIGINT AS n_removed, coalesce(kept, '') AS kept_lines FROM documents LEFT JOIN o USING (doc_id)"""
 
 
+def _hard_negatives() -> str:
+    return """WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 5"""
+
+
+def _lexical_search() -> str:
+    terms = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""WITH d AS (SELECT doc_id, {terms} AS w FROM documents), c AS (SELECT count(*) FILTER (len(w) > 0) AS nd, sum(len(w))::BIGINT AS nt FROM d),
+t AS (SELECT doc_id, t, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY doc_id, t),
+f AS (SELECT t, count(*) AS df FROM t GROUP BY t), b AS (SELECT DISTINCT item_id, unnest({terms}) AS t FROM benchmark),
+q AS (SELECT item_id, t, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) AS w FROM b JOIN f USING (t), c),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // nt)))) AS BIGINT) AS score FROM q JOIN t USING (t), c GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER r AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 WINDOW r AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER r <= 10"""
+
+
 SQL = {
     "op1_quality_rules": _quality(),
     "op2_decontamination": _contamination(),
     "op4_line_dedup": _lines(),
     "op7_license_scans": _licences(),
+    "op11_hard_negatives": _hard_negatives(),
+    "op12_lexical_search": _lexical_search(),
 }

@@ -138,3 +138,14 @@ def exact_quantiles(
         share = 0.0 if m <= 1 else min(1.0, max(0.0, (ranks[i] - below) / (m - 1)))
         picks.append(F.percentile(F.when(inside(lo, hi), F.col("v")), F.lit(share)).alias(f"q{i}"))
     return list(values.agg(*picks).first())
+
+
+def half_up_ratio(num: Column, den: Column, digits: int) -> Column:
+    """num / den of whole numbers, rounded half away from zero, in whole numbers up to the last step.
+
+    Free of the order of sums and of the rounding of doubles; 0 where there is nothing to divide by.
+    """
+    n, d = (F.coalesce(c, F.lit(0)).cast("decimal(38,0)") for c in (num, den))
+    scaled = F.abs(n) * F.lit(2 * 10**digits).cast("decimal(12,0)") + d
+    units = F.call_function("div", scaled, F.nullif(d * F.lit(2), F.lit(0).cast("decimal(38,0)")))
+    return F.coalesce(F.sign(n) * units / F.lit(float(10**digits)), F.lit(0.0))

@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from strandline.functions import dims as fd
 from strandline.functions import text
-from strandline.operators.ordered import global_row_ids, top_k
+from strandline.operators.ordered import chunked_running_sum, global_row_ids, top_k
 from strandline.operators.series import lines_of_peaks
+from strandline.session import scratch_path
 
 # Patterns of the answer rubric and its weights.
 STATISTICAL_PATTERNS = [
@@ -411,8 +411,10 @@ def running_cost_ledger(
     ``usage`` has input_tokens and output_tokens, ``prices`` input and output prices per
     1000 tokens and model; unknown models pay the fallback model's price. A call that would
     bring its session's total to the limit is rejected and not charged, and a cheaper one
-    behind it may still pass. Whether a call passes depends on all before it, so each session
-    is read in its order; only its running total is kept, however long it is.
+    behind it may still pass. A call without a cost is neither charged nor rejected.
+
+    Calls are numbered along (session, seq) and the sums run over chunks of that order, so a session
+    may be spread over any number of tasks. :func:`rejected_calls` says which calls aren't charged.
     """
     default = prices.filter(F.col("model") == fallback).select(F.struct("input", "output").alias("p")).scalar()
     known = prices.select(F.col("model").alias("_m"), F.struct("input", "output").alias("_p"))
@@ -420,25 +422,53 @@ def running_cost_ledger(
     cost = F.col("input_tokens") / 1000.0 * F.col("_p.input") + F.col("output_tokens") / 1000.0 * F.col("_p.output")
     charged = priced.withColumn("cost", cost).drop("_m", "_p")
     names = charged.columns
-    result = StructType([*charged.schema.fields, StructField("session_total", DoubleType()), StructField("_before", DoubleType()), StructField("rejected", BooleanType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        started, current, total = False, None, 0.0
-        for batch in batches:
-            after, before, rejected = [], [], []
-            for key, price in zip(batch[session], batch["cost"]):
-                if not started or (key != current and not (pd.isna(key) and pd.isna(current))):
-                    started, current, total = True, key, 0.0
-                over = total + price >= limit
-                before.append(total)
-                total = total if over else total + price
-                after.append(total)
-                rejected.append(over)
-            yield batch[names].assign(session_total=after, _before=before, rejected=rejected)
-
-    ordered = charged.repartition(session).sortWithinPartitions(session, seq)
-    out = ordered.mapInPandas(run, result)
-    crossed = F.filter(
-        F.array(*[F.when((F.col("_before") < t) & (F.col("session_total") >= t), F.lit(t)) for t in thresholds]), lambda x: x.isNotNull()
-    )
+    numbered = global_row_ids(charged, [session, seq], "_row")
+    at = scratch_path(usage.sparkSession, "numbered-calls")
+    numbered.withColumn("_of", F.coalesce(F.concat(F.lit("="), F.col(session).cast("string")), F.lit(""))).write.parquet(at)
+    calls = usage.sparkSession.read.parquet(at)
+    gone = rejected_calls(calls.select("_of", "_row", F.coalesce("cost", F.lit(0.0)).alias("cost")), limit)
+    marked = calls.join(gone.select("_row", F.lit(True).alias("rejected")), "_row", "left").withColumn("rejected", F.coalesce("rejected", F.lit(False)))
+    paid = F.when(F.col("rejected"), F.lit(0.0)).otherwise(F.coalesce("cost", F.lit(0.0)))
+    out = chunked_running_sum(marked.withColumn("_paid", paid), ["_of"], ["_row"], F.col("_paid"), "session_total", F.floor(F.col("_row") / CHUNK_CALLS))
+    # what was paid before is a difference of sums, so both sides are compared beyond its rounding
+    before, after = F.round(F.col("session_total") - F.col("_paid"), 9), F.round("session_total", 9)
+    crossed = F.filter(F.array(*[F.when((before < t) & (after >= t), F.lit(t)) for t in thresholds]), lambda x: x.isNotNull())
     return out.select(*names, "session_total", crossed.alias("thresholds_crossed"), "rejected")
+
+
+#: Calls of one session that a task sums up together.
+CHUNK_CALLS = 100_000
+
+
+def rejected_calls(calls: DataFrame, limit: float, chunk: int = CHUNK_CALLS) -> DataFrame:
+    """(_of, _row) of the calls that a saturating sum leaves out, from (_of, _row, cost).
+
+    What a session has paid only grows, so its room only shrinks. One running sum settles all sessions
+    that stay below the limit, and the others up to their first crossing, which is rejected. Behind it
+    a call that costs no less than the room left is rejected for good; only cheaper ones go into the
+    next round, over their own calls alone. Every round charges or rejects the first open call of each
+    session at least; lineage is cut by a written table each round.
+    """
+    spark = calls.sparkSession
+    gone: list[DataFrame] = []
+    open_ = calls.withColumn("paid", F.lit(0.0))
+    while True:
+        at = scratch_path(spark, "open-calls")
+        open_.write.parquet(at)
+        open_ = spark.read.schema("_of string, _row bigint, cost double, paid double").parquet(at)
+        total = F.col("paid") + F.col("sum")
+        summed = chunked_running_sum(open_, ["_of"], ["_row"], F.col("cost"), "sum", F.floor(F.col("_row") / chunk))
+        crossing = summed.where(total >= limit).groupBy("_of").agg(F.min(F.struct("_row", (total - F.col("cost")).alias("paid"))).alias("x"))
+        at = scratch_path(spark, "crossings")
+        crossing.select("_of", F.col("x._row").alias("first"), F.col("x.paid").alias("now")).write.parquet(at)
+        crossing = spark.read.schema("_of string, first bigint, now double").parquet(at)
+        if crossing.isEmpty():
+            break
+        later = open_.join(crossing, "_of").where(F.col("_row") >= F.col("first"))
+        fits = (F.col("_row") > F.col("first")) & (F.col("now") + F.col("cost") < limit)
+        gone.append(later.where(~fits).select("_of", "_row"))
+        open_ = later.where(fits).select("_of", "_row", "cost", F.col("now").alias("paid"))
+    out = calls.select("_of", "_row").where("false")
+    for part in gone:
+        out = out.unionAll(part)
+    return out

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -392,3 +394,84 @@ def co_members(seeds: DataFrame, edges: DataFrame, edge_type: str) -> DataFrame:
         own.join(links, "target").filter(F.col("member") != F.col("seed"))
         .groupBy("seed", "member").agg(F.count(F.lit(1)).alias("shared"))
     )
+
+
+def co_members_topk(edges: DataFrame, edge_type: str, k: int = 10, seeds: DataFrame | None = None, block_members: int = 20_000) -> DataFrame:
+    """seed, member, shared, rank: the k members that share most targets with every seed (every member without seeds).
+
+    The product of the incidence table with itself, block by block: members are dealt into blocks by hash,
+    and a tile multiplies two blocks and passes on k rows a member, so no list of pairs is
+    shuffled. A target of many members is spread over all tiles, each of which meets two
+    blocks' share of it. Targets of one member are left out first. Ties go by the member's id.
+    """
+    links = edges.filter(F.col("edge_type") == edge_type).select(F.col(SRC).alias("member"), F.col(DST).alias("target"))
+    links = links.where(F.col("member").isNotNull() & F.col("target").isNotNull()).distinct()
+    shared = links.groupBy("target").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("target")
+    links = cut_lineage(links.join(shared, "target"))
+    blocks = max(1, -(-links.select("member").distinct().count() // block_members))
+    dealt = links.withColumn("block", F.pmod(F.xxhash64("member"), F.lit(blocks)).cast("int"))
+    if seeds is None:
+        dealt = dealt.withColumn("asked", F.lit(True))
+    else:
+        wanted = seeds.select(F.col("node_id").alias("member")).distinct().withColumn("asked", F.lit(True))
+        dealt = dealt.join(wanted, "member", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    row = ["member", "target", "asked"]
+    left = dealt.select(*row, F.col("block").alias("bi"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("bj"))
+    right = dealt.select(*[F.col(c).alias(c) for c in row], F.explode(F.sequence(F.lit(0), F.col("block"))).alias("ci"), F.col("block").alias("cj"))
+
+    def tile(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        here = [_best_partners(a, b, k)]
+        if key[0] != key[1]:
+            here.append(_best_partners(b, a, k))
+        return pd.concat(here, ignore_index=True)
+
+    kinds = dict(links.dtypes)
+    schema = f"seed {kinds['member']}, member {kinds['member']}, shared bigint"
+    found = left.groupBy("bi", "bj").cogroup(right.groupBy("ci", "cj")).applyInPandas(tile, schema)
+    return top_k(found, ["seed"], [F.col("shared").desc(), F.col("member").asc()], k)
+
+
+#: Pairs that a tile holds at once.
+TILE_PAIRS = 4_000_000
+
+
+def _best_partners(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(seed, member, shared): for each asked member of one block the k others of another that share most targets."""
+    a = a[a["asked"]]
+    none = pd.DataFrame({"seed": a["member"].iloc[:0], "member": a["member"].iloc[:0], "shared": np.empty(0, np.int64)})
+    if a.empty or b.empty:
+        return none
+    targets, _ = pd.factorize(pd.concat([a["target"], b["target"]], ignore_index=True))
+    seeds, seed_ids = pd.factorize(a["member"], sort=True)
+    others, other_ids = pd.factorize(b["member"], sort=True)
+    order = np.argsort(targets[len(a):], kind="stable")
+    held, others = targets[len(a):][order], others[order]
+    rows = np.argsort(seeds, kind="stable")
+    seeds, wanted = seeds[rows], targets[: len(a)][rows]
+    low, high = np.searchsorted(held, wanted, "left"), np.searchsorted(held, wanted, "right")
+    sizes = high - low
+    own = pd.Index(other_ids).get_indexer(seed_ids)
+    borders = np.append(np.flatnonzero(np.append(True, seeds[1:] != seeds[:-1])), seeds.size)
+    pairs = np.append(0, np.cumsum(sizes))
+    out, first = [], 0
+    while first < borders.size - 1:
+        last = max(first + 1, int(np.searchsorted(pairs[borders], pairs[borders[first]] + TILE_PAIRS, "right")) - 1)
+        cut = slice(borders[first], borders[last])
+        if last == first + 1:
+            total = np.zeros(other_ids.size, np.int64)
+            for lo, hi in zip(low[cut].tolist(), high[cut].tolist()):
+                total[others[lo:hi]] += 1
+            partner = np.flatnonzero(total)
+            seed, count = np.full(partner.size, seeds[borders[first]]), total[partner]
+        else:
+            at = np.repeat(low[cut] - (pairs[cut] - pairs[borders[first]]), sizes[cut]) + np.arange(pairs[borders[last]] - pairs[borders[first]])
+            cells, count = np.unique(np.repeat(seeds[cut], sizes[cut]) * other_ids.size + others[at], return_counts=True)
+            seed, partner = cells // other_ids.size, cells % other_ids.size
+        other = partner != own[seed]
+        seed, partner, count = seed[other], partner[other], count[other]
+        best = np.lexsort((partner, -count, seed))
+        seed, partner, count = seed[best], partner[best], count[best]
+        keep = np.arange(seed.size) - np.searchsorted(seed, seed, "left") < k
+        out.append(pd.DataFrame({"seed": np.asarray(seed_ids)[seed[keep]], "member": np.asarray(other_ids)[partner[keep]], "shared": count[keep]}))
+        first = last
+    return pd.concat(out, ignore_index=True) if out else none

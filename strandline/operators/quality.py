@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions import stats as fs
 from strandline.functions import dims as fd
 from strandline.functions import text
 from strandline.operators.matching import orphans
@@ -599,47 +600,44 @@ def consistency_rate(groups: DataFrame, status: str, drift: str, keys: list[str]
 
 
 def compare_runs(
-    baseline: DataFrame, new: DataFrame, status: str, drift: str, member: str, target: float = 75.0
+    baseline: DataFrame, new: DataFrame, status: str, drift: str, member: str, target: float = 75.0,
+    digits: int = 5, drift_digits: int = 4,
 ) -> DataFrame:
     """Change of pass rate and mean drift from one run to another, overall and per member.
 
-    Both runs go through one aggregation over (member, run) with the overall line as
-    a rollup.
+    Both runs go through one aggregation over (member, run) with the overall line as a rollup.
+    Drifts are summed as whole numbers of ``drift_digits`` decimals and rates come from exact
+    counts, so no figure depends on the order of rows; figures are rounded to ``digits``.
     """
     tagged = baseline.select(status, drift, member, F.lit(0).alias("_run")).unionByName(
         new.select(status, drift, member, F.lit(1).alias("_run"))
     )
-
-    def n(run: int, *labels: str) -> Column:
-        hit = F.col("_run") == run
-        if labels:
-            hit = hit & F.upper(F.col(status)).isin(*labels)
-        return F.count(F.when(hit, 1))
-
-    def rate(run: int) -> Column:
-        return F.coalesce(F.try_divide(n(run, "PASS").cast("double"), n(run).cast("double")) * 100, F.lit(0.0))
-
-    def mean(run: int) -> Column:
-        return F.coalesce(F.avg(F.when(F.col("_run") == run, F.col(drift))), F.lit(0.0))
-
-    out = tagged.rollup(member).agg(
-        F.grouping(member).alias("_all"),
-        n(0).alias("baseline_total"),
-        n(1).alias("new_total"),
-        rate(0).alias("baseline_pass_rate"),
-        rate(1).alias("new_pass_rate"),
-        mean(0).alias("baseline_drift"),
-        mean(1).alias("new_drift"),
-    )
+    units = F.round(F.col(drift) * 10**drift_digits).cast("decimal(20,0)")
+
+    def of(run: int, value: Column) -> Column:
+        return F.when(F.col("_run") == run, value)
+
+    sums = [F.grouping(member).alias("_all")]
+    for run in (0, 1):
+        sums += [
+            F.count(of(run, F.lit(1))).alias(f"n{run}"),
+            F.count(of(run, F.when(F.upper(F.col(status)) == "PASS", 1))).alias(f"p{run}"),
+            F.count(of(run, units)).alias(f"m{run}"),
+            F.coalesce(F.sum(of(run, units)), F.lit(0)).alias(f"s{run}"),
+        ]
+    out = tagged.rollup(member).agg(*sums)
+    n, p, m, s = ([F.col(f"{c}{run}").cast("decimal(18,0)") for run in (0, 1)] for c in "npms")
+    m = [F.greatest(x, F.lit(1).cast("decimal(18,0)")) for x in m]
+    scale = F.lit(10**drift_digits).cast("decimal(9,0)")
     return out.select(
         F.when(F.col("_all") == 1, "_ALL_").otherwise(F.col(member)).alias(member),
-        "baseline_total",
-        "new_total",
-        "baseline_pass_rate",
-        "new_pass_rate",
-        (F.col("new_pass_rate") - F.col("baseline_pass_rate")).alias("pass_rate_change"),
-        (F.col("baseline_drift") - F.col("new_drift")).alias("drift_reduction"),
-        (F.col("new_pass_rate") >= target).alias("target_met"),
+        F.col("n0").alias("baseline_total"),
+        F.col("n1").alias("new_total"),
+        fs.half_up_ratio(p[0] * 100, n[0], digits).alias("baseline_pass_rate"),
+        fs.half_up_ratio(p[1] * 100, n[1], digits).alias("new_pass_rate"),
+        fs.half_up_ratio((p[1] * n[0] - p[0] * n[1]) * 100, n[0] * n[1], digits).alias("pass_rate_change"),
+        fs.half_up_ratio(s[0] * m[1] - s[1] * m[0], m[0] * m[1] * scale, digits).alias("drift_reduction"),
+        ((F.col("p1") * 100 >= F.col("n1") * target) & (F.col("n1") > 0)).alias("target_met"),
     )
 
 

@@ -202,10 +202,15 @@ SQL["similarity_network"] = f"""WITH sold AS (SELECT DISTINCT n_name, p_size, p_
 attr AS (SELECT n_name AS entity, 'director' AS kind, CAST(n_regionkey AS VARCHAR) AS attribute FROM nation UNION SELECT n_name, 'location', CAST(p_size AS VARCHAR) FROM sold UNION SELECT n_name, 'species', p_brand FROM sold),
 hits AS (SELECT x.entity AS entity_a, y.entity AS entity_b, x.kind, x.attribute FROM attr x JOIN attr y ON y.kind = x.kind AND y.attribute = x.attribute AND x.entity < y.entity),
 sc AS ({_SQL_SCORE}) SELECT * FROM sc WHERE score >= 78"""
-Q["co_members"] = lambda s, f: graph.co_members(
-    T(s, f, "part").filter("p_brand = 'Brand#7'").select(F.concat(F.lit("character_"), F.col("p_partkey").cast("string")).alias("node_id")),
-    edges(s, f), "appears_in",
-)
-SQL["co_members"] = f"""WITH {SQL_EDGES}, lk AS (SELECT DISTINCT source_node_id AS member, target_node_id AS target FROM edges WHERE edge_type = 'appears_in'),
-sd AS (SELECT 'character_' || p_partkey AS seed FROM part WHERE p_brand = 'Brand#7')
-SELECT seed, z.member, count(*) AS shared FROM sd JOIN lk a ON a.member = seed JOIN lk z ON z.target = a.target WHERE z.member <> seed GROUP BY ALL"""
+def _parts(s, f):
+    return T(s, f, "part").select(F.concat(F.lit("character_"), F.col("p_partkey").cast("string")).alias("node_id"))
+
+
+Q["co_members"] = lambda s, f: graph.co_members(_parts(s, f), edges(s, f), "appears_in")
+_SQL_SHARED = f"""WITH {SQL_EDGES}, lk AS (SELECT DISTINCT source_node_id AS member, target_node_id AS target FROM edges WHERE edge_type = 'appears_in'),
+sd AS (SELECT 'character_' || p_partkey AS seed FROM part),
+sh AS (SELECT seed, z.member, count(*) AS shared FROM sd JOIN lk a ON a.member = seed JOIN lk z ON z.target = a.target WHERE z.member <> seed GROUP BY ALL)"""
+SQL["co_members"] = f"{_SQL_SHARED} SELECT * FROM sh"
+Q["co_members_topk"] = lambda s, f: graph.co_members_topk(edges(s, f), "appears_in", 10, _parts(s, f))
+SQL["co_members_topk"] = f"""{_SQL_SHARED} SELECT seed, member, shared, row_number() OVER (PARTITION BY seed ORDER BY shared DESC, member) AS rank FROM sh
+QUALIFY row_number() OVER (PARTITION BY seed ORDER BY shared DESC, member) <= 10"""

@@ -277,16 +277,19 @@ Q["consistency_rate"] = lambda s, f: b.rounded(
 )
 SQL["consistency_rate"] = f"""WITH {_SQL_GROUP}, st AS (SELECT CASE WHEN members > 1 AND worst > 10 THEN 'FAIL' ELSE 'PASS' END AS status, CASE WHEN members = 1 THEN 0.0 ELSE round(worst, 2) END AS md FROM grp)
 SELECT {_P} AS consistent, count(*) - {_P} AS inconsistent, round({_P} / count(*) * 100, 4) AS consistency_rate, round(avg(md), 4) AS average_max_drift FROM st"""
-Q["compare_runs"] = lambda s, f: b.rounded(
-    quality.compare_runs(_results(s, f), _results(s, f, 0.97), "status", "drift", "event_type"),
-    ["baseline_pass_rate", "new_pass_rate", "pass_rate_change", "drift_reduction"], 5,
-)
+Q["compare_runs"] = lambda s, f: quality.compare_runs(_results(s, f), _results(s, f, 0.97), "status", "drift", "event_type")
+
+
+def _sql_half_up(num: str, den: str, digits: int = 5) -> str:
+    return f"sign({num}) * ((abs(({num})::HUGEINT) * {2 * 10**digits} + ({den})) // (2 * ({den}))) / {10**digits}.0::DOUBLE"
+
+
 SQL["compare_runs"] = f"""WITH {_SQL_DURS}, {_sql_results("res", "1.0::DOUBLE")}, {_sql_results("nres", "0.97::DOUBLE")},
-u AS (SELECT *, 0 AS run FROM res UNION ALL SELECT *, 1 FROM nres),
-v AS (SELECT CASE WHEN grouping(event_type) = 1 THEN '_ALL_' ELSE event_type END AS event_type, count(CASE WHEN run = 0 THEN 1 END) AS baseline_total, count(CASE WHEN run = 1 THEN 1 END) AS new_total,
-  count(CASE WHEN run = 0 AND status = 'PASS' THEN 1 END) / count(CASE WHEN run = 0 THEN 1 END) * 100 AS bp, count(CASE WHEN run = 1 AND status = 'PASS' THEN 1 END) / count(CASE WHEN run = 1 THEN 1 END) * 100 AS np,
-  avg(CASE WHEN run = 0 THEN drift END) AS bd, avg(CASE WHEN run = 1 THEN drift END) AS nd FROM u GROUP BY ROLLUP (event_type))
-SELECT event_type, baseline_total, new_total, round(bp, 5) AS baseline_pass_rate, round(np, 5) AS new_pass_rate, round(np - bp, 5) AS pass_rate_change, round(bd - nd, 5) AS drift_reduction, np >= 75 AS target_met FROM v"""
+u AS (SELECT *, CAST(round(drift * 10000) AS BIGINT) AS d, 0 AS run FROM res UNION ALL SELECT *, CAST(round(drift * 10000) AS BIGINT), 1 FROM nres),
+v AS (SELECT CASE WHEN grouping(event_type) = 1 THEN '_ALL_' ELSE event_type END AS event_type, {", ".join(f"count(CASE WHEN run = {r} THEN 1 END) AS n{r}, count(CASE WHEN run = {r} AND status = 'PASS' THEN 1 END) AS p{r}, count(CASE WHEN run = {r} THEN d END) AS m{r}, sum(CASE WHEN run = {r} THEN d END) AS s{r}" for r in (0, 1))}
+FROM u GROUP BY ROLLUP (event_type))
+SELECT event_type, n0 AS baseline_total, n1 AS new_total, {_sql_half_up("100 * p0", "n0")} AS baseline_pass_rate, {_sql_half_up("100 * p1", "n1")} AS new_pass_rate,
+{_sql_half_up("100 * (p1 * n0 - p0 * n1)", "n0 * n1")} AS pass_rate_change, {_sql_half_up("s0 * m1 - s1 * m0", "m0 * m1 * 10000")} AS drift_reduction, 100 * p1 >= 75 * n1 AS target_met FROM v"""
 
 
 def _featured(s, f):

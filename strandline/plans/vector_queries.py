@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import dims as fd
 from strandline.functions import text
 from strandline.functions import vectors as fv
-from strandline.operators import corpus, series, similarity
+from strandline.operators import corpus, series, similarity, vector_index
 from strandline.plans import base as b
 from strandline.plans import reports
 from strandline.plans.cleaning_queries import _SQL_WORDS, WS, _quote
@@ -50,11 +53,13 @@ SQL["fingerprint"] = f"""WITH {_SQL_NV}, l AS (SELECT nation, unnest(['qty', 'pr
 t AS (SELECT dimension FROM l GROUP BY 1 ORDER BY sum(v) DESC LIMIT 3) SELECT nation, dimension, round(v * 100, 6) AS value FROM l WHERE dimension IN (SELECT dimension FROM t)"""
 
 
-def _label_queries(s, f):
-    return T(s, f, "embeddings").groupBy(F.col("label").alias("query_label")).agg(F.min_by("embedding", "vec_id").alias("query_vector"))
+def _asked(s, f):
+    """Every fiftieth vector as a query against all."""
+    return T(s, f, "embeddings").where(F.pmod(F.col("vec_id"), F.lit(50)) == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-_SQL_KNN = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT label AS query, arg_min(embedding, vec_id)::DOUBLE[] AS qv FROM embeddings GROUP BY 1),
+_SQL_ASKED = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS query, v AS qv FROM e WHERE vec_id % 50 = 0)"
+_SQL_KNN = _SQL_ASKED + """,
 p AS (SELECT query, vec_id AS match, list_cosine_similarity(qv, v) AS score FROM q, e WHERE label <> 3), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, match) AS rank FROM p WHERE score >= 0.05)
 SELECT query, match, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
 
@@ -62,7 +67,7 @@ SELECT query, match, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
 def _knn(s, f, rows):
     return b.rounded(
         similarity.knn_search(
-            T(s, f, "embeddings"), _label_queries(s, f), "vec_id", "embedding", "query_label", "query_vector",
+            T(s, f, "embeddings"), _asked(s, f), "vec_id", "embedding", "query_id", "query_vector",
             k=5, min_score=0.05, where=F.col("label") != 3, block_rows=rows,
         ), ["score"],
     )
@@ -72,6 +77,34 @@ Q["knn_search"] = lambda s, f: _knn(s, f, 4096)
 SQL["knn_search"] = f"WITH {_SQL_KNN}"
 Q["knn_search_tiled"] = lambda s, f: _knn(s, f, 100)
 SQL["knn_search_tiled"] = f"WITH {_SQL_KNN}"
+
+
+def _index(s, f):
+    return vector_index.build_index(T(s, f, "embeddings"), "vec_id", "embedding")
+
+
+def knn_indexed(s, f):
+    """All rows indexed; the cells that a bound allows are probed too, so the result is exact."""
+    return b.rounded(vector_index.knn_indexed(_index(s, f), _asked(s, f), "query_id", "query_vector", k=5, exact=True), ["score"])
+
+
+def knn_indexed_recall(s, f):
+    """What the default probes find of the exact neighbours."""
+    index, asked = _index(s, f), _asked(s, f)
+    found = vector_index.knn_indexed(index, asked, "query_id", "query_vector", k=5)
+    exact = similarity.knn_search(T(s, f, "embeddings"), asked, "vec_id", "embedding", "query_id", "query_vector", k=5, min_score=None)
+    return vector_index.index_recall(index, found, exact)
+
+
+Q["knn_indexed"] = knn_indexed
+SQL["knn_indexed"] = f"""WITH {_SQL_ASKED}, r AS (SELECT query, vec_id AS match, list_cosine_similarity(qv, v) AS score FROM q, e)
+SELECT query, match, round(score, 6) AS score, row_number() OVER w AS rank FROM r WINDOW w AS (PARTITION BY query ORDER BY score DESC, match) QUALIFY row_number() OVER w <= 5"""
+# Depends on the fitted cells; the tests ask for a recall of 0.9 at least.
+Q["knn_indexed_recall"] = knn_indexed_recall
+Q["cosine_topk_pruned"] = lambda s, f: b.rounded(vector_index.cosine_topk_pruned(T(s, f, "embeddings"), "vec_id", "label", "embedding", 10, cells=4)[0], ["score"])
+SQL["cosine_topk_pruned"] = SQL["cosine_matrix_topk"]
+# Depends on the fitted cells; the tests show that clustered data leave tiles out.
+Q["cosine_topk_tiles"] = lambda s, f: vector_index.cosine_topk_pruned(T(s, f, "embeddings"), "vec_id", "label", "embedding", 10, cells=4)[1]
 Q["validate_vectors"] = lambda s, f: similarity.validate_vectors(
     T(s, f, "embeddings").withColumn(
         "v", F.when(F.col("label") == 1, F.concat("embedding", F.array(F.lit(float("nan")).cast("float")))).when(F.col("label") != 2, F.col("embedding"))
@@ -282,21 +315,35 @@ SELECT user_id, minute_offset, round(x, 6) AS score, a AS rank, 'peak' AS side F
 
 
 def compare_arcs(s, f):
-    """Arcs of the return flags per nation by the strongest dimension, as tagged rows."""
-    arcs = reports.compare_arcs(b.ship_series(s, f), ["nation"], "week", "flag", fd.strongest_value(D), ["A", "N", "R"])
-    stats = arcs["stats"].select("nation", F.lit("stats").alias("part"), F.col("flag").alias("name"), F.round("avg", 6).alias("value"))
-    pairs = arcs["correlations"].select("nation", F.lit("correlation").alias("part"), F.concat_ws("-", "member_a", "member_b").alias("name"), F.round("r", 6).alias("value"))
-    apart = arcs["divergence"].select("nation", F.lit("divergence").alias("part"), F.col("week").cast("string").alias("name"), F.col("variance").alias("value"))
-    return stats.unionByName(pairs).unionByName(apart)
+    """Arcs of the return flags per nation by the strongest dimension: all six frames as tagged rows."""
+    arcs = reports.compare_arcs(b.ship_series(s, f), ["nation"], "week", "flag", F.round(fd.strongest_value(D), 9), ["A", "N", "R"])
+
+    def part(name, frame, label, value, digits=6):
+        return frame.select("nation", F.lit(name).alias("part"), label.alias("name"), F.round(value, digits).alias("value"))
+
+    bucket = F.concat_ws("-", "flag", F.col("week").cast("string"))
+    out = [
+        *[part(f"stats_{c}", arcs["stats"], F.col("flag"), F.col(c).cast("double")) for c in ("avg", "min", "max", "n")],
+        part("correlation", arcs["correlations"], F.concat_ws("-", "member_a", "member_b"), F.col("r")),
+        part("summary", arcs["summary"], F.concat_ws("|", "closest_pair", "most_different_pair"), F.col("avg_correlation")),
+        part("peak", arcs["peaks"], F.concat_ws("-", bucket, F.col("rank").cast("string")), F.col("score")),
+        part("divergence", arcs["divergence"], F.col("week").cast("string"), F.col("variance"), 9),
+        part("distinctive", arcs["distinctive"], bucket, F.col("others_mean")),
+    ]
+    return reduce(DataFrame.unionByName, out)
 
 
 Q["compare_arcs"] = compare_arcs
-SQL["compare_arcs"] = f"""WITH {b.SQL_SHIP_SERIES}, x AS (SELECT nation, flag, week, greatest({', '.join(D)}) AS v FROM ship_series),
+SQL["compare_arcs"] = f"""WITH {b.SQL_SHIP_SERIES}, x AS (SELECT nation, flag, week, round(greatest({', '.join(D)}), 9) AS v FROM ship_series),
 al AS (SELECT nation, week, max(CASE WHEN flag = 'A' THEN v END) AS a, max(CASE WHEN flag = 'N' THEN v END) AS n, max(CASE WHEN flag = 'R' THEN v END) AS r, round(var_pop(v), 9) AS var, count(*) AS c FROM x GROUP BY ALL),
-d AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY var DESC, week) AS rn FROM al WHERE c > 1)
-SELECT nation, 'stats' AS part, flag AS name, round(avg(v), 6) AS value FROM x GROUP BY ALL UNION ALL SELECT nation, 'correlation', 'A-N', round(corr(a, n), 6) FROM al GROUP BY 1
-UNION ALL SELECT nation, 'correlation', 'A-R', round(corr(a, r), 6) FROM al GROUP BY 1 UNION ALL SELECT nation, 'correlation', 'N-R', round(corr(n, r), 6) FROM al GROUP BY 1
-UNION ALL SELECT nation, 'divergence', CAST(week AS VARCHAR), var FROM d WHERE rn <= 3"""
+d AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY var DESC, week) AS rn FROM al WHERE c > 1),
+co AS (SELECT nation, 'A-N' AS name, corr(a, n) AS r FROM al GROUP BY 1 UNION ALL SELECT nation, 'A-R', corr(a, r) FROM al GROUP BY 1 UNION ALL SELECT nation, 'N-R', corr(n, r) FROM al GROUP BY 1),
+pk AS (SELECT *, row_number() OVER (PARTITION BY nation, flag ORDER BY v DESC, week) AS rank FROM x QUALIFY rank <= 3),
+ot AS (SELECT pk.nation, pk.flag, pk.week, pk.v, avg(x.v) AS m FROM pk JOIN x ON x.nation = pk.nation AND x.week = pk.week AND x.flag <> pk.flag GROUP BY ALL)
+{" UNION ALL ".join(f"SELECT nation, 'stats_{c}' AS part, flag AS name, round({e}, 6) AS value FROM x GROUP BY nation, flag" for c, e in (("avg", "avg(v)"), ("min", "min(v)"), ("max", "max(v)"), ("n", "count(v)::DOUBLE")))}
+UNION ALL SELECT nation, 'correlation', name, round(r, 6) FROM co UNION ALL SELECT nation, 'summary', arg_max(name, r) || '|' || arg_min(name, r), round(avg(r), 6) FROM co GROUP BY 1
+UNION ALL SELECT nation, 'peak', flag || '-' || week || '-' || rank, round(v, 6) FROM pk UNION ALL SELECT nation, 'divergence', CAST(week AS VARCHAR), var FROM d WHERE rn <= 3
+UNION ALL SELECT nation, 'distinctive', flag || '-' || week, round(m, 6) FROM ot WHERE v > m + 0.1"""
 Q["series_export"] = lambda s, f: (
     reports.series_export(b.ship_series(s, f), "week", D, b.SHIP_POSITIVE, b.SHIP_NEGATIVE, 400, 520)
     .select("nation", "flag", "week", F.round("compound", 6).alias("compound"), F.col("dominant.name").alias("dominant"), F.col("dominant.polarity").alias("polarity"))

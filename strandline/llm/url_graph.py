@@ -8,7 +8,7 @@ with more blocked, each weighted by the difference. Edges are the links between
 the pages' html, counted, and the ties of a host to its parent domains of two labels or more
 (``tie`` links each way), since one operator runs them. Parent domains are nodes whether or not they
 have pages, so hosts beside each other reach each other; ports don't count, addresses of numbers have
-no parents, and registries such as co.uk are none. The walks go on until they change by less than ``TOLERANCE``.
+no parents, and registries such as co.uk are none. The walks go on until no verdict can change, or they change by less than ``TOLERANCE``.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Path: what
 follows up to ``?``, ``#`` or the end. A NULL url, or one without ``://``, has both empty, fits no
@@ -21,16 +21,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import col, lower_ascii, stored
-from strandline.session import cut_lineage
+from strandline.llm.common import col, lower_ascii, release, stored
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?is)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
 DAMPING = 0.85
-#: Largest sum of changes between two looks at which the walks end; their totals are at most 1.
+#: Largest sum of changes in a round at which the walks end in any case; their totals are at most 1.
 TOLERANCE = 1e-9
 #: Rounds between two looks.
 LOOK = 5
+#: Scores are rounded to 12 digits before they are compared.
+ROUNDED = 1e-11
+#: Moves in one file of a round.
+HOST_ROWS = 1_000_000
 #: Moves from one host that stay together in a join.
 WIDE = 10_000
 #: Labels below a country's that many owners share.
@@ -81,15 +84,19 @@ def domain_ties(hosts: DataFrame, tie: float = 1.0) -> DataFrame:
     return up.unionAll(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE, wide: int = WIDE) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE, wide: int = WIDE, ratio: float | None = None) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, n) and seeds (host, trust, distrust).
 
     Both walks take one join and one sum a round. Trust leaves a host along its links, distrust
     against them, each in proportion to n; what a host without way on holds is lost. The rest of
     a walk that isn't damped starts anew at its seeds, whose shares sum to 1. What is still to come
-    shrinks by ``damping`` a round, so the walks end: once the scores change by less than ``tolerance`` in
-    all between two looks, or after ``rounds`` rounds if given. Hosts of more than ``wide`` moves
-    are dealt into parts by where these lead.
+    shrinks by ``damping`` a round, so the walks end: once the scores change by less than ``tolerance``
+    in all in a round, or after ``rounds`` rounds if given. With a ``ratio`` they also end when no verdict can
+    change any more: no host is newly reached, and everywhere distrust and ``ratio`` times trust lie farther
+    apart than all that is still to come. Hosts of more than ``wide`` moves are dealt into parts by where these lead.
+
+    Every round is written to the shared folder and the one before the last deleted, so its plan is
+    always of the same small shape; a state holds the one before it beside it.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("into"))
@@ -102,27 +109,44 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rou
     if not parts.isEmpty():
         dealt = moves.join(parts, "host", "left").withColumn("part", F.pmod(F.xxhash64("to"), F.coalesce("parts", F.lit(1))).cast("int"))
         moves, on = stored(dealt.drop("parts"), "dealt-moves"), ["host", "part"]
+    files = -(-moves.count() // HOST_ROWS) + 1
+    moves = stored(moves.coalesce(files), "host-moves-packed")
     total = seeds.agg(F.struct(F.sum("trust").alias("t"), F.sum("distrust").alias("d"))).scalar()
     share = lambda c, k: F.coalesce(F.col(c) / F.nullif(total[k], F.lit(0.0)), F.lit(0.0)).alias(c)
-    start = stored(seeds.select("host", share("trust", "t"), share("distrust", "d")), "host-seeds")
-    base = start.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust"))
-    state = seen = start
+    start = stored(seeds.select("host", share("trust", "t"), share("distrust", "d")).coalesce(files), "host-seeds")
+    none = [F.lit(0.0).alias("old_trust"), F.lit(0.0).alias("old_distrust")]
+    base = start.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust"), *none)
+    state, old = start, None
     k = 0
     while rounds is None or k < rounds:
         k += 1
+        here = state.select("host", "trust", "distrust")
         if len(on) > 1:
-            state = state.join(parts, "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        moved = state.join(moves, on).select(
-            F.col("to").alias("host"), (damping * F.col("trust") * F.col("t")).alias("trust"), (damping * F.col("distrust") * F.col("d")).alias("distrust")
+            here = here.join(parts, "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        moved = moves.join(here.hint("shuffle_hash"), on).select(
+            F.col("to").alias("host"), (damping * F.col("trust") * F.col("t")).alias("trust"), (damping * F.col("distrust") * F.col("d")).alias("distrust"), *none
         )
-        state = moved.unionAll(base).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if k % LOOK == 0:
-            state = cut_lineage(state)
-            apart = state.unionAll(seen.select("host", -F.col("trust"), -F.col("distrust"))).groupBy("host").agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d"))
-            if (apart.agg(F.sum(F.abs("t") + F.abs("d"))).first()[0] or 0.0) < tolerance:
-                break
-            seen = state
-    return state
+        before = state.select("host", *[F.lit(0.0).alias(c) for c in ("trust", "distrust")], F.col("trust").alias("old_trust"), F.col("distrust").alias("old_distrust"))
+        new = moved.unionAll(base).unionAll(before).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", "old_trust", "old_distrust")])
+        new = stored(new.coalesce(files), "host-state")
+        if old is not None and old is not start:
+            release(old)
+        old, state = state, new
+        if k % LOOK == 0 and _settled(state, damping, tolerance, ratio):
+            break
+    return state.select("host", "trust", "distrust")
+
+
+def _settled(state: DataFrame, damping: float, tolerance: float, ratio: float | None) -> bool:
+    """Whether the walks may end after the round that a state and the one before it show."""
+    apart = F.abs(F.col("trust") - F.col("old_trust")) + F.abs(F.col("distrust") - F.col("old_distrust"))
+    fresh = (F.col("old_trust") + F.col("old_distrust") == 0) & (F.col("trust") + F.col("distrust") > 0)
+    gap = F.abs(F.col("distrust") - F.lit(1.0 if ratio is None else ratio) * F.col("trust"))
+    change, new, least = state.agg(F.sum(apart), F.count(F.when(fresh, 1)), F.min(gap)).first()
+    if (change or 0.0) < tolerance:
+        return True
+    rest = change * damping / (1 - damping)
+    return ratio is not None and new == 0 and least > (1 + ratio) * rest + ROUNDED
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]], ratio: float = 1.0, url: str = "url", html: str = "html", rounds: int | None = None) -> DataFrame:
@@ -134,7 +158,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], ratio: float = 1
     counts = stored(counts, "hosts")
     seeds = counts.where("net <> 0").select("host", F.greatest("net", F.lit(0.0)).alias("trust"), F.greatest(-F.col("net"), F.lit(0.0)).alias("distrust"))
     edges = host_links(pages, url, html).unionAll(domain_ties(counts)).groupBy("src", "dst").agg(F.sum("n").alias("n"))
-    scores = propagated(stored(edges, "host-edges"), seeds, rounds=rounds)
+    scores = propagated(stored(edges, "host-edges"), seeds, rounds=rounds, ratio=ratio)
     scores = stored(scores.select("host", F.round("trust", 12).alias("trust"), F.round("distrust", 12).alias("distrust")), "host-scores")
     scored = parts.join(scores, "host", "left")
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))

@@ -12,9 +12,9 @@ ranges of that, so the whole order never meets in one task. A document runs on o
 over files. NULL and empty texts have the end id only; repeated rows are documents of their own,
 rows of one doc_id by the hash of their texts; an empty table gives a manifest without ids.
 
-Texts are encoded by the tokenizers library. Words between single blanks, which recur, are given to
-it once and kept in a store of bounded size; no pre-token of its pattern crosses the cuts. A text
-where that isn't sure (runs of white space, added tokens) is given to it as a whole.
+Texts are encoded by the tokenizers library. Its pre-tokens, which recur, are given to its model once and
+kept in a store of bounded size, emptied when full. A text with an added token, or with a sign of which it
+isn't sure what kind of pre-token it is in, is given to the library as a whole.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import functools
 import json
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,26 +37,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from strandline.llm.bpe import byte_symbols
 from strandline.llm.common import col
 from strandline.session import plan_bytes
 
 MAGIC = b"IDPLANE1"
 BLOCK = 65_536
 END_ID = 2
-KEPT = 400_000
+KEPT = 500_000
 GROUP = 512
 FILE_BYTES = 256 << 20
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 #: Fields of one block in the chunk index, before the sizes of its planes.
 BLOCK_FIELDS = ("at", "first", "n_ids", "crc", "n_planes")
 
-_RUNS = re.compile(r"(\n+)")
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
-_PART = re.compile(rf" ?[{_LETTERS}]+|[.,;:!?]+")
+#: Ranges of signs whose kind (letter, number, neither) hasn't changed between versions of Unicode.
+SETTLED = ((0x20, 0x52F), (0x2010, 0x2027), (0x2030, 0x205E), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+BLANK = r" \t\n\r\x0b\x0c"
+
+
+def _signs(kinds: str) -> str:
+    """The settled signs whose general category starts with one of the letters, as ranges of a character class."""
+    found = [c for low, high in SETTLED for c in range(low, high + 1) if unicodedata.category(chr(c))[0] in kinds]
+    starts = [c for c, before in zip(found, [-2, *found]) if c != before + 1]
+    ends = [c for c, after in zip(found, [*found[1:], -2]) if c + 1 != after]
+    return "".join(f"\\u{a:04x}-\\u{z:04x}" for a, z in zip(starts, ends))
+
+
+def pre_tokens() -> re.Pattern:
+    """The pattern of byte-level pre-tokens over settled signs and white space; other signs are never matched."""
+    endings = "'(?:s|t|re|ve|m|ll|d)"
+    runs = "| ".join(f"?[{_signs(kinds)}]+" for kinds in ("L", "N", "PSM"))
+    return re.compile(f"{endings}| {runs}|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 
 
 class WordStore:
-    """Ids of texts as bytes, from the tokenizers library by way of a store of words."""
+    """Ids of texts as bytes, from the tokenizers library by way of a store of pre-tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,79 +82,41 @@ class WordStore:
         self.tokenizer.no_padding()
         spec = json.loads(self.tokenizer.to_str())
         step = spec["pre_tokenizer"] or {}
-        #: Only of this one pattern, without a normaliser, is it known where no pre-token crosses.
+        #: Only of this one pattern, without a normaliser, is it known what the pre-tokens are.
         self.parted = spec["normalizer"] is None and step.get("type") == "ByteLevel" and not step["add_prefix_space"] and step["use_regex"] and spec["post_processor"] is None
         self.added = [t["content"] for t in spec["added_tokens"]]
-        self.missed = 0
-        self.forget()
-
-    def forget(self) -> None:
+        self.model, self.pattern = self.tokenizer.model, pre_tokens()
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.codes = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.known: dict[str, bytes] = {}
-        self.missed = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _cut(self, text: str) -> list[str] | None:
-        """Words with the blank before them, and runs of line ends; None where cuts aren't safe."""
-        if any(a in text for a in self.added):
-            return None
-        out: list[str] = []
-        parts = _RUNS.split(text)
-        for k, part in enumerate(parts):
-            if not part:
-                continue
-            if part[0] == "\n":
-                # a run gives all but its last line end as one pre-token, at the end of the text all
-                last = k == len(parts) - 2 and not parts[-1]
-                out += [part] if last or len(part) == 1 else [part[1:], "\n"]
-                continue
-            words = part.split(" ")
-            out.append(words[0])
-            out += [f" {w}" for w in words[1:]]
-        return out
+        """The pre-tokens of a text; None where the pattern leaves out a sign, or an added token stands."""
+        parts = self.pattern.findall(text)
+        sure = sum(map(len, parts)) == len(text) and not any(a in text for a in self.added)
+        return parts if sure else None
 
-    def _learn(self, pieces: set[str], into: dict[str, bytes]) -> None:
-        """Pieces that start or end in white space of more than the blank before a word aren't learnt."""
-        parts = {}
-        for piece in pieces:
-            word = piece[1:] if piece[0] == " " else piece
-            if piece[0] != "\n" and (not word or word[0].isspace() or word[-1].isspace()):
-                continue
-            found = _PART.findall(piece)
-            parts[piece] = found if "".join(found) == piece else [piece]
-        new = list({p for ps in parts.values() for p in ps} - self.known.keys())
-        made = dict(zip(new, self.whole(new)))
-        for piece, ps in parts.items():
-            into[piece] = b"".join([made[p] if p in made else self.known[p] for p in ps])
-        if len(self.known) + len(made) <= KEPT:
-            self.known |= made
+    def _ids(self, part: str) -> bytes:
+        symbols = part.encode().decode("latin-1").translate(self.symbols)
+        return b"".join([self.codes[t.id] for t in self.model.tokenize(symbols)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.parted:
             return self.whole([t or "" for t in texts])
         cut = [self._cut(t) if t else [] for t in texts]
-        new = set().union(*(c for c in cut if c)) - self.known.keys() - {""}
-        here: dict[str, bytes] = {}
-        if new:
-            self._learn(new, here)
-            if len(self.known) + len(here) <= KEPT:
-                self.known |= here
-                here = {}
-            else:
-                self.missed += len(here)
-        get = self.known.__getitem__ if not here else lambda p: here[p] if p in here else self.known[p]
-        out: list[bytes | None] = []
-        for c in cut:
-            try:
-                out.append(None if c is None else b"".join(map(get, c)))
-            except KeyError:
-                out.append(None)
-        odd = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(odd, self.whole([texts[k] for k in odd])):
+        every = set().union(*(c for c in cut if c))
+        new = every - self.known.keys()
+        if len(self.known) + len(new) > KEPT:
+            self.known, new = {}, every
+        for part in new:
+            self.known[part] = self._ids(part)
+        out = [None if c is None else b"".join(map(self.known.__getitem__, c)) for c in cut]
+        odd = [k for k, c in enumerate(cut) if c is None]
+        for k, ids in zip(odd, self.whole([texts[k] for k in odd]) if odd else []):
             out[k] = ids
-        if self.missed > KEPT:
-            self.forget()
         return out
 
 

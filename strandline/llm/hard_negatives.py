@@ -52,8 +52,7 @@ def prepared(rows: DataFrame, label: Column | None = None, ident: str = "vec_id"
     v, label = col(vector), col("label") if label is None else label
     whole = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("bigint"))
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    out = rows.where(good & label.isNotNull()).select(col(ident).cast("bigint").alias("vec_id"), label.cast("int").alias("label"), whole.alias("vec"))
-    return out.dropDuplicates()
+    return rows.where(good & label.isNotNull()).select(col(ident).cast("bigint").alias("vec_id"), label.cast("int").alias("label"), whole.alias("vec"))
 
 
 def matrix(vectors: list[np.ndarray], width: int = 0) -> np.ndarray:
@@ -326,7 +325,7 @@ def mined(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int =
     ``anchors`` says which rows are anchors. A negative's score lies between ``low`` and ``high``
     hundredths of its positive's.
     """
-    rows = stored(rows, "vectors")
+    rows = stored(rows.select("vec_id", "label", "vec").dropDuplicates(), "vectors")
     index = Index(rows, block=block)
     if not index.n:
         kinds = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"

@@ -498,6 +498,18 @@ def uuid_check(df: DataFrame, ident: str, title: str) -> DataFrame:
 # --- declarative rules --------------------------------------------------------
 
 
+def failing(rule: dict) -> Column | None:
+    """When a row fails a row rule; None for rules that look at several rows."""
+    if rule["kind"] == "not_null":
+        return F.col(rule["column"]).isNull()
+    if rule["kind"] == "accepted_values":
+        c = F.col(rule["column"])
+        return c.isNotNull() & ~c.isin(rule["values"])
+    if rule["kind"] == "expression":
+        return ~F.coalesce(rule["condition"], F.lit(False))
+    return None
+
+
 def rule_failures(df: DataFrame, rules: list[dict]) -> DataFrame:
     """Number of failing rows per rule.
 
@@ -509,13 +521,9 @@ def rule_failures(df: DataFrame, rules: list[dict]) -> DataFrame:
     row_rules, frames = [], []
     for rule in rules:
         kind, name = rule["kind"], rule["name"]
-        if kind == "not_null":
-            row_rules.append((name, F.col(rule["column"]).isNull()))
-        elif kind == "accepted_values":
-            c = F.col(rule["column"])
-            row_rules.append((name, c.isNotNull() & ~c.isin(rule["values"])))
-        elif kind == "expression":
-            row_rules.append((name, ~F.coalesce(rule["condition"], F.lit(False))))
+        bad = failing(rule)
+        if bad is not None:
+            row_rules.append((name, bad))
         elif kind == "unique":
             twice = duplicates(df.dropna(subset=rule["columns"]), [F.col(c) for c in rule["columns"]])
             frames.append(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["series_queries", "profile_queries", "cleaning_queries", "quality_queries", "graph_queries", "vector_queries"]
+MODULES = ["series_queries", "profile_queries", "cleaning_queries", "quality_queries", "graph_queries", "vector_queries", "stored_queries"]
 
 
 def _modules():

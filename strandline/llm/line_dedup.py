@@ -2,7 +2,8 @@
 
 The tokens of a line are its distinct five-word shingles (a shorter line is one token as a
 whole); two lines match when the Jaccard similarity of their tokens is at least ``percent``. Tokens
-are ordered by rarity: by the count of their hash bucket over all lines, then by hash. Lines of
+are ordered by rarity: by the count of their rarest word over all texts (words counted in hashed
+buckets), then by hash. Lines of
 equal sets form a class; classes are joined on their prefixes with length and positional filters
 and verified on the whole sets. A line goes if it matches an earlier line, in the order of
 (doc_id, text hash, place), whether or not that one stays. Only lines that are still in question
@@ -33,22 +34,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "th", "pos", trimmed_words(F.col("line")).alias("words")).where(F.size("words") > 0)
 
 
-def _occurrences(lines: DataFrame) -> DataFrame:
-    """Hash of every shingle of every line, one row each."""
-    last = F.greatest(F.size("words") - SIZE, F.lit(0))
-    word = [F.xxhash64(F.get("words", F.col("i") + k)) for k in range(SIZE)]
-    whole = F.xxhash64(F.array_join("words", " "))
-    starts = lines.select("words", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    return starts.select(F.when(F.size("words") >= SIZE, F.xxhash64(*word)).otherwise(whole).alias("h"))
-
-
-def _levels(lines: DataFrame) -> Column:
-    """10-bit step of the count of every bucket, as one array constant of ``2 ** BUCKET_BITS`` entries.
+def _levels(texts: DataFrame) -> Column:
+    """10-bit step of the count of every bucket of words, as one array constant of ``2 ** BUCKET_BITS`` entries.
 
     The counts of the buckets are all that the driver gathers; their number is fixed.
     """
-    bucket = F.shiftrightunsigned("h", 64 - BUCKET_BITS).alias("id")
-    counts = _occurrences(lines).select(bucket).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    plain = F.translate("text", "\t\n\x0b\f\r", " " * 5)
+    words = texts.select(F.explode(F.split(plain, " ")).alias("word")).where("word <> ''")
+    bucket = F.shiftrightunsigned(F.xxhash64("word"), 64 - BUCKET_BITS).alias("id")
+    counts = words.select(bucket).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.floor(8 * F.log2(F.col("n") + 1.0)), F.lit(1023))
     known = {r["id"]: r["level"] for r in counts.select("id", level.alias("level")).collect()}
     return F.split(F.lit(",".join(str(known.get(k, 0)) for k in range(1 << BUCKET_BITS))), ",").cast("array<int>")
@@ -62,17 +56,33 @@ def _sets(lines: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _signed(lines: DataFrame, levels: Column, percent: int) -> DataFrame:
-    """(doc_id, th, pos, n, s1, s2, prefix): size and hashes of each line's set, its rarest tokens in order."""
+    """(doc_id, th, pos, n, s1, s2, parity, prefix): size and hashes of each line's set, its rarest tokens in order."""
     place = ["doc_id", "th", "pos"]
+    low = F.lit((1 << 53) - 1)
 
-    def key(h: Column) -> Column:
+    def code(word: Column) -> Column:
+        """The word's level above 53 bits of its hash."""
+        h = F.xxhash64(word)
         level = F.coalesce(F.get(levels, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")), F.lit(0))
         return F.shiftleft(level.cast("bigint"), 53).bitwiseOR(F.shiftrightunsigned(h, 11))
 
-    out = _sets(lines, place).select(*place, F.sort_array(F.transform("tokens", key)).alias("keys"))
+    def key(codes: list[Column]) -> Column:
+        """The lowest level among the words above 53 bits of the hash of all."""
+        least = F.least(*codes) if len(codes) > 1 else codes[0]
+        return least.bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*codes), 11))
+
+    out = lines.select(*place, F.transform("words", code).alias("codes"))
+    starts = F.slice("codes", F.lit(1), F.greatest(F.size("codes") - (SIZE - 1), F.lit(0)))
+    runs = F.transform(starts, lambda c, i: key([c, *[F.get("codes", i + k) for k in range(1, SIZE)]]))
+    whole = F.array(F.array_min("codes").bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.shiftrightunsigned(F.xxhash64("codes"), 11)))
+    keys = F.when(F.size("codes") >= SIZE, F.array_distinct(runs)).otherwise(whole)
+    out = out.select(*place, F.sort_array(keys).alias("keys"))
     size = F.size("keys")
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(63).cast("int"))
     return out.select(
-        *place, size.alias("n"), F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), F.slice("keys", F.lit(1), prefix_size(size, percent)).alias("prefix")
+        *place, size.alias("n"), F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"),
+        F.aggregate("keys", F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(bit(k))).alias("parity"),
+        F.slice("keys", F.lit(1), prefix_size(size, percent)).alias("prefix"),
     )
 
 
@@ -80,11 +90,11 @@ def first_lines(docs: DataFrame, percent: int = PERCENT, text: str = "text") ->
     """(doc_id, th, pos) of the lines that stay; th is the xxhash64 of the whole text."""
     texts = docs.select(F.col("doc_id"), col(text).cast("string").alias("text"))
     lines = _lines(texts)
-    signed = stored(_signed(lines, _levels(lines), percent), "lines")
+    signed = stored(_signed(lines, _levels(texts), percent), "lines")
     classes = signed.groupBy("s1", "s2").agg(
-        F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.min_by(F.struct("n", "prefix"), F.struct("doc_id", "th", "pos")).alias("x")
+        F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.min_by(F.struct("n", "parity", "prefix"), F.struct("doc_id", "th", "pos")).alias("x")
     )
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("rep"), "first", "x.n", "x.prefix"), "line-classes")
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("rep"), "first", "x.n", "x.parity", "x.prefix"), "line-classes")
     release(signed)
     live = live_postings(classes)
 
@@ -111,13 +121,18 @@ def first_lines(docs: DataFrame, percent: int = PERCENT, text: str = "text") ->
             links = links.join(firsts.select(F.col("rep").alias(side), F.col("first").alias(f"first_{side}")), side)
         return links.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("rep")).distinct()
 
-    gone = stored(later(checked(star_pairs(live, percent))), "later-lines")
+    star = checked(star_pairs(live, percent))
+    gone = stored(later(star), "later-lines")
+    release(star)
     ordered = live.join(firsts, "rep")
     open_ = ordered.join(gone, "rep", "left_anti")
-    across = cross_pairs(ordered, open_, lambda x, y: x("first") < y("first"), percent)
-    more = checked(across).select(F.col("b").alias("rep"))
-    gone = stored(gone.unionAll(more).distinct(), "gone-lines")
-    return classes.join(gone, "rep", "left_anti").select("first.*")
+    across = checked(cross_pairs(ordered, open_, lambda x, y: x("first") < y("first"), percent))
+    release(live)
+    every = stored(gone.unionAll(across.select(F.col("b").alias("rep"))).distinct(), "gone-lines")
+    release(gone, across)
+    out = stored(classes.join(every, "rep", "left_anti").select("first.*"), "first-lines")
+    release(every, classes)
+    return out
 
 
 def _kept(docs: DataFrame, percent: int, text: str) -> DataFrame:
@@ -144,15 +159,15 @@ def line_report(docs: DataFrame, percent: int = PERCENT, text: str = "text") ->
 
 def without_repeats(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """The documents without lines that match an earlier one, in their columns."""
-    th, all_lines, blank = free_names(docs, "_text_hash", "_lines", "_blank_lines")
-    kept = _kept(docs, percent, text)
+    th, all_lines, blank, ident, kept_th, places = free_names(docs, "_text_hash", "_lines", "_blank_lines", "_kept_id", "_kept_hash", "_kept")
+    kept = _kept(docs, percent, text).withColumnsRenamed({"kept_id": ident, "kept_th": kept_th, "kept": places})
     lines = col(all_lines)
     out = docs.withColumns({th: F.xxhash64(col(text)), all_lines: F.split(F.coalesce(col(text), F.lit("")), "\n")})
     bare = F.filter(F.transform(_worded(lines), lambda x, i: F.when(~x, i)), lambda i: i.isNotNull())
     out = out.withColumn(blank, bare)
-    out = out.join(kept, out["doc_id"].eqNullSafe(kept["kept_id"]) & (out[th] == kept["kept_th"]), "left")
-    gone = F.size(lines) - F.size(col(blank)) - F.coalesce(F.size("kept"), F.lit(0))
-    stay = F.sort_array(F.concat(col(blank), F.col("kept")))
+    out = out.join(kept, col("doc_id").eqNullSafe(col(ident)) & (col(th) == col(kept_th)), "left")
+    gone = F.size(lines) - F.size(col(blank)) - F.coalesce(F.size(col(places)), F.lit(0))
+    stay = F.sort_array(F.concat(col(blank), col(places)))
     rest = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     new = F.when(gone > 0, rest).otherwise(col(text))
-    return out.where(F.col("kept").isNotNull() | (gone == 0)).select([new.alias(c) if c == text else col(c) for c in docs.columns])
+    return out.where(col(places).isNotNull() | (gone == 0)).select([new.alias(c) if c == text else col(c) for c in docs.columns])

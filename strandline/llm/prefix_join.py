@@ -1,7 +1,8 @@
 """Prefix-filtered set-similarity join on native columns, shared by the line and the document join.
 
-A class is one distinct set: ``rep`` (its number), ``n`` (its size) and ``prefix`` (its first
-n - ceil(percent * n / 100) + 1 members in one global order). Sets that reach the Jaccard
+A class is one distinct set: ``rep`` (its number), ``n`` (its size), ``prefix`` (its first
+n - ceil(percent * n / 100) + 1 members in one global order) and ``parity``, 64 bits of which each is the
+parity of the number of members that fall to it, or NULL. Sets that reach the Jaccard
 similarity share a prefix member and pass every filter here; each surviving pair is verified once.
 """
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import release, stored
 
-FIELDS = ("rep", "n", "pos", "rank", "most", "last")
-SHORT = dict(zip(FIELDS, ("", "n", "p", "r", "m", "w")))
+FIELDS = ("rep", "n", "pos", "rank", "most", "last", "parity")
+SHORT = dict(zip(FIELDS, ("", "n", "p", "r", "m", "w", "x")))
 
 
 def prefix_size(n: Column, percent: int) -> Column:
@@ -21,7 +22,7 @@ def prefix_size(n: Column, percent: int) -> Column:
 
 
 def live_postings(classes: DataFrame) -> DataFrame:
-    """(key, rep, n, pos, rank, most, last) of the prefix members that two classes or more hold.
+    """(key, rep, n, pos, rank, most, last, parity) of the prefix members that two classes or more hold.
 
     ``rank`` counts such members up to this one within its class. ``most`` bounds the overlap with any set whose prefix ends later in the order: what of the
     own prefix no other prefix holds can't be common. ``last`` is the prefix's last member.
@@ -30,7 +31,7 @@ def live_postings(classes: DataFrame) -> DataFrame:
     keys = postings.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("key")
     live = stored(postings.join(keys, "key"), "postings")
     held = live.groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
-    bound = classes.join(held, "rep").select("rep", (F.col("n") - F.size("prefix") + F.col("shared")).alias("most"), F.element_at("prefix", -1).alias("last"))
+    bound = classes.join(held, "rep").select("rep", "parity", (F.col("n") - F.size("prefix") + F.col("shared")).alias("most"), F.element_at("prefix", -1).alias("last"))
     along = Window.partitionBy("rep").orderBy("pos", "key")
     out = stored(live.join(bound, "rep").withColumn("rank", F.row_number().over(along)), "live")
     release(live)
@@ -46,17 +47,21 @@ def possible(side_a: dict[str, Column], side_b: dict[str, Column], percent: int)
     """Length and positional filters on one shared key.
 
     Up to the shared key only members that other prefixes hold can be common, behind it no more
-    than either side has left; the prefix that ends first bounds the overlap as a whole.
+    than either side has left; the prefix that ends first bounds the overlap as a whole. Where the
+    parities of two sets differ in a bit, at least one member is not common; so near copies of one
+    set that differ in different places are told apart before they become a row.
     """
     na, nb, pa, pb = side_a["n"], side_b["n"], side_a["pos"], side_b["pos"]
     need = percent * (na + nb)
     most = F.when(side_a["last"] <= side_b["last"], side_a["most"]).otherwise(side_b["most"])
     along = F.least(side_a["rank"], side_b["rank"]) + F.least(na - pa, nb - pb) - 1
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= need) & ((100 + percent) * along >= need)
+    apart = F.coalesce(F.bit_count(side_a["parity"].bitwiseXOR(side_b["parity"])), F.lit(0))
+    sizes = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * (na + nb - apart) >= 2 * need)
+    return sizes & ((100 + percent) * most >= need) & ((100 + percent) * along >= need)
 
 
 def sides(side_a: dict[str, Column], side_b: dict[str, Column]) -> list[Column]:
-    return [c.alias(SHORT[f] + s) for s, cols in (("a", side_a), ("b", side_b)) for f, c in cols.items() if f not in ("most", "rank")]
+    return [c.alias(SHORT[f] + s) for s, cols in (("a", side_a), ("b", side_b)) for f, c in cols.items() if f not in ("most", "rank", "parity")]
 
 
 def pairs_of(shared: DataFrame, percent: int) -> DataFrame:

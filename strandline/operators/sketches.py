@@ -53,8 +53,9 @@ def distinct_count() -> Column:
 
 
 def quantiles(probabilities: list[float]) -> Column:
-    """Approximate quantiles as an array."""
-    return F.kll_sketch_get_quantile_double(F.col(VALUES), F.array(*[F.lit(float(p)) for p in probabilities]))
+    """Approximate quantiles as an array; NULL where no value was seen."""
+    found = F.kll_sketch_get_quantile_double(F.col(VALUES), F.array(*[F.lit(float(p)) for p in probabilities]))
+    return F.when(F.kll_sketch_get_n_double(VALUES) > 0, found)
 
 
 def sketched_tiers(df: DataFrame, value: str, sketches: DataFrame, keys: list[str] | None = None, out: str = "tier") -> DataFrame:

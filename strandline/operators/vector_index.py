@@ -22,10 +22,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strandline.operators.ordered import top_k
 from strandline.operators.similarity import _tile
 from strandline.session import scratch_path
+from strandline.sources.writers import read_folders
 
 SAMPLE_ROWS = 20_000
 MOST_CELLS = 1024
@@ -104,8 +106,8 @@ class VectorIndex:
 
     def rows(self, spark: SparkSession, cells: list[int] | None = None) -> DataFrame:
         """(id, vec, part, cell); only the folders of the given cells are listed and read."""
-        every = spark.read.schema(f"id {self.id_type}, vec array<double>, part int, cell int").parquet(self.path)
-        return every if cells is None else every.where(F.col("cell").isin(cells))
+        schema = StructType.fromDDL(f"id {self.id_type}, vec array<double>, part int, cell int")
+        return read_folders(spark, self.path, "cell", sorted(self.cells) if cells is None else cells, schema)
 
 
 def probes_for(sample: np.ndarray, centroids: np.ndarray, k: int, target: float, queries: int = 256) -> int:

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from strandline.sources.writers import read_folders
+
 LEAF_BITS = 12
 LEVEL_BITS = 4
 
@@ -105,6 +107,6 @@ def compare_stored(old: str, new: str, schema: StructType, spark: SparkSession,
     sums = [spark.read.schema("leaf int, rows bigint, checksum decimal(38,0)").parquet(f"{p}-sums") for p in (old, new)]
     nodes = [r["node"] for r in differing_leaves(*sums).select(F.shiftright("leaf", bits - folder_bits).alias("node")).distinct().collect()]
     whole = StructType([*schema.fields, StructField("node", IntegerType())])
-    sides = [spark.read.schema(whole).parquet(p).where(F.col("node").isin(nodes)) for p in (old, new)]
-    files = [f for side in sides for f in side.inputFiles()] if nodes else []
+    sides = [read_folders(spark, p, "node", nodes, whole) for p in (old, new)]
+    files = [f for side in sides for f in side.inputFiles()]
     return compare_versions(*[side.drop("node") for side in sides], keys, [f.name for f in schema.fields if f.name not in keys], bits), files

@@ -11,13 +11,14 @@ Keys may be NULL, and NULL equals NULL. Of rows of one load that share a key any
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from strandline.sources.writers import _existing
+from strandline.sources.writers import read_folders
 
 BUCKETS = 256
 BUCKET = "bucket"
@@ -25,11 +26,10 @@ BUCKET = "bucket"
 
 @dataclass(frozen=True)
 class Load:
-    """What a load did: rows it brought with keys of their own, rows appended, files of the table and files read."""
+    """What a load did: rows it brought with keys of their own, rows appended, and stored files it read keys of."""
 
     brought: int
     appended: int
-    files: int
     files_read: int
 
 
@@ -37,10 +37,13 @@ def bucket_of(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
+def _with_bucket(schema: StructType) -> StructType:
+    return StructType([*[f for f in schema.fields if f.name != BUCKET], StructField(BUCKET, IntegerType())])
+
+
 def keyed_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The stored rows with their bucket; no file is opened to find the schema."""
-    fields = [f for f in schema.fields if f.name != BUCKET]
-    return spark.read.schema(StructType([*fields, StructField(BUCKET, IntegerType())])).parquet(path)
+    return spark.read.schema(_with_bucket(schema)).parquet(path)
 
 
 def load_keyed(df: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> Load:
@@ -52,19 +55,12 @@ def load_keyed(df: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS
     try:
         sizes = {r[BUCKET]: r["n"] for r in fresh.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n")).collect()}
         if not sizes:
-            return Load(0, 0, 0, 0)
-        files = files_read = 0
-        new = fresh
-        if _existing(spark, path) is not None:
-            stored = keyed_table(spark, path, df.schema)
-            near = stored.where(F.col(BUCKET).isin(sorted(sizes))).select(*keys, BUCKET)
-            files, files_read = len(stored.inputFiles()), len(near.inputFiles())
-            a, b = fresh.alias("a"), near.alias("b")
-            same = [F.col(f"a.{BUCKET}") == F.col(f"b.{BUCKET}"), *[F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys]]
-            on = same[0]
-            for c in same[1:]:
-                on = on & c
-            new = a.join(b, on, "left_anti")
+            return Load(0, 0, 0)
+        near = read_folders(spark, path, BUCKET, sorted(sizes), _with_bucket(df.schema))
+        files_read = len(near.inputFiles())
+        a, b = fresh.alias("a"), near.select(*keys, BUCKET).alias("b")
+        same = [F.col(f"a.{BUCKET}") == F.col(f"b.{BUCKET}"), *[F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys]]
+        new = a.join(b, reduce(Column.__and__, same), "left_anti") if files_read else fresh
         new = new.repartition(min(len(sizes), buckets), BUCKET).persist()
         try:
             appended = new.count()
@@ -72,7 +68,7 @@ def load_keyed(df: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS
                 new.write.mode("append").partitionBy(BUCKET).parquet(path)
         finally:
             new.unpersist()
-        return Load(sum(sizes.values()), appended, files, files_read)
+        return Load(sum(sizes.values()), appended, files_read)
     finally:
         fresh.unpersist()
 
@@ -83,7 +79,7 @@ def load_keyed_batches(stream: DataFrame, path: str, keys: list[str], state: str
     def load(batch: DataFrame, number: int) -> None:
         done = load_keyed(batch, path, keys, buckets)
         row = batch.sparkSession.createDataFrame(
-            [(number, done.brought, done.appended, done.files, done.files_read)], "batch bigint, brought bigint, appended bigint, files bigint, files_read bigint"
+            [(number, done.brought, done.appended, done.files_read)], "batch bigint, brought bigint, appended bigint, files_read bigint"
         )
         row.coalesce(1).write.mode("overwrite").parquet(f"{path}-loads/load={number}")
 

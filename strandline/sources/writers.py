@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 
@@ -16,6 +17,22 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below a path; none if it doesn't exist. Nothing deeper is listed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    disk = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in disk.listStatus(place) if s.isDirectory()) if disk.exists(place) else []
+
+
+def read_folders(spark: SparkSession, path: str, column: str, values: list, schema: StructType) -> DataFrame:
+    """The rows of the folders ``column=value`` for the given values; others aren't even listed."""
+    wanted = {f"{column}={v}" for v in values}
+    found = [f"{path}/{name}" for name in subfolders(spark, path) if name in wanted]
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*found)
+
+
 def load_idempotent(df: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None) -> None:
     """Append only the rows whose key is not stored yet; each key once."""
     fresh = df.dropDuplicates(keys)

@@ -71,8 +71,8 @@ def pre_tokens() -> re.Pattern:
     return re.compile(f"{endings}| {runs}|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 
 
-class WordStore:
-    """Ids of texts as bytes, from the tokenizers library by way of a store of pre-tokens."""
+class WordStore(dict):
+    """Ids of texts as bytes, from the tokenizers library by way of a store of pre-tokens: itself, filled as it is asked."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -88,7 +88,6 @@ class WordStore:
         self.model, self.pattern = self.tokenizer.model, pre_tokens()
         self.symbols = dict(enumerate(byte_symbols()))
         self.codes = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
-        self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -99,22 +98,27 @@ class WordStore:
         sure = sum(map(len, parts)) == len(text) and not any(a in text for a in self.added)
         return parts if sure else None
 
-    def _ids(self, part: str) -> bytes:
-        symbols = part.encode().decode("latin-1").translate(self.symbols)
-        return b"".join([self.codes[t.id] for t in self.model.tokenize(symbols)])
+    def __missing__(self, part: str) -> bytes:
+        if part.isascii() and part.isprintable():
+            symbols = part.replace(" ", self.symbols[32])
+        else:
+            symbols = part.encode().decode("latin-1").translate(self.symbols)
+        ids = self[part] = b"".join([self.codes[t.id] for t in self.model.tokenize(symbols)])
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.parted:
             return self.whole([t or "" for t in texts])
-        cut = [self._cut(t) if t else [] for t in texts]
-        every = set().union(*(c for c in cut if c))
-        new = every - self.known.keys()
-        if len(self.known) + len(new) > KEPT:
-            self.known, new = {}, every
-        for part in new:
-            self.known[part] = self._ids(part)
-        out = [None if c is None else b"".join(map(self.known.__getitem__, c)) for c in cut]
-        odd = [k for k, c in enumerate(cut) if c is None]
+        out: list[bytes] = []
+        odd: list[int] = []
+        for text in texts:
+            parts = self._cut(text) if text else []
+            if parts is None:
+                odd.append(len(out))
+                parts = []
+            if len(self) > KEPT:
+                self.clear()
+            out.append(b"".join(map(self.__getitem__, parts)))
         for k, ids in zip(odd, self.whole([texts[k] for k in odd]) if odd else []):
             out[k] = ids
         return out

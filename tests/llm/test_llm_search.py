@@ -201,7 +201,7 @@ def test_store_of_pretokens_stays_bounded(monkeypatch):
     for _ in range(20):
         texts = [" ".join(str(rng.random()) for _ in range(5)) for _ in range(4)]
         assert store.encode(texts) == store.whole(texts)
-    assert len(store.known) <= 50 + 4 * 5 * 4
+        assert len(store) <= 50 + 5 * 4
 
 
 def test_planes_of_single_blocks():

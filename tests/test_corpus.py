@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -62,6 +64,34 @@ def test_ledger_admits_cheaper_calls_after_a_rejection(spark):
     assert [round(r["session_total"], 6) for r in got] == [4.0, 8.0, 8.0, 8.4, 8.8, 8.8] * 2
 
 
+def plain_rejected(costs, limit):
+    total, out = 0.0, []
+    for i, c in enumerate(costs):
+        if total + c >= limit:
+            out.append(i)
+        else:
+            total += c
+    return out
+
+
+def test_rejected_calls_of_many_sessions_against_a_loop(spark):
+    rng = random.Random(4)
+    sessions = {f"s{k}": [rng.choice([0.0, 0.25, 1.0, 3.0, 7.5, 40.0]) for _ in range(rng.randint(0, 60))] for k in range(30)}
+    sessions |= {"hot": [rng.choice([0.125, 0.5, 2.0]) for _ in range(3000)], "slow": [x for k in range(12) for x in (1.0, 19.5 - k)], "low": [0.25] * 50}
+    data, row = [], 0
+    for name, costs in sessions.items():
+        for c in costs:
+            data.append((name, row, c))
+            row += 1
+    first = {name: min((r for s, r, _ in data if s == name), default=0) for name in sessions}
+    calls = spark.createDataFrame(data, "_of string, _row bigint, cost double").repartition(5)
+    for chunk in (7, 100_000):
+        got = corpus.rejected_calls(calls, 20.0, chunk)
+        want = {(name, first[name] + i) for name, costs in sessions.items() for i in plain_rejected(costs, 20.0)}
+        assert {(r["_of"], r["_row"]) for r in got.collect()} == want
+    assert corpus.rejected_calls(calls.limit(0), 20.0).count() == 0
+
+
 def test_joined_lines_count_blanks_and_skip_nulls(spark):
     blank = [("blank", i, "") for i in range(600)]
     holes = [("holes", i, None) for i in range(550)] + [("holes", 550, "real"), ("holes", 551, "text")]
@@ -99,11 +129,36 @@ def test_rubric(spark):
 
 def test_safe_select(spark):
     spark.range(500).createOrReplaceTempView("allowed_view")
-    assert reports.safe_select(spark, "select id from allowed_view", ["allowed_view"]).count() == 100
-    assert reports.safe_select(spark, "select id from allowed_view limit 300;", ["allowed_view"]).count() == 300
-    for bad in ["", "delete from allowed_view", "select 1", "select created_at from allowed_view", "with x as (select 1) select 1"]:
+    for by_text in (True, False):
+        assert reports.safe_select(spark, "select id from allowed_view", ["allowed_view"], by_text=by_text).count() == 100
+        assert reports.safe_select(spark, "select id from allowed_view limit 300;", ["allowed_view"], by_text=by_text).count() == 300
+        for bad in ["", "delete from allowed_view", "select 1", "with x as (select 1) select 1"]:
+            with pytest.raises(ValueError):
+                reports.safe_select(spark, bad, ["allowed_view"], by_text=by_text)
+    with pytest.raises(ValueError):
+        reports.safe_select(spark, "select created_at from allowed_view", ["allowed_view"], by_text=True)
+
+
+def test_safe_select_reads_the_plan(spark):
+    spark.range(5).selectExpr("id", "id AS created_at").createOrReplaceTempView("allowed_view")
+    spark.range(3).createOrReplaceTempView("secret")
+    good = [
+        "SELECT created_at, 'drop table secret' AS t FROM allowed_view -- delete",
+        "WITH secret AS (SELECT id FROM allowed_view) SELECT * FROM secret",
+        "WITH a AS (SELECT id FROM allowed_view), b AS (SELECT * FROM a) SELECT (SELECT max(id) FROM b) AS m, id FROM Allowed_View",
+        "SELECT id FROM allowed_view UNION ALL SELECT x.id FROM (SELECT id FROM allowed_view) x WHERE id IN (SELECT id FROM allowed_view)",
+    ]
+    assert [reports.safe_select(spark, q, ["allowed_view"]).count() for q in good] == [5, 5, 5, 10]
+    bad = [
+        "SELECT * FROM secret -- allowed_view", "SELECT * FROM parquet.`/tmp/x`", "SELECT id FROM allowed_view WHERE id IN (SELECT id FROM secret)",
+        "WITH a AS (SELECT * FROM secret) SELECT * FROM allowed_view, a", "WITH a AS (SELECT * FROM b), b AS (SELECT id FROM allowed_view) SELECT * FROM a",
+        "SELECT id, (WITH secret AS (SELECT 1 AS x) SELECT x FROM secret) FROM allowed_view UNION ALL SELECT id, 1 FROM secret",
+        "SELECT reflect('java.lang.System', 'exit', 1), id FROM allowed_view", "CREATE VIEW v AS SELECT * FROM allowed_view", "INSERT INTO secret SELECT id FROM allowed_view",
+        "CACHE TABLE allowed_view", "SELECT 1 AS allowed_view",
+    ]
+    for query in bad:
         with pytest.raises(ValueError):
-            reports.safe_select(spark, bad, ["allowed_view"])
+            reports.safe_select(spark, query, ["allowed_view"])
 
 
 def test_criteria_and_lookup(spark):

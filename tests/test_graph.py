@@ -154,6 +154,28 @@ def test_co_members(spark):
     assert rows(graph.co_members(seeds, film_edges(spark), "appears_in")) == [("c2", "c1", 1), ("c2", "c3", 1)]
 
 
+@pytest.mark.parametrize("block,pairs", [(3, 50), (20_000, 4_000_000), (7, 1)])
+def test_best_co_members_by_blocks(spark, monkeypatch, block, pairs):
+    """Every member meets one heavy target; ties, repeated links, a lone member and NULLs."""
+    monkeypatch.setattr(graph, "TILE_PAIRS", pairs)
+    rng = random.Random(block)
+    links = [(f"m{k}", "all") for k in range(40)] + [(f"m{rng.randint(0, 39)}", f"t{rng.randint(0, 25)}") for _ in range(300)]
+    links += links[:20] + [("lone", "own"), (None, "all"), ("m1", None)]
+    edges = spark.createDataFrame([(*x, "in") for x in links] + [("m1", "m2", "other")], f"{graph.SRC} string, {graph.DST} string, edge_type string")
+    held = {}
+    for m, t in links:
+        if m and t:
+            held.setdefault(m, set()).add(t)
+    want = []
+    for m in held:
+        best = sorted((-len(held[m] & held[o]), o) for o in held if o != m and held[m] & held[o])[:4]
+        want += [(m, o, -n, k) for k, (n, o) in enumerate(best, 1)]
+    assert rows(graph.co_members_topk(edges, "in", 4, block_members=block)) == sorted(want, key=repr)
+    seeds = spark.createDataFrame([("m3",), ("lone",), ("nobody",)], "node_id string")
+    assert rows(graph.co_members_topk(edges, "in", 4, seeds, block)) == sorted([w for w in want if w[0] == "m3"], key=repr)
+    assert graph.co_members_topk(edges.limit(0), "in").count() == 0
+
+
 def test_numbered_edges(spark):
     df = spark.createDataFrame([(2, "b"), (1, "a"), (1, "c")], "s int, t string")
     got = graph.edge_set(df, "links", "x", F.col("s"), "y", F.col("t"), "edge_").orderBy("edge_id").collect()

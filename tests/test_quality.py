@@ -110,3 +110,18 @@ def test_candidates(spark):
     assert (best["id"], best["score"]) == (2, 10010)
     near = quality.closest_candidate(df.filter("id is not null").withColumn("want", F.lit(100.0)), ["k"], "id", "run", "want", 10.0).first()
     assert (near["id"], near["drift_percent"], near["within_tolerance"]) == (1, 10.0, True)
+
+
+def test_compare_runs_by_whole_numbers(spark):
+    """Figures that lie on the half of the last digit, in any order of rows."""
+    drifts = [0.0001, 12.3451, 3.3333, 7.0] * 5
+    old = [("a", "PASS" if k % 3 else "fail", d) for k, d in enumerate(drifts)] + [("b", "PASS", None)]
+    new = [("a", "pass", 0.0) for _ in range(16)] + [("c", "WARN", 1.0)]
+    schema = "m string, status string, drift double"
+    for parts in (1, 7):
+        a, z = (spark.createDataFrame(x, schema).repartition(parts) for x in (old, new))
+        got = {r["m"]: r for r in quality.compare_runs(a, z, "status", "drift", "m").collect()}
+        assert got["a"]["baseline_pass_rate"] == 65.0 and got["a"]["pass_rate_change"] == 35.0
+        assert got["a"]["drift_reduction"] == 5.66963  # 113.3925 / 20 is 5.669625
+        assert (got["b"]["new_pass_rate"], got["b"]["baseline_pass_rate"], got["b"]["pass_rate_change"], got["b"]["target_met"]) == (0.0, 100.0, 0.0, False)
+        assert (got["_ALL_"]["baseline_total"], got["_ALL_"]["new_total"], got["_ALL_"]["target_met"]) == (21, 17, True)

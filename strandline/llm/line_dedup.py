@@ -2,8 +2,8 @@
 
 The tokens of a line are its distinct five-word shingles (a shorter line is one token as a
 whole); two lines match when the Jaccard similarity of their tokens is at least ``percent``. Tokens
-are ordered by rarity: by the count of their rarest word over all texts (words counted in hashed
-buckets), then by hash. Lines of
+are ordered by rarity: by the count of their first word over all texts (words counted in hashed
+buckets), which is the most that the token can have, then by hash. Lines of
 equal sets form a class; classes are joined on their prefixes with length and positional filters
 and verified on the whole sets. A line goes if it matches an earlier line, in the order of
 (doc_id, text hash, place), whether or not that one stays. Only lines that are still in question
@@ -26,12 +26,38 @@ from strandline.llm.quality_hosts import trimmed_words, windows
 SIZE = 5
 PERCENT = 80
 BUCKET_BITS = 15
+#: Places of lines to be cut from the texts again are marked in so many bits.
+MARK_BITS = 22
+PLACE = ["doc_id", "th", "pos"]
+BLANKS = " \t\n\x0b\f\r"
+
+
+def _pieces(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, pos, line) of all lines, from (doc_id, text)."""
+    return docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
+def marked(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lines, with ``h``, whose hashed places fall on a bit that a wanted place sets.
+
+    The bits are a table of at most 2 ** MARK_BITS / 64 rows, whatever the data, and may be broadcast. What it lets
+    through by chance goes in the join behind it; with very many wanted lines it lets through all.
+    """
+    bit = F.shiftrightunsigned("h", 64 - MARK_BITS)
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(63).cast("int"))
+    bits = wanted.select(F.shiftright(bit, 6).alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    lines = lines.withColumn("h", F.xxhash64(*PLACE))
+    near = lines.join(F.broadcast(bits), F.shiftright(bit, 6) == F.col("word"))
+    return near.where(F.col("bits").bitwiseAND(one) != 0).drop("word", "bits")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, pos, words) of the lines with words, from (doc_id, text)."""
-    lines = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("doc_id", "th", "pos", trimmed_words(F.col("line")).alias("words")).where(F.size("words") > 0)
+    """(doc_id, th, pos, words) of the lines with words, from (doc_id, text).
+
+    The filter looks at the line: one on its words would part every line into words twice.
+    """
+    lines = _pieces(docs).where(F.trim("line", F.lit(BLANKS)) != "")
+    return lines.select("doc_id", "th", "pos", trimmed_words(F.col("line")).alias("words"))
 
 
 def _levels(texts: DataFrame) -> Column:
@@ -66,15 +92,14 @@ def _signed(lines: DataFrame, levels: Column, percent: int) -> DataFrame:
         level = F.coalesce(F.get(levels, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")), F.lit(0))
         return F.shiftleft(level.cast("bigint"), 53).bitwiseOR(F.shiftrightunsigned(h, 11))
 
-    def key(codes: list[Column]) -> Column:
-        """The lowest level among the words above 53 bits of the hash of all."""
-        least = F.least(*codes) if len(codes) > 1 else codes[0]
-        return least.bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*codes), 11))
+    def key(first: Column, *rest: Column) -> Column:
+        """The first word's level above 53 bits of the hash of all; no run is more frequent than its first word."""
+        return first.bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(first, *rest), 11))
 
     out = lines.select(*place, F.transform("words", code).alias("codes"))
     starts = F.slice("codes", F.lit(1), F.greatest(F.size("codes") - (SIZE - 1), F.lit(0)))
-    runs = F.transform(starts, lambda c, i: key([c, *[F.get("codes", i + k) for k in range(1, SIZE)]]))
-    whole = F.array(F.array_min("codes").bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.shiftrightunsigned(F.xxhash64("codes"), 11)))
+    runs = F.transform(starts, lambda c, i: key(c, *[F.get("codes", i + k) for k in range(1, SIZE)]))
+    whole = F.array(F.get("codes", F.lit(0)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.shiftrightunsigned(F.xxhash64("codes"), 11)))
     keys = F.when(F.size("codes") >= SIZE, F.array_distinct(runs)).otherwise(whole)
     out = out.select(*place, F.sort_array(keys).alias("keys"))
     size = F.size("keys")
@@ -101,14 +126,11 @@ def first_lines(docs: DataFrame, percent: int = PERCENT, text: str = "text") ->
     def checked(pairs: DataFrame) -> DataFrame:
         """The links among the pairs; only their lines are cut from the texts again."""
         pairs = stored(pairs.select("a", "b", "na", "nb"), "line-pairs")
-        wanted = classes.join(members(pairs), "rep").select("rep", "first.*")
-        wanted = wanted.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("hash")).agg(F.collect_list(F.struct("rep", "pos")).alias("at"))
-        wanted = stored(wanted, "wanted-lines")
-        near = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["id"]) & (F.xxhash64("text") == wanted["hash"]))
-        lines = near.select("at", F.split("text", "\n").alias("lines"))
-        # two uses of the lines keep the split from being moved into the function, where it would run for each line
-        picked = F.transform("at", lambda a: F.struct(a["rep"].alias("rep"), F.when(a["pos"] < F.size("lines"), F.get("lines", a["pos"])).alias("line")))
-        lines = lines.select(F.explode(picked).alias("x")).select("x.rep", trimmed_words(F.col("x.line")).alias("words"))
+        wanted = classes.join(members(pairs), "rep").select("rep", *[F.col(f"first.{c}").alias(f"{c}_") for c in PLACE])
+        wanted = stored(wanted.withColumn("h", F.xxhash64(*[f"{c}_" for c in PLACE])), "wanted-lines")
+        lines = marked(_pieces(texts), wanted)
+        here = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("th") == F.col("th_")) & (F.col("pos") == F.col("pos_"))
+        lines = lines.join(wanted, (lines["h"] == wanted["h"]) & here).select("rep", trimmed_words(F.col("line")).alias("words"))
         sets = stored(_sets(lines, ["rep"]), "line-sets")
         links = stored(verified(pairs, sets, percent), "line-links")
         release(pairs, wanted, sets)

@@ -118,4 +118,4 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def members(pairs: DataFrame) -> DataFrame:
     """(rep) of every class in the pairs, once."""
-    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    return pairs.select(F.col("a").alias("rep")).distinct().unionAll(pairs.select(F.col("b").alias("rep"))).distinct()

@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from strandline.llm.common import col, free_names
 
@@ -219,13 +219,15 @@ def encoded(docs: DataFrame, path: str, text: str = "text", make=None, schema: s
     """The kept columns of every row and what ``make`` gives of its codes.
 
     ``make(codes, decoded)`` returns the values of ``schema``; without it they are the number
-    of tokens, the codes as bytes and the decoded text. Rows are never dropped or merged.
+    of tokens, the codes as bytes and the decoded text. A new column whose name a kept one has already
+    gets it with underscores before it. Rows are never dropped or merged.
     """
     keep = docs.columns if keep is None else keep
     [own] = free_names(docs.select([col(c) for c in keep]), "_whole_text")
     frame = docs.select(*[col(c) for c in keep], col(text).cast("string").alias(own))
     added = StructType.fromDDL(schema)
-    out = StructType([f for f in frame.schema.fields if f.name != own] + added.fields)
+    names = free_names(frame.drop(own), *added.names)
+    out = StructType([*[f for f in frame.schema.fields if f.name != own], *[StructField(n, f.dataType) for n, f in zip(names, added.fields)]])
     model = docs.sparkSession.sparkContext.broadcast(coder(path))
     make = make or (lambda codes, decoded: (len(codes) // 4, codes, decoded))
     n_kept = len(keep)
@@ -237,7 +239,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", make=None, schema: s
             for part in (batch.slice(k, GROUP) for k in range(0, batch.num_rows, GROUP)):
                 rows = [make(*c) for c in bpe.encode(part.column(n_kept).to_pylist(), decode)]
                 made = [pa.array(list(v), k) for v, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:n_kept], *made], names=[*keep, *added.names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_kept], *made], names=[*keep, *names])
 
     return frame.mapInArrow(run, out)
 

@@ -5,11 +5,15 @@ digits are permuted within its format by ``ROUNDS`` rounds of a two-sided Feiste
 round function is SHA-256 of key, kind, round and the other side. Equal values of a format become
 equal pseudonyms in every document, different ones stay different, and a pseudonym is again a valid
 value: cards keep their first digit and get a new check digit, phone numbers keep the country
-code and the first digit of the area, dates stay between 1900-01-01 and 2100-05-30, identity numbers
+code and the first digit of the area, dates stay between 1900 and 2099 and keep how many digits day and
+month have, identity numbers
 stay in issued ranges, and addresses keep their form. Of mail addresses the local part is permuted
 sign by sign within its class (digit, lower, upper), the domain stays. Separators stay.
 
-Numbers that fail validation are left alone. NULL texts stay NULL; empty texts, ties and repeated
+Covered: mail addresses; dates as y-m-d, y/m/d, d/m/y, m/d/y and d.m.y, with one digit or two; identity numbers as
+3-2-4 digits; phone numbers as 3-3-4 digits with or without a country code, and + with 10 to 15 digits in a run; four
+octets; cards of 13 to 19 digits in a run, as 4-4-4-n or as 4-6-4 and 4-6-5. Other forms (account numbers, phone
+numbers in other groups) and numbers that fail validation are left alone. NULL texts stay NULL; empty texts, ties and repeated
 rows have no special case; every text is read as a whole. No row leaves its task.
 """
 
@@ -23,12 +27,12 @@ from strandline.llm.common import col, free_names
 ROUNDS = 8
 KINDS = ["email", "date", "ssn", "phone", "ip", "card"]
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+[1-9][0-9]{9,14}(?![0-9])|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]))",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{13,19})(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19})(?![0-9])",
 }
 ANY = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
 
@@ -145,18 +149,60 @@ def _ssn(key: str, value: Column) -> Column:
     return _let(F.split(value, "-").cast("array<int>"), made)
 
 
+#: Steps of a walk through days that a month may lack, one in ten or fewer: a longer one has a chance below 1e-60.
+WALK = 64
+
+
+def _last_day(year: Column, month: Column) -> Column:
+    return F.dayofmonth(F.last_day(F.make_date(year, F.greatest(F.lit(1), F.least(month, F.lit(12))), F.lit(1))))
+
+
+def date_parts(value: Column) -> Column:
+    """(y, m, d, order) of a date in one of the forms: year first, day first where that is a date, else month first."""
+    p = F.split(value, "[-/.]")
+    n = [F.get(p, k).cast("int") for k in range(3)]
+    valid = lambda y, m, d: m.between(1, 12) & (d >= 1) & (d <= _last_day(y, m))
+    part = lambda y, m, d, order: F.struct(n[y].alias("y"), n[m].alias("m"), n[d].alias("d"), F.lit(order).alias("order"))
+    year_first = F.length(F.get(p, 0)) == 4
+    return (
+        F.when(year_first, F.when(valid(n[0], n[1], n[2]), part(0, 1, 2, "ymd")))
+        .when(valid(n[2], n[1], n[0]), part(2, 1, 0, "dmy"))
+        .when(valid(n[2], n[0], n[1]), part(2, 0, 1, "mdy"))
+    )
+
+
 def _date(key: str, value: Column) -> Column:
-    """73,200 days from 1900-01-01 as 240 x 305; day-first, or month-first where only that is a date."""
-    digits = digits_of(value)
-    iso = value.rlike("^[0-9]{4}-")
+    """A day of 1900 to 2099 within its class: days of one digit, of 10 to 12 and above 12, months of one digit and of two.
 
-    def made(order: str) -> Column:
-        day = F.datediff(F.try_to_date(digits, order), F.lit("1900-01-01").cast("date"))
-        moved = lambda n: _permuted(key, "date", F.floor(n / 305), n % 305, F.lit(240), F.lit(305))
-        shown = lambda s: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (s["l"] * 305 + s["r"]).cast("int")), order)
-        return _let(day, lambda n: F.when(n.between(0, 73199), _let(moved(n), lambda s: _refilled(value, shown(s)))))
+    So a pseudonym can be written like its value, with one digit or two, and read as the value is, and one day
+    has one pseudonym in every notation. Of the days above 12, those that a month lacks are walked past.
+    """
 
-    return F.coalesce(F.when(iso, made("yyyyMMdd")).otherwise(F.coalesce(made("ddMMyyyy"), made("MMddyyyy"))), value)
+    def made(p: Column) -> Column:
+        late, months = p["m"] >= 10, F.when(p["m"] >= 10, 3).otherwise(9)
+        first = F.when(p["d"] < 10, 1).when(p["d"] <= 12, 10).otherwise(13)
+        days = F.when(first == 1, 9).when(first == 10, 3).otherwise(19)
+        left = (p["y"] - 1900) * months + p["m"] - F.when(late, 10).otherwise(1)
+        day = lambda s: F.struct(
+            (F.floor(s["l"] / months) + 1900).cast("int").alias("y"), (s["l"] % months + F.when(late, 10).otherwise(1)).cast("int").alias("m"), (s["r"] + first).cast("int").alias("d")
+        )
+
+        def step(s: Column, _: Column) -> Column:
+            new = lambda x: _let(day(x), lambda t: F.struct(x["l"].alias("l"), x["r"].alias("r"), (t["d"] <= _last_day(t["y"], t["m"])).alias("done")))
+            return F.when(s["done"], s).otherwise(_let(_permuted(key, "date", s["l"], s["r"], 200 * months, days), new))
+
+        start = F.struct(left.cast("bigint").alias("l"), (p["d"] - first).cast("bigint").alias("r"), F.lit(False).alias("done"))
+        walked = F.when(p["y"].between(1900, 2099), F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step))
+        return _let(walked, lambda s: F.when(s["done"], _let(day(s), lambda t: shown(p["order"], t))))
+
+    def shown(order: Column, t: Column) -> Column:
+        """The day in the value's order, each part as wide as the value's."""
+        p, mark = F.split(value, "[-/.]"), F.regexp_extract(value, "[-/.]", 0)
+        wide = lambda part, k: F.lpad(part.cast("string"), F.length(F.get(p, k)), F.lit("0"))
+        write = lambda *parts: F.concat_ws("", wide(parts[0], 0), mark, wide(parts[1], 1), mark, wide(parts[2], 2))
+        return F.when(order == "ymd", write(t["y"], t["m"], t["d"])).when(order == "dmy", write(t["d"], t["m"], t["y"])).otherwise(write(t["m"], t["d"], t["y"]))
+
+    return F.coalesce(_let(date_parts(value), made), value)
 
 
 def _email(key: str, value: Column) -> Column:

@@ -116,7 +116,7 @@ def host_verdicts(frame: DataFrame, names: dict[str, str], host: str = "source",
 
 
 def judged(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """doc_id, measures, base_failed, host_rejected and kept of every row."""
+    """doc_id, measures, base_failed and kept of every row; behind them n_lines and host_rejected."""
     frame = docs.select(F.col("doc_id"), col(text).alias("text"), col(host).cast("string").alias("host"))
     frame, names = measured(frame)
     frame = stored(frame.drop("text"), "measured")
@@ -124,7 +124,8 @@ def judged(docs: DataFrame, host: str = "source", text: str = "text") -> DataFra
     joined = frame.withColumn("host_key", host_key(F.col("host"))).join(verdicts, "host_key", "left")
     base = base_failed(names)
     rejected = F.coalesce("host_rejected", F.lit(False))
-    return joined.select("doc_id", *MEASURES, base.alias("base_failed"), rejected.alias("host_rejected"), (~base & ~rejected).alias("kept"))
+    agreed = [m for m in MEASURES if m != "n_lines"]
+    return joined.select("doc_id", *agreed, base.alias("base_failed"), (~base & ~rejected).alias("kept"), "n_lines", rejected.alias("host_rejected"))
 
 
 def good_documents(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import math
 import re
@@ -170,3 +171,128 @@ def licences(text, sentences, rules):
             kinds += [kind] if kind not in kinds else []
         rest = out
     return ",".join(ids), ",".join(names), ",".join(kinds)
+
+
+# --- pseudonyms -----------------------------------------------------------------------------
+
+PII = [
+    ("email", r"(?<![^\W_]|[._%+-])[^\W_](?:[^\W_]|[._%+-]){0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
+    ("date", r"(?<![0-9])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9])"),
+    ("ssn", r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"),
+    ("phone", r"(?<![0-9+])(?:\+[1-9][0-9]{9,14}(?![0-9])|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]))"),
+    ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"),
+    ("card", r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19})(?![0-9])"),
+]
+PII_ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PII))
+
+
+def draw(key, kind, i, other):
+    return hashlib.sha256(f"{key}|{kind}|{i}|{other}".encode()).hexdigest()
+
+
+def feistel(key, kind, left, right, a, b):
+    for i in range(1, 9):
+        if i % 2 == 0:
+            left = (left + int(draw(key, kind, i, right)[:15], 16)) % a
+        else:
+            right = (right + int(draw(key, kind, i, left)[:15], 16)) % b
+    return left, right
+
+
+def luhn_check(digits):
+    return sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits)))) % 10
+
+
+def moved_digits(key, kind, digits):
+    half = len(digits) // 2
+    rest = len(digits) - half
+    left, right = feistel(key, kind, int(digits[:half] or 0), int(digits[half:]), 10**half, 10**rest)
+    return (f"{left:0{half}}" if half else "") + f"{right:0{rest}}"
+
+
+def refill(value, digits):
+    it = iter(digits)
+    return "".join(next(it) if c in "0123456789" else c for c in value)
+
+
+def moved_signs(key, signs):
+    half = len(signs) // 2
+    left, right = signs[:half], signs[half:]
+
+    def shift(text, i, other):
+        h = draw(key, "email", i, other)
+        out = ""
+        for k, c in enumerate(text):
+            first, size = (48, 10) if c.isdigit() else (97, 26) if c.islower() else (65, 26)
+            out += chr(first + (ord(c) - first + int(h[2 * k : 2 * k + 2] or "0", 16)) % size)
+        return out
+
+    for i in range(1, 9):
+        if i % 2 == 0:
+            left = shift(left, i, right)
+        else:
+            right = shift(right, i, left)
+    return left + right
+
+
+def pseudonym(kind, value, key):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "card":
+        if luhn_check(digits):
+            return value
+        body = digits[0] + moved_digits(key, "card", digits[1:-1])
+        return refill(value, body + str((10 - luhn_check(body + "0")) % 10))
+    if kind == "phone":
+        return refill(value, digits[:-9] + moved_digits(key, "phone", digits[-9:]))
+    if kind == "ip":
+        o = list(map(int, value.split(".")))
+        if max(o) > 255:
+            return value
+        return ".".join(str(x) for n in feistel(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536) for x in divmod(n, 256))
+    if kind == "ssn":
+        area, group, serial = map(int, value.split("-"))
+        if not (1 <= area <= 899 and area != 666 and group and serial):
+            return value
+        left, right = feistel(key, "ssn", (area - 1 - (area > 666)) * 99 + group - 1, serial - 1, 898 * 99, 9999)
+        area = left // 99 + 1
+        return f"{area + (area >= 666):03}-{left % 99 + 1:02}-{right + 1:04}"
+    if kind == "email":
+        local, domain = value.split("@")
+        plain = "[A-Za-z0-9]"
+        signs = iter(moved_signs(key, "".join(re.findall(plain, local))))
+        return "".join(next(signs) if re.match(plain, c) else c for c in local) + "@" + domain
+    parts, mark = re.split("[-/.]", value), re.search("[-/.]", value)[0]
+    orders = ["ymd"] if len(parts[0]) == 4 else ["dmy", "mdy"]
+    for order in orders:
+        own = dict(zip(order, map(int, parts)))
+        try:
+            datetime.date(own["y"], own["m"], own["d"])
+        except ValueError:
+            continue
+        if not 1900 <= own["y"] <= 2099:
+            return value
+        month, months = (10, 3) if own["m"] >= 10 else (1, 9)
+        day, days = (1, 9) if own["d"] < 10 else (10, 3) if own["d"] <= 12 else (13, 19)
+        left, right = (own["y"] - 1900) * months + own["m"] - month, own["d"] - day
+        while True:
+            left, right = feistel(key, "date", left, right, 200 * months, days)
+            new = {"y": 1900 + left // months, "m": month + left % months, "d": day + right}
+            try:
+                datetime.date(new["y"], new["m"], new["d"])
+                break
+            except ValueError:
+                continue
+        return mark.join(str(new[c]).rjust(len(p), "0") for c, p in zip(order, parts))
+    return value
+
+
+def pseudonymised(text, key):
+    changed = 0
+
+    def put(m):
+        nonlocal changed
+        new = pseudonym(m.lastgroup, m[0], key)
+        changed += new != m[0]
+        return new
+
+    return PII_ANY.sub(put, text), changed

@@ -165,6 +165,39 @@ def test_the_network_is_a_permutation(spark):
     assert moved.distinct().count() == 210 and moved.where("l not between 0 and 29 or r not between 0 and 6").count() == 0
 
 
+def test_dates_are_one_to_one_in_every_notation(spark):
+    """All days of five years in six notations: no two strings share a pseudonym, and each day has one."""
+    days = [datetime.date(1999, 1, 1) + datetime.timedelta(k) for k in range(1826)] + [datetime.date(y, 2, 29) for y in range(1904, 2100, 4)]
+    forms = {"iso": "{y}-{m:02}-{d:02}", "slash": "{d:02}/{m:02}/{y}", "us": "{m:02}/{d:02}/{y}", "dot": "{d}.{m}.{y}", "short": "{d}/{m}/{y}", "year": "{y}/{m}/{d}"}
+    rows = sorted({(f, t.format(y=d.year, m=d.month, d=d.day), d) for f, t in forms.items() for d in set(days) if f != "us" or d.day > 12})
+    df = spark.createDataFrame(rows, "form string, value string, day date").repartition(8)
+    got = df.select("form", "value", "day", pii.pseudonym(F.col("value"), "k").alias("new")).collect()
+    by_text, by_day = {}, {}
+    for r in got:
+        assert by_text.setdefault(r["new"], r["value"]) == r["value"]
+        parts = list(map(int, re.split("[-/.]", r["new"])))
+        y, m, d = parts if r["form"] in ("iso", "year") else (parts[2], parts[0], parts[1]) if r["form"] == "us" else parts[::-1]
+        assert by_day.setdefault(r["day"], datetime.date(y, m, d)) == datetime.date(y, m, d)
+        assert [len(p) for p in re.split("[-/.]", r["new"])] == [len(p) for p in re.split("[-/.]", r["value"])] and (r["form"] != "us" or d > 12)
+    assert len(set(by_day.values())) == len(by_day)
+
+
+def test_pseudonyms_against_a_plain_network(spark):
+    rng = random.Random(12)
+    makers = [
+        lambda: f"{rng.randint(1, 31):02}/{rng.randint(1, 13):02}/{rng.randint(1890, 2110)}", lambda: f"{rng.randint(1, 31)}.{rng.randint(1, 12)}.{rng.randint(1900, 2099)}",
+        lambda: f"{rng.randint(0, 999):03}-{rng.randint(0, 99):02}-{rng.randint(0, 9999):04}", lambda: f"+{rng.randint(1, 99)} ({rng.randint(100, 999)}) {rng.randint(100, 999)}-{rng.randint(1000, 9999)}",
+        lambda: ".".join(str(rng.randint(0, 270)) for _ in range(4)), lambda: "".join(rng.choice("0123456789") for _ in range(rng.randint(13, 19))), lambda: "3782 822463 10005",
+        lambda: f"{rng.choice(['ann', 'B.c', 'müller.hans', 'x1_y2'])}{rng.randint(0, 99)}@mail.example.org", lambda: "word", lambda: "+4930901820123",
+    ]
+    rows = [(k, " ".join(rng.choice(makers)() for _ in range(rng.randint(0, 6)))) for k in range(300)] + [(300, "x 1/5/2024, 2024/01/05; " * 2000)]
+    docs = spark.createDataFrame([(i, t, 7, "q") for i, t in [*rows, *rows[:3]]], "doc_id long, text string, n_pseudonyms int, _found string").repartition(8)
+    got = pii.pseudonymised(docs, "key").collect()
+    want = {i: brute.pseudonymised(t, "key") for i, t in rows}
+    assert len(got) == 304 and all((r["text"], r["_n_pseudonyms"]) == want[r["doc_id"]] for r in got)
+    assert got[0].asDict()["n_pseudonyms"] == 7
+
+
 def test_codes_equal_the_library(spark):
     from tokenizers import Tokenizer
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text
 from strandline.operators.ordered import global_row_ids, top_k
-from strandline.session import cut_lineage
+from strandline.session import cut_lineage, discard, written
 
 SRC, DST = "source_node_id", "target_node_id"
 
@@ -83,9 +83,9 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Component label (smallest node id) of every node.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014) over distinct
-    edges; each round cuts the lineage and stops when the edge set no longer changes.
-    Minima are partial aggregates, so a node with a huge neighbourhood is no hot spot
-    there, and AQE splits its rows in the joins.
+    edges. Each round is written, as a table of known size, and the one before it deleted; the rounds
+    stop when the edge set no longer changes. Minima are partial aggregates, so a node with a huge
+    neighbourhood is no hot spot there, and AQE splits its rows in the joins.
     """
 
     def mark(df: DataFrame):
@@ -94,26 +94,27 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     # Nodes are numbered in the order of their ids, so the smallest number of a
     # component is its smallest id and the rounds move short integers.
     every = nodes.select("node_id").unionByName(endpoints(edges)).distinct()
-    number = cut_lineage(global_row_ids(every, ["node_id"], "i"))
+    number = written(global_row_ids(every, ["node_id"], "i"), "component-nodes")
     ends = (
         edges.select(SRC, DST).filter(F.col(SRC) != F.col(DST)).distinct()
         .join(number.select(F.col("node_id").alias(SRC), F.col("i").alias("x")), SRC)
         .join(number.select(F.col("node_id").alias(DST), F.col("i").alias("y")), DST)
     )
-    current = cut_lineage(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    current = written(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "component-edges")
     state = mark(current)
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = written(large, "component-stars")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        current = cut_lineage(small)
-        new_state = mark(current)
-        if new_state == state:
+        small = written(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "component-edges")
+        discard(current, large)
+        current, old = small, state
+        state = mark(current)
+        if state == old:
             break
-        state = new_state
     labels = current.groupBy("a").agg(F.min("b").alias("c"))
     marked = number.join(labels, F.col("i") == F.col("a"), "left").select("node_id", F.coalesce("c", "i").alias("c"))
     roots = number.select(F.col("i").alias("c"), F.col("node_id").alias("component"))

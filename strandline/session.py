@@ -77,3 +77,20 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return os.path.join(shared_dir(spark), "strandline", f"{name}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A frame written below the shared folder and read again: cut from its lineage, and of known size to the planner."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of :func:`written` that no frame still to be worked out reads."""
+    for df in frames:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,16 +59,18 @@ def decode_bytes(content: Column | str, fallback: str = "ISO-8859-1") -> Column:
 def read_csv_with_encodings(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV files, each in UTF-8 or Latin-1, with a header line; quoted fields may hold line ends.
 
-    A first scan, line by line, finds the files that aren't valid UTF-8; then Spark's own
-    parser reads either kind with its encoding. Only file names reach the driver.
+    All files are parsed as Latin-1, which maps every byte to a sign and leaves the signs that CSV
+    is made of alone. A scan line by line tells which files are valid UTF-8; it is joined by file,
+    and the texts of these are turned back into their bytes and read as what they are. No file
+    name reaches the driver.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok"))
-    files: dict[bool, list[str]] = {True: [], False: []}
-    for row in lines.groupBy("file").agg(F.bool_and("ok").alias("ok")).collect():
-        files[row["ok"]].append(unquote(row["file"]))
-    read = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
-    parts = [read.option("encoding", e).csv(files[ok]) for ok, e in ((True, "UTF-8"), (False, "ISO-8859-1")) if files[ok]]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.is_valid_utf8("value").alias("ok"))
+    files = lines.groupBy("_file").agg(F.bool_and("ok").alias("_ok"))
+    read = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "ISO-8859-1")
+    rows = read.csv(path)
+    joined = rows.select("*", F.col("_metadata.file_path").alias("_file")).join(files, "_file", "left")
+    plain = lambda c: F.when(F.col("_ok"), F.encode(c, "ISO-8859-1").cast("string")).otherwise(F.col(c)).alias(c)
+    return joined.select(*[plain(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in rows.schema.fields])
 
 
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:

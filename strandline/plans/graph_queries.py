@@ -81,8 +81,13 @@ Q["weak_components"] = lambda s, f: graph.weak_components(
 SQL["weak_components"] = f"""WITH {SQL_NODES}, {SQL_EDGES}, d AS (SELECT source_node_id AS c, target_node_id AS o FROM edges WHERE edge_type = 'directed'),
 m AS (SELECT c, least(c, min(o)) AS component FROM d GROUP BY 1)
 SELECT node_id, coalesce(m1.component, m2.component, node_id) AS component FROM nodes LEFT JOIN m m1 ON node_id = m1.c LEFT JOIN d ON node_id = d.o LEFT JOIN m m2 ON d.c = m2.c WHERE node_type IN ('director', 'film', 'location')"""
-# The whole graph: labels over long paths, too slow for SQL's recursion, so the tests hold it against union-find.
 Q["weak_components_all"] = lambda s, f: graph.weak_components(nodes(s, f), edges(s, f))
+# A keyed recursion keeps one label a node, so it ends after as many rounds as the longest path has edges.
+SQL["weak_components_all"] = f"""WITH RECURSIVE {SQL_NODES}, {_SQL_ENDS}, every AS (SELECT node_id FROM nodes UNION SELECT node_id FROM ends),
+e2 AS (SELECT DISTINCT source_node_id AS u, target_node_id AS w FROM edges UNION SELECT DISTINCT target_node_id, source_node_id FROM edges),
+cc(node_id, component) USING KEY (node_id) AS (SELECT node_id, node_id FROM every
+UNION SELECT e2.w, min(cc.component) FROM cc JOIN e2 ON e2.u = cc.node_id JOIN recurring.cc AS r ON r.node_id = e2.w WHERE cc.component < r.component GROUP BY e2.w)
+SELECT node_id, component FROM cc"""
 Q["graph_metrics"] = lambda s, f: b.rounded(graph.graph_metrics(nodes(s, f), edges(s, f)), ["avg_degree", "density"], 9)
 SQL["graph_metrics"] = f"""WITH RECURSIVE {SQL_NODES}, {_SQL_ENDS}, every AS (SELECT node_id FROM nodes UNION SELECT node_id FROM ends),
 e2 AS (SELECT DISTINCT source_node_id AS u, target_node_id AS w FROM edges UNION SELECT DISTINCT target_node_id, source_node_id FROM edges),

@@ -47,7 +47,11 @@ def _licences() -> str:
         add = lambda column, value: f"CASE WHEN contains(rest, ',{ids},') AND NOT list_contains({column}, '{value}') THEN list_append({column}, '{value}') ELSE {column} END AS {column}"  # noqa: B023, E731
         steps.append(f"r{k} AS (SELECT doc_id, ids, {rest} AS rest, {add('licences', name)}, {add('kinds', kind)} FROM {last})")
         last = f"r{k}"
-    return f"""WITH t AS (SELECT doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '([.!?;])\\s+', '\\1' || chr(10), 'g'), chr(10)) AS ls FROM documents),
+    spdx = licences.SPDX.replace("(?:or|and)", "(or|and)")
+    low = "lower(coalesce(text, ''))"
+    for _ in range(3):
+        low = f"regexp_replace({low}, '{spdx}', '\\1 \\2' || chr(10) || '\\1 \\4', 'g')"
+    return f"""WITH t AS (SELECT doc_id, string_split(regexp_replace(regexp_replace({low}, ',\\s+(all rights reserved)', chr(10) || '\\1', 'g'), '([.!?;])\\s+', '\\1' || chr(10), 'g'), chr(10)) AS ls FROM documents),
 s AS (SELECT doc_id, list_filter(list_transform(ls, lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS ss FROM t),
 i AS (SELECT doc_id, ',' || array_to_string(list_transform(ss, lambda s: CASE {known} ELSE '?' END), ',') || ',' AS seq FROM s),
 j AS (SELECT doc_id, regexp_replace(seq, ',(\\?,)+', ',?,', 'g') AS seq FROM i),

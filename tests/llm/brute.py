@@ -153,7 +153,11 @@ def urls(pages, rules, link, rounds=20):
 def licences(text, sentences, rules):
     known = {f: n for n, forms in sentences.items() for f in forms}
     ids = []
-    for s in re.split(r"\n+|(?<=[.!?;])[ \t\n\x0b\f\r]+", (text or "").lower()):
+    low = (text or "").lower()
+    for _ in range(3):
+        low = re.sub(r"(spdx-license-identifier:)[ \t]*\(?([a-z0-9.+-]+)[ \t]+(?:or|and)[ \t]+\(?([a-z0-9.+-]+)\)?", r"\1 \2\n\1 \3", low)
+    low = re.sub(r",\s+(all rights reserved)", r"\n\1", low)
+    for s in re.split(r"\n+|(?<=[.!?;])[ \t\n\x0b\f\r]+", low):
         s = re.sub("[^a-z0-9]+", " ", s).strip(" ")
         if s and ((n := known.get(s, "?")) != "?" or not ids or ids[-1] != "?"):
             ids.append(n)

@@ -125,10 +125,13 @@ the Free Software Foundation, either version 3 of the License, or
 (at your option) any later version."""
 
 
+def marked(text, mark):
+    return "\r\n".join(f"{mark} {x}".rstrip() for x in text.split("\n"))
+
+
 def test_wrapped_licence_notices(spark):
-    marked = lambda t, mark: "\r\n".join(f"{mark} {x}".rstrip() for x in t.split("\n"))
     texts = {"MIT": MIT, "BSD": BSD, "GPL-2.0-or-later": GPL2, "GPL-3.0-or-later": GPL3}
-    ids = {"MIT": "MITGrant,MITNotice,AsIs", "BSD": "BSDGrant,?,AsIs", "GPL-2.0-or-later": "GPLFree,GPLTerms,GPLEither2", "GPL-3.0-or-later": "GPLGrant3"}
+    ids = {"MIT": "MITGrant,MITNotice,AsIs", "BSD": "BSDGrant,?,BSDSource,AsIs", "GPL-2.0-or-later": "GPLFree,GPLTerms,GPLEither2", "GPL-3.0-or-later": "GPLGrant3"}
     want = [(n, v) for n, t in texts.items() for v in (t, f"some code\n{t}\nmore", *[marked(t, m) for m in ("#", " *", "//", ";", "--")], re.sub(r"(?<!\n)\n(?!\n)", " ", t))]
     got = {r["doc_id"]: r for r in licences.scanned(frame(spark, [(k, v) for k, (_, v) in enumerate(want)])).collect()}
     assert [got[k]["licences"] for k in range(len(want))] == [n for n, _ in want]
@@ -137,6 +140,66 @@ def test_wrapped_licence_notices(spark):
     assert {r[0]: r[1] for r in licences.scanned(frame(spark, odd)).collect()} == {1: "CC0", 2: "", 3: "", 4: "AllRights,AllRights,?"}
 
 
+BSD_CLAUSES = [
+    """Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer.""",
+    """Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.""",
+    """Neither the name of {who} nor the names of its contributors may be used
+to endorse or promote products derived from this software without specific
+prior written permission.""",
+]
+HEADERS = {
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Zlib": """Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:""",
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.""",
+}
+
+
+def test_notices_and_spdx_lines(spark):
+    intro, end = BSD.split("\n\n")[0], BSD.split("\n\n")[2]
+
+    def bsd(n, who="the copyright holder", mark="{k}. "):
+        return "\n\n".join([intro, *[mark.format(k=k + 1) + c.format(who=who) for k, c in enumerate(BSD_CLAUSES[:n])], end])
+
+    want = [(n, v) for n, t in HEADERS.items() for v in (t, re.sub(r"\n", " ", t), marked(t, "//"))]
+    want += [(f"BSD-{n}-Clause", bsd(n, who, mark)) for n in (2, 3) for mark in ("{k}. ", "* ", "") for who in ("the copyright holder", "Foo Ltd")]
+    lines = {
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT", "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause", "// SPDX-License-Identifier: LGPL-2.1-only": "LGPL-2.1-only",
+        "/* SPDX-License-Identifier: (GPL-2.0-or-later AND MIT) OR ISC */": "MIT,ISC,GPL-2.0-or-later", "This file is licensed under the MIT License.": "MIT", "The MIT License (MIT)": "MIT",
+        "Copyright 2020 Foo, all rights reserved.": "LicenseRef-AllRightsReserved", "Released under the Eclipse Public License.": "EPL-2.0", "the license of the club": "", "under the table license": "",
+        "# This code is distributed under the 3-clause BSD license": "BSD-3-Clause", "SPDX-License-Identifier: Unknown-1.0 OR MPL-2.0": "MPL-2.0",
+    }
+    want += [(v, k) for k, v in lines.items()]
+    got = {r["doc_id"]: r for r in licences.scanned(frame(spark, [(k, t) for k, (_, t) in enumerate(want)])).collect()}
+    assert {t: (set(got[k]["licences"].split(",")), n) for k, (n, t) in enumerate(want) if set(got[k]["licences"].split(",")) != set(n.split(","))} == {}
+
+
+def test_tables_of_licences():
+    forms = [f for fs in licences.SENTENCES.values() for f in fs]
+    assert len(forms) == len(set(forms)) and len({name for _, name, _ in licences.RULES}) >= 40
+    assert all(any(t in f for t in licences.TRIGGERS) for f in forms) and all(f == licences.plain(f) for f in forms)
+    assert all(part == "?" or part in licences.SENTENCES for ids, _, _ in licences.RULES for part in ids.split(","))
+
+
 def luhn(digits):
     return sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 

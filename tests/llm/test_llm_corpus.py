@@ -119,7 +119,7 @@ def test_distrust_reaches_hosts_beside_a_blocked_one(spark):
 def test_walks_end_where_nothing_moves(spark):
     n = 34
     links = [(f"h{k}.x", f"h{k + 1}.x", 1.0) for k in range(n)] + [("h0.x", f"s{k}.x", 1.0) for k in range(30)]
-    edges = spark.createDataFrame(links, "src string, dst string, n double").localCheckpoint()
+    edges = spark.createDataFrame(links, "src string, dst string, n double").checkpoint()
     seeds = spark.createDataFrame([(f"h{n}.x", 0.0, 1.0), ("h0.x", 1.0, 0.0)], "host string, trust double, distrust double")
     once = {r["host"]: r for r in url_graph.propagated(edges, seeds).collect()}
     assert all(math.isclose(once[f"h{n - k}.x"]["distrust"], 0.15 * 0.85**k, rel_tol=1e-6) for k in range(n + 1))

@@ -6,6 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from strandline.operators import graph
+from strandline.plans import graph_queries
 
 E = "source_node_id string, target_node_id string, edge_type string"
 
@@ -209,3 +210,16 @@ def test_components_query_over_all_edges(spark, tmp_path):
     got = dict(tuple(r) for r in queries()["weak_components_all"](spark, str(tmp_path)).select("node_id", "component").collect())
     assert got == {n: find(n) for n in root}
     assert got["film_0"] == got["film_19"] != got["film_20"] == got["film_39"] and got["character_44"] == got["character_47"]
+
+
+def test_customers_of_one_name_are_one_director(spark, tmp_path):
+    def table(name, schema, rows_):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    table("customer", "c_custkey bigint, c_name string", [(1, "a"), (2, "a"), (3, "b")])
+    table("orders", "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string", [
+        (1, 1, "O", 10.2, None, "1"), (2, 2, "O", 20.2, None, "1"), (3, 2, "O", 30.2, None, "1")])
+    table("part", "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int", [(1, "p", "x", "t", 1)])
+    table("supplier", "s_suppkey bigint, s_name string, s_nationkey int", [(1, "s", 1)])
+    got = graph_queries.nodes(spark, str(tmp_path)).where("node_type = 'director'").select("name", "properties")
+    assert rows(got) == [("a", '{"film_count":3,"total":61}'), ("b", '{"film_count":0,"total":null}')]

@@ -41,7 +41,7 @@ def stream_keyed_load(s, f):
     """Every event arrives twice, its copy in a later micro-batch; what each batch brought and appended."""
     path, state = scratch_path(s, "keyed-events"), scratch_path(s, "keyed-events-state")
     twice = _event_stream(s, f, again=True).filter("event_id IS NOT NULL").select("event_id", "user_id", "value")
-    keyed.load_keyed_batches(twice, path, ["event_id"], state, 16).awaitTermination(600)
+    keyed.load_keyed_batches(twice, path, ["event_id"], state, 16).awaitTermination()
     return keyed.keyed_table(s, path, twice.schema).groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("event_id").alias("keys"))
 
 
@@ -85,7 +85,7 @@ SELECT r.*, kept, (SELECT count(*) FROM e JOIN k ON l = load WHERE kept) AS stor
 def stream_gated_write(s, f):
     path, state = scratch_path(s, "gated-stream"), scratch_path(s, "gated-stream-state")
     rows = _event_stream(s, f).filter("event_id IS NOT NULL").select("event_id", "event_type", "value")
-    gates.stream_gated_write(rows, path, _rules(), state, {"type_values": 10**9, "value_small": 10**9}).awaitTermination(600)
+    gates.stream_gated_write(rows, path, _rules(), state, {"type_values": 10**9, "value_small": 10**9}).awaitTermination()
     figures = s.read.schema("load string, rule string, failures bigint, total bigint, kept boolean").parquet(f"{path}-verdicts/*")
     return figures.groupBy("rule").agg(F.sum("failures").cast("bigint").alias("failures"), F.sum("total").cast("bigint").alias("total"), F.min("kept").alias("kept"))
 

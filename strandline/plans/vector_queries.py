@@ -14,7 +14,7 @@ from strandline.operators import corpus, series, similarity, vector_index
 from strandline.plans import base as b
 from strandline.plans import reports
 from strandline.plans.cleaning_queries import _SQL_WORDS, WS, _quote
-from strandline.session import scratch_path
+from strandline.session import plan_bytes, scratch_path
 from strandline.streaming import streams
 
 Q: dict = {}
@@ -359,37 +359,57 @@ SQL["entity_lookup"] = f"WITH {b.SQL_SHIP_SERIES} SELECT nation, flag, {', '.joi
 # --- streams --------------------------------------------------------------------------
 
 
-# Parts of ten days arrive in order, events of up to 40 minutes before a border with the next part.
-_PART, _PARTS, _DELAY = 10 * 86400, [0, 1, 2], "11 days"
+# Three parts arrive in order, each a third of the time covered and ten days at least; events of up to
+# 40 minutes before a border come with the next part.
+_PART, _PARTS = 10 * 86400, [0, 1, 2]
+#: Seconds added to the streams' times: a watermark begins at 1970, and whatever is older counts as late.
+_ORIGIN = 10_000 * 86400
+#: Stored bytes of the events for each file of a part.
+_FILE_BYTES = 16 << 20
 
 
 def _event_rows(s, f):
     return T(s, f, "events").select(
         "event_id", "user_id", "event_type", "value",
-        F.timestamp_seconds(b.seconds_since("ts", "2024-01-01")).alias("ts"),
+        F.timestamp_seconds(b.seconds_since("ts", "2024-01-01") + _ORIGIN).alias("ts"),
         *[F.when(F.col("event_type") == d, F.col("value") / 997.0).otherwise(F.lit(0.0)).alias(d) for d in b.EVENT_DIMS],
     )
 
 
-def _event_stream(s, f, again=False):
-    """Events from several micro-batches and a closing marker; ``again``: each in the next part too."""
+def _timed_stream(s, f, again=False):
+    """Events from several micro-batches and a closing marker, and the delay they need; ``again``: each in the next part too.
+
+    A micro-batch takes in one part, in files that grow in number with the input, so there are as many
+    micro-batches however large it is. The delay is longer than a part: in whatever order
+    files are taken, no event is late when it first arrives.
+    """
     rows = _event_rows(s, f)
-    late = F.unix_timestamp("ts") + F.pmod("event_id", F.lit(3)) * 1200
-    part = F.least(F.floor(late / _PART), F.lit(_PARTS[-1]))
+    late = F.unix_timestamp("ts") + F.coalesce(F.pmod("event_id", F.lit(3)), F.lit(0)) * 1200
+    first, last = rows.agg(F.min(late), F.max(late)).first()
+    start = (first or 0) // 86400 * 86400
+    days = max(_PART // 86400, -(-((last or 0) - start + 1) // (len(_PARTS) * 86400)))
+    # Events without a time come first.
+    part = F.coalesce(F.floor((late - start) / (days * 86400)), F.lit(0))
     if again:
         rows = rows.withColumn("part", F.explode(F.array(part, part + 1)))
     else:
         rows = rows.withColumn("part", part)
+    files = max(1, -(-plan_bytes(rows) // _FILE_BYTES))
     marker = rows.limit(1).select(*[F.lit("2100-01-01").cast("timestamp").alias(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
-    path = streams.staged_arrivals(rows, F.col("part"), [*_PARTS, *([len(_PARTS)] if again else [])], marker, "arrivals")
-    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return stream.drop("part")
+    path = streams.staged_arrivals(rows, F.col("part"), [*_PARTS, *([len(_PARTS)] if again else [])], marker, "arrivals", files)
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+    return stream.drop("part"), f"{days + 1} days"
+
+
+def _event_stream(s, f, again=False):
+    return _timed_stream(s, f, again)[0]
 
 
 def stream_minute_aggregate(s, f):
-    out = streams.run_to_parquet(streams.stream_minute_aggregate(_event_stream(s, f), ["user_id"], "ts", b.EVENT_DIMS, "1 hour", _DELAY), "minute", 600)
+    stream, delay = _timed_stream(s, f)
+    out = streams.run_to_parquet(streams.stream_minute_aggregate(stream, ["user_id"], "ts", b.EVENT_DIMS, "1 hour", delay), "minute")
     got = s.read.schema("user_id bigint, dialogue_count bigint, " + ", ".join(f"{d} double" for d in b.EVENT_DIMS) + ", bucket_start timestamp").parquet(out)
-    return b.rounded(got.withColumn("minute_offset", F.floor(F.unix_timestamp("bucket_start") / 3600).cast("bigint")).drop("bucket_start"), b.EVENT_DIMS)
+    return b.rounded(got.withColumn("minute_offset", F.floor((F.unix_timestamp("bucket_start") - _ORIGIN) / 3600).cast("bigint")).drop("bucket_start"), b.EVENT_DIMS)
 
 
 Q["stream_minute_aggregate"] = stream_minute_aggregate
@@ -398,8 +418,8 @@ SQL["stream_minute_aggregate"] = f"WITH {b.SQL_EVENT_SERIES} SELECT user_id, min
 
 def stream_idempotent_load(s, f):
     """Every event arrives twice, its copy in a later micro-batch."""
-    twice = _event_stream(s, f, again=True).select("event_id", "ts", "value")
-    out = streams.run_to_parquet(streams.stream_idempotent(twice, ["event_id"], "ts", _DELAY), "dedup", 600)
+    twice, delay = _timed_stream(s, f, again=True)
+    out = streams.run_to_parquet(streams.stream_idempotent(twice.select("event_id", "ts", "value"), ["event_id"], "ts", delay), "dedup")
     return s.read.schema("event_id bigint, ts timestamp, value double").parquet(out).filter("event_id IS NOT NULL").select("event_id", "value")
 
 
@@ -408,9 +428,10 @@ SQL["stream_idempotent_load"] = "SELECT event_id, value FROM events"
 
 
 def stream_sessions(s, f):
-    out = streams.run_to_parquet(streams.stream_sessions(_event_stream(s, f), ["user_id"], "ts", "value", "5 hours", _DELAY), "sessions", 600)
+    stream, delay = _timed_stream(s, f)
+    out = streams.run_to_parquet(streams.stream_sessions(stream, ["user_id"], "ts", "value", "5 hours", delay), "sessions")
     got = s.read.schema("user_id bigint, start timestamp, end timestamp, intensity double, members bigint").parquet(out)
-    return got.withColumns({c: F.unix_timestamp(c) for c in ("start", "end")})
+    return got.withColumns({c: F.unix_timestamp(c) - _ORIGIN for c in ("start", "end")})
 
 
 Q["stream_sessions"] = stream_sessions
@@ -422,7 +443,7 @@ SELECT user_id, min(seconds) AS "start", max(seconds) AS "end", max(value) AS in
 def stream_quality_gate(s, f):
     path, state = scratch_path(s, "gate"), scratch_path(s, "gate-state")
     rows = _event_stream(s, f).filter("event_id IS NOT NULL").select("event_id", "event_type", "value")
-    streams.stream_quality_gate(rows, (F.col("value") > 200) | (F.col("event_type") == "error"), path, state).awaitTermination(600)
+    streams.stream_quality_gate(rows, (F.col("value") > 200) | (F.col("event_type") == "error"), path, state).awaitTermination()
     return s.read.schema("event_id bigint, side string").option("basePath", path).parquet(path).select("event_id", "side")
 
 
@@ -434,7 +455,7 @@ def stream_batch_load(s, f):
     path, state = scratch_path(s, "batches"), scratch_path(s, "batches-state")
     twice = _event_stream(s, f, again=True).filter("event_id IS NOT NULL").select("event_id", "value")
     query = streams.load_batches(twice, path, ["event_id"], state)
-    query.awaitTermination(600)
+    query.awaitTermination()
     return s.read.schema("event_id bigint, value double").parquet(path)
 
 

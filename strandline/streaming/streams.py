@@ -68,15 +68,18 @@ def stream_quality_gate(rows: DataFrame, bad: Column, path: str, state: str) ->
     )
 
 
-def staged_arrivals(rows: DataFrame, part: Column, parts: list, closing: DataFrame | None, name: str) -> str:
+def staged_arrivals(rows: DataFrame, part: Column, parts: list, closing: DataFrame | None, name: str, files: int | None = None) -> str:
     """Write a table as files that arrive one part after the other, and return their folder.
 
+    With ``files`` each part comes in that many files, or fewer where it has fewer rows.
+
     ``closing`` is a last arrival far in the future: it moves the watermark past every open
     window and session, so that an ended input gives complete results.
     """
     path = scratch_path(rows.sparkSession, name)
     for value in parts:
-        rows.filter(part == value).write.mode("append").parquet(path)
+        arriving = rows.filter(part == value)
+        (arriving if files is None else arriving.repartition(files)).write.mode("append").parquet(path)
     if closing is not None:
         closing.write.mode("append").parquet(path)
     return path

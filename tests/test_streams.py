@@ -2,6 +2,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from strandline.operators import series
+from strandline.plans import vector_queries
 from strandline.session import scratch_path
 from strandline.streaming import streams
 
@@ -48,3 +49,30 @@ def test_a_closing_arrival_completes_open_windows(spark):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
     out = streams.run_to_parquet(streams.stream_minute_aggregate(stream, ["k"], "ts", ["x"], "1 minute", "3 minutes"), "closed", 120)
     assert sorted((r["k"], r["dialogue_count"]) for r in spark.read.parquet(out).collect()) == [("a", 1), ("a", 1), ("b", 1)]
+
+
+def test_events_over_years_are_each_loaded_once(spark, tmp_path, monkeypatch):
+    """Any order of a part's files: the last part used to hold all that came after twenty days."""
+    stamps = [f"timestamp_ntz'2023-12-0{1 + i % 9} 00:00:00' + make_dt_interval({i * 47 % 900})" for i in range(60)]
+    rows_ = spark.range(60).select(
+        F.col("id").alias("event_id"), F.expr(f"element_at(array({', '.join(stamps)}), cast(id + 1 as int))").alias("ts"),
+        (F.col("id") % 7).alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"),
+    )
+    rows_.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(vector_queries, "_FILE_BYTES", 2000)
+    got = vector_queries.stream_idempotent_load(spark, str(tmp_path))
+    assert sorted(r["event_id"] for r in got.collect()) == list(range(60))
+
+
+def test_parts_are_micro_batches_however_many_files(spark, tmp_path, monkeypatch):
+    events = spark.range(4000).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(id % 30 as int))").alias("ts"),
+        (F.col("id") % 7).alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"),
+    )
+    events.repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(vector_queries, "_FILE_BYTES", 8000)
+    taken = []
+    stream = vector_queries._event_stream(spark, str(tmp_path), again=True)
+    stream.writeStream.foreachBatch(lambda df, n: taken.append(df.count())).option("checkpointLocation", scratch_path(spark, "parts")).trigger(availableNow=True).start().awaitTermination()
+    assert len(taken) == 5 and sum(taken) == 8001
+    assert len(list(tmp_path.glob("events.parquet/*.parquet"))) == 6

@@ -17,6 +17,10 @@ from strandline.functions import vectors as fv
 from strandline.operators.ordered import top_k
 
 
+#: Scores that a tile works out at once.
+TILE_CELLS = 1 << 20
+
+
 def _blocked(df: DataFrame, ident: str, group: str | None, vector: str, rows: int) -> DataFrame:
     """Vectors with their block number and the number of blocks of their group.
 
@@ -51,14 +55,25 @@ def _tile(id_type: str, group_type: str, metric: str, k: int | None, skip_same:
         if left.empty or right.empty:
             return empty
         right = right.sort_values("id", kind="stable")
-        a, b = np.vstack(left["vec"].to_numpy()), np.vstack(right["vec"].to_numpy())
+        b, ids_b, group = np.vstack(right["vec"].to_numpy()), right["id"].to_numpy(), left["g"].iloc[0]
+        # Scores of a few rows at a time, so a tile holds no matrix of both its sides.
+        step = max(1, TILE_CELLS // len(b))
+        found = [best(left.iloc[n : n + step], b, ids_b) for n in range(0, len(left), step)]
+        id_a, id_b, score = (np.concatenate(x) for x in zip(*found))
+        if not len(id_a):
+            return empty
+        return pd.DataFrame({"g": group, "id_a": id_a, "id_b": id_b, "score": score})
+
+    def best(left: pd.DataFrame, b, ids_b) -> tuple:
+        import numpy as np
+
+        a, ids_a = np.vstack(left["vec"].to_numpy()), left["id"].to_numpy()
         if metric == "cosine":
             na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
             length = na[:, None] * nb[None, :]
             score = np.divide(a @ b.T, length, out=np.zeros((len(a), len(b))), where=length > 0)
         else:
             score = np.stack([np.sqrt(((row - b) ** 2).sum(axis=1)) for row in a])
-        ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
         allowed = ids_a[:, None] != ids_b[None, :] if skip_same else np.ones(score.shape, dtype=bool)
         if min_score is not None:
             allowed &= score >= min_score
@@ -71,9 +86,7 @@ def _tile(id_type: str, group_type: str, metric: str, k: int | None, skip_same:
             j = order.ravel()
             keep = allowed[i, j]
             i, j = i[keep], j[keep]
-        if len(i) == 0:
-            return empty
-        return pd.DataFrame({"g": left["g"].iloc[0], "id_a": ids_a[i], "id_b": ids_b[j], "score": score[i, j]})
+        return ids_a[i], ids_b[j], score[i, j]
 
     return compare, mirrored, schema
 

@@ -92,3 +92,23 @@ def test_embed_retries(spark, tmp_path):
     df = spark.createDataFrame([(i, "x" * i) for i in range(5)], "id long, t string").coalesce(1)
     got = similarity.embed(df, "id", "t", flaky, batch=2, backoff=0.01)
     assert sorted((r["id"], r["embedding"]) for r in got.collect()) == [(i, [float(i)]) for i in range(5)]
+
+
+@pytest.mark.parametrize("metric, k", [("cosine", 3), ("euclidean", None)])
+def test_a_tile_needs_no_matrix_of_both_sides(monkeypatch, metric, k):
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    side = lambda first, n: pd.DataFrame({"g": 0, "id": np.arange(first, first + n), "vec": list(rng.normal(size=(n, 4)))})
+    left, right = side(0, 900), side(600, 700)
+    compare = similarity._tile("bigint", "int", metric, k, True, None if k else 4.5)[0]
+    whole = compare(left, right)
+    monkeypatch.setattr(similarity, "TILE_CELLS", 7000, raising=True)
+    tracemalloc.start()
+    parts = compare(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert whole[["id_a", "id_b"]].equals(parts[["id_a", "id_b"]]) and np.allclose(whole["score"], parts["score"])
+    assert peak < 900 * 700 * 8

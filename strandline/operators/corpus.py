@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,13 +129,19 @@ def chunk_with_tokenizer(
 def count_tokens(column: str, encode: Callable[[str], list[int]]) -> Column:
     """Token counts by a caller-supplied tokenizer, in Arrow batches."""
 
-    @F.pandas_udf("bigint")
-    def counts(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(lambda t: len(encode(t)) if t else 0).astype("int64")
+    @F.arrow_udf("bigint")
+    def counts(texts: pa.Array) -> pa.Array:
+        return token_lengths(texts, encode)
 
     return counts(column)
 
 
+def token_lengths(texts: pa.Array, encode: Callable[[str], list[int]]) -> pa.Array:
+    """Tokens of each text, 0 for NULL; one text at a time becomes a Python string, whatever the batch holds."""
+    lengths = (len(encode(t)) if (t := text.as_py()) else 0 for text in texts)
+    return pa.array(np.fromiter(lengths, np.int64, len(texts)))
+
+
 def entity_documents(
     df: DataFrame,
     kind: str,

@@ -170,3 +170,16 @@ def test_criteria_and_lookup(spark):
     with pytest.raises(ValueError):
         reports.find_by_criteria(df, min_rating=("rt_score", 101))
     assert reports.entity_lookup(df, {"id": "C"}, ["rt_score"], {"rt_score": -1}).first()["rt_score"] == -1
+
+
+def test_token_lengths_turn_one_text_at_a_time_into_a_string():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([None, "", "a b", "x" * 100_000] * 100)
+    tracemalloc.start()
+    got = corpus.token_lengths(texts, lambda t: t.split(" ")).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [0, 0, 2, 1] * 100 and peak < 2_000_000

@@ -2,7 +2,7 @@ import random
 from collections import defaultdict, deque
 
 import pytest
-from conftest import rows
+from conftest import plan_of, rows
 from pyspark.sql import functions as F
 
 from strandline.operators import graph
@@ -223,3 +223,17 @@ def test_customers_of_one_name_are_one_director(spark, tmp_path):
     table("supplier", "s_suppkey bigint, s_name string, s_nationkey int", [(1, "s", 1)])
     got = graph_queries.nodes(spark, str(tmp_path)).where("node_type = 'director'").select("name", "properties")
     assert rows(got) == [("a", '{"film_count":3,"total":61}'), ("b", '{"film_count":0,"total":null}')]
+
+
+def test_networks_are_dealt_once_and_never_checkpointed(spark, monkeypatch):
+    ego = graph.ego_edges(film_edges(spark), ["appears_in", "filmed_at", "directed"], "appears_in", "is_species")
+    for df in (graph.ego_nodes(ego), graph.ego_degrees(ego)):
+        dealt = [x for x in plan_of(df).splitlines() if "Exchange hashpartitioning(ego" in x]
+        assert dealt and not any("node_id" in x for x in dealt)
+    monkeypatch.setattr(graph, "cut_lineage", lambda *a: pytest.fail("a checkpoint stores rows uncompressed"))
+    assert graph.ego_centrality(ego).count() == graph.ego_nodes(ego).count()
+
+
+def test_counting_components_joins_no_labels(spark, monkeypatch):
+    monkeypatch.setattr(graph, "weak_components", lambda *a: pytest.fail("labels of all nodes"))
+    assert graph.graph_metrics(film_nodes(spark), film_edges(spark)).first()["connected_components"] == 3

@@ -237,3 +237,11 @@ def test_networks_are_dealt_once_and_never_checkpointed(spark, monkeypatch):
 def test_counting_components_joins_no_labels(spark, monkeypatch):
     monkeypatch.setattr(graph, "weak_components", lambda *a: pytest.fail("labels of all nodes"))
     assert graph.graph_metrics(film_nodes(spark), film_edges(spark)).first()["connected_components"] == 3
+
+
+def test_few_pairs_are_joined_without_copies(spark, monkeypatch):
+    edges = film_edges(spark)
+    want = rows(graph.co_members_topk(edges, "appears_in", 2, block_members=10))
+    monkeypatch.setattr(graph, "_best_partners", lambda *a: pytest.fail("a tile"))
+    few = graph.co_members_topk(edges, "appears_in", 2, block_members=1)
+    assert rows(few) == want and "FlatMapCoGroups" not in plan_of(few)

@@ -51,6 +51,29 @@ def test_near_duplicates_of_odd_rows(spark):
     assert ngram_join.near_duplicates(with_clashes(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("members", [1 << 18, 300])
+def test_links_within_groups_are_counted(spark, monkeypatch, members):
+    monkeypatch.setattr(ngram_join, "TILE_MEMBERS", members)
+    rng = random.Random(5)
+    rows = []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(70)]
+        for k in range(14 if group else 2):
+            words = list(base)
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(70)] = f"x{rng.randrange(20)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows), rows[20][1]), (len(rows) + 1, "alone here"), (len(rows) + 2, None)]
+    sets = {i: frozenset(tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)) for i, t in rows if t}
+    sets[len(rows) - 2] = frozenset({("alone", "here")})
+
+    def links(i):
+        return len({s for s in sets.values() if s != sets[i] and 100 * len(s & sets[i]) >= 85 * len(s | sets[i])}) if i in sets else 0
+
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    assert {r["doc_id"]: r["n_links"] for r in got.collect()} == {i: links(i) for i, _ in rows}
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (501, 500), (600, 600)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links).collect()}

@@ -245,3 +245,10 @@ def test_few_pairs_are_joined_without_copies(spark, monkeypatch):
     monkeypatch.setattr(graph, "_best_partners", lambda *a: pytest.fail("a tile"))
     few = graph.co_members_topk(edges, "appears_in", 2, block_members=1)
     assert rows(few) == want and "FlatMapCoGroups" not in plan_of(few)
+
+
+def test_connectivity_reads_its_edges_once(spark, monkeypatch):
+    nodes, edges = film_nodes(spark), film_edges(spark)
+    got = graph.connectivity_check(nodes, edges, [("film", "character"), ("character", "species"), ("director", "film")])
+    assert sorted(map(tuple, got.collect())) == [("character", "species", 3, 3, 3, True), ("director", "film", 1, 1, 1, True), ("film", "character", 3, 2, 2, False)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("explode(") == 1

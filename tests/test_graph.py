@@ -252,3 +252,13 @@ def test_connectivity_reads_its_edges_once(spark, monkeypatch):
     got = graph.connectivity_check(nodes, edges, [("film", "character"), ("character", "species"), ("director", "film")])
     assert sorted(map(tuple, got.collect())) == [("character", "species", 3, 3, 3, True), ("director", "film", 1, 1, 1, True), ("film", "character", 3, 2, 2, False)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("explode(") == 1
+
+
+def test_similarity_reads_attributes_once(spark):
+    held = [("a", "director", "d"), ("b", "director", "d"), ("a", "location", "l"), ("b", "location", "l"), ("b", "species", "s"), ("c", "species", None), (None, "species", "s")]
+    attributes = spark.createDataFrame(held, "entity string, kind string, attribute string")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "b"), ("a", "c"), ("c", "c"), ("a", None)], "entity_a string, entity_b string")
+    got = graph.attribute_similarity(pairs, attributes)
+    assert rows(got) == [("a", "b", 6, True, ["l"], []), ("b", "b", 7, True, ["l"], ["s"])]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("kind#") and plan.count("Join ") == 1

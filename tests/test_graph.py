@@ -50,6 +50,36 @@ def test_components_against_union_find(spark):
     assert got == want
 
 
+def test_components_carry_few_edges_through_the_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = sorted({(f"f{rng.randrange(300)}", f"c{rng.randrange(200)}") for _ in range(3000)})
+    sizes, real = [], graph.written
+
+    def noted(df, name):
+        out = real(df, name)
+        if out.columns == ["a", "b"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", noted)
+    nodes = spark.createDataFrame([("alone",)], "node_id string")
+    got = graph.weak_components(nodes, spark.createDataFrame([(a, z, "e") for a, z in pairs], E))
+    assert {r["component"] for r in got.collect()} == {"alone", "c0"} and sum(sizes) < 2 * len(pairs)
+
+
+def test_nodes_of_one_hash_are_hashed_again(spark, monkeypatch):
+    calls, real = [], F.xxhash64
+
+    def same_at_first(*cols):
+        calls.append(cols)
+        return F.lit(7).cast("bigint") if len(calls) == 1 else real(*cols)
+
+    monkeypatch.setattr(graph.F, "xxhash64", same_at_first)
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "node_id string")
+    edges = spark.createDataFrame([("b", "c", "e"), ("c", "b", "e"), ("a", "a", "e"), (None, "a", "e")], E)
+    assert rows(graph.weak_components(nodes, edges)) == [("a", "a"), ("b", "b"), ("c", "b"), (None, None)]
+
+
 def test_metrics_and_dangling_ends(spark):
     nodes, edges = film_nodes(spark), film_edges(spark)
     assert rows(graph.dangling_endpoints(nodes, edges)) == [("f9",), ("x9",)]

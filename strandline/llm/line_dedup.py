@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import SPACE, col, free_names, release, stored
-from strandline.llm.prefix_join import cross_pairs, live_postings, members, prefix_size, star_pairs, verified
+from strandline.llm.prefix_join import live_postings, members, prefix_size, run_pairs, star_pairs, verified
 from strandline.llm.quality_hosts import trimmed_words, windows
 
 SIZE = 5
@@ -142,7 +142,7 @@ def first_lines(docs: DataFrame, percent: int = PERCENT, text: str = "text") ->
     release(star)
     ordered = live.join(firsts, "rep")
     open_ = ordered.join(gone, "rep", "left_anti")
-    across = checked(cross_pairs(ordered, open_, lambda x, y: x("first") < y("first"), percent))
+    across = checked(run_pairs(ordered, open_, lambda x, y: x("first") < y("first"), percent))
     release(live)
     every = stored(gone.unionAll(across.select(F.col("b").alias("rep"))).distinct(), "gone-lines")
     release(gone, across)

@@ -22,9 +22,9 @@ def prefix_size(n: Column, percent: int) -> Column:
 
 
 def live_postings(classes: DataFrame) -> DataFrame:
-    """(key, rep, n, pos, rank, most, last, parity) of the prefix members that two classes or more hold.
+    """(key, rep, n, pos, rank, most, last, parity, before) of the prefix members that two classes or more hold.
 
-    ``rank`` counts such members up to this one within its class. ``most`` bounds the overlap with any set whose prefix ends later in the order: what of the
+    ``rank`` counts such members up to this one within its class, ``before`` is the one in front of it or NULL. ``most`` bounds the overlap with any set whose prefix ends later in the order: what of the
     own prefix no other prefix holds can't be common. ``last`` is the prefix's last member.
     """
     postings = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "key"))
@@ -33,7 +33,7 @@ def live_postings(classes: DataFrame) -> DataFrame:
     held = live.groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
     bound = classes.join(held, "rep").select("rep", "parity", (F.col("n") - F.size("prefix") + F.col("shared")).alias("most"), F.element_at("prefix", -1).alias("last"))
     along = Window.partitionBy("rep").orderBy("pos", "key")
-    out = stored(live.join(bound, "rep").withColumn("rank", F.row_number().over(along)), "live")
+    out = stored(live.join(bound, "rep").withColumn("rank", F.row_number().over(along)).withColumn("before", F.lag("key").over(along)), "live")
     release(live)
     return out
 
@@ -100,6 +100,21 @@ def cross_pairs(left: DataFrame, right: DataFrame, apart, percent: int) -> DataF
     return pairs_of(left.join(right, on).select(*sides(side_a, side_b)), percent).select("a", "b", "na", "nb")
 
 
+def run_pairs(left: DataFrame, right: DataFrame, apart, percent: int) -> DataFrame:
+    """Those of cross_pairs, and some more, with one row for each run of shared keys instead of one for each key.
+
+    Both frames hold the whole postings of their classes. Where the keys in front are equal too, the pair also meets
+    there, and the filters let a pair that reaches the similarity pass at every key it shares; so its row at the
+    first key of a run is enough. Keys are then not counted, and the bound of ``pairs_of`` is left out.
+    """
+    left, right = left.alias("l"), right.alias("r")
+    side_a, side_b = ({f: F.col(f"{s}.{f}") for f in FIELDS} for s in "lr")
+    start = F.coalesce(F.col("l.before") != F.col("r.before"), F.lit(True))
+    on = (F.col("l.key") == F.col("r.key")) & start & apart(lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}")) & possible(side_a, side_b, percent)
+    met = left.join(right, on)
+    return met.select(side_a["rep"].alias("a"), side_b["rep"].alias("b"), side_a["n"].alias("na"), side_b["n"].alias("nb")).distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) among the pairs.
 

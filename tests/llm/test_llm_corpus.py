@@ -100,6 +100,36 @@ def test_lines_against_brute_force(spark):
             assert texts[i] == (None if t is None else "\n".join(stay)), i
 
 
+def test_near_lines_meet_once_a_run_of_keys(spark, monkeypatch):
+    rng, made, real = random.Random(4), [], line_dedup.stored
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for k in rng.sample(range(150), rng.choice((1, 2, 2))):
+            words[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+
+    def joined(plan):
+        below = plan.children()
+        own = plan.metrics().get("numOutputRows").get().value() if "Join" in plan.nodeName() and "first" in plan.simpleString(1000) else 0
+        return max([own] + [joined(below.apply(k)) for k in range(below.size())])
+
+    def noted(df, name):
+        if name == "line-pairs":
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            n = len(df.collect())
+            made.append((n, joined(df._jdf.queryExecution().executedPlan())))
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        return real(df, name)
+
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    got = {r["doc_id"]: r["kept_lines"] for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: ",".join(map(str, k)) for i, (_, k) in brute.lines_kept(rows).items()}
+    pairs, most = made[-1]
+    assert len(made) == 2 and 0 < pairs <= most <= 5 * pairs, made
+
+
 def test_lines_of_odd_rows(spark):
     text = "this line has a few words in it\nand a second line stands below it"
     docs = with_clashes(spark, [(2, text), (2, text), (None, text), (2, "and a second line stands below it")])

@@ -1,11 +1,15 @@
 """Near-duplicate lines by an exact set-similarity join on native columns.
 
 The tokens of a line are its distinct five-word shingles (a shorter line is one token as a
-whole); two lines match when the Jaccard similarity of their tokens is at least ``percent``. Tokens
-are ordered by rarity: by the count of their hash bucket over all lines, then by hash. Lines of
-equal sets form a class; classes are joined on their prefixes with length and positional filters
-and verified on the whole sets. A line goes if it matches an earlier line, in the order of
-(doc_id, text hash, place), whether or not that one stays. Only lines that are still in question
+whole); two lines match when the Jaccard similarity of their tokens is at least ``percent``. A line
+goes if it matches an earlier line, in the order of (doc_id, text hash, place), whether or not that
+one stays.
+
+Lines of the same words form a class. A first prefix filter, in an order that is cheap to work out
+(shingles whose first sign is in FRONT come before the others), leaves the classes that share SHARED
+keys with others; only these are parted into words and sets. Their tokens are ordered by rarity: by
+the count of their hash bucket over these sets, then by hash. They are joined on their prefixes with
+length and positional filters and verified on the whole sets. Only lines that are still in question
 after the comparison with the center of their keys enter the join of all pairs.
 
 Lines without words are no lines: they stay and never match. NULL and empty texts have none. Rows
@@ -19,14 +23,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import SPACE, col, free_names, release, stored
-from strandline.llm.prefix_join import live_postings, members, prefix_size, run_pairs, star_pairs, verified
+from strandline.llm.prefix_join import live_postings, prefix_size, run_pairs, star_pairs, verified
 from strandline.llm.quality_hosts import trimmed_words, windows
 
 SIZE = 5
 PERCENT = 80
 BUCKET_BITS = 15
 #: Places of lines to be cut from the texts again are marked in so many bits.
-MARK_BITS = 22
+MARK_BITS = 24
+#: First signs of the shingles that come first in the order of the first filter: about two in five.
+FRONT = "b-hk-nprsw"
+#: Keys that two lines that match share at least, in prefixes longer than the plain one by one less.
+SHARED = 3
 PLACE = ["doc_id", "th", "pos"]
 BLANKS = " \t\n\x0b\f\r"
 
@@ -51,30 +59,67 @@ def marked(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, pos, words) of the lines with words, from (doc_id, text).
+    """(doc_id, th, pos, line) of the lines with words, from (doc_id, text); a single blank is before every word.
 
-    The filter looks at the line: one on its words would part every line into words twice.
+    Texts with other white space are mended as a whole, which leaves the places of their lines.
     """
-    lines = _pieces(docs).where(F.trim("line", F.lit(BLANKS)) != "")
-    return lines.select("doc_id", "th", "pos", trimmed_words(F.col("line")).alias("words"))
+    text = F.col("text")
+    odd = text.contains("  ")
+    for space in BLANKS.replace(" ", "").replace("\n", ""):
+        odd = odd | text.contains(space)
+    even = F.when(odd, F.regexp_replace(text, r"[\x20\t\x0B\f\r]+", " ")).otherwise(text)
+    lines = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(even, "\n")).alias("pos", "line"))
+    return lines.select("doc_id", "th", "pos", F.concat(F.lit(" "), F.trim("line")).alias("line")).where("line <> ' '")
 
 
-def _occurrences(lines: DataFrame) -> DataFrame:
-    """Hash of every shingle of every line, one row each."""
-    last = F.greatest(F.size("words") - SIZE, F.lit(0))
-    word = [F.xxhash64(F.get("words", F.col("i") + k)) for k in range(SIZE)]
-    whole = F.xxhash64(F.array_join("words", " "))
-    starts = lines.select("words", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    return starts.select(F.when(F.size("words") >= SIZE, F.xxhash64(*word)).otherwise(whole).alias("h"))
+def _shingles(line: Column, first: str) -> Column:
+    """The shingles of a line of _lines whose first sign is in a class, as texts."""
+    word = "[^ ]+"
+    return F.regexp_extract_all(line, F.lit(f" (?=({first}[^ ]*{(' ' + word) * (SIZE - 1)}))"), 1)
 
 
-def _levels(lines: DataFrame) -> Column:
+def _sketched(lines: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, th, pos, s1, s2, prefix): hashes of each line's words and a prefix of its hashed shingles.
+
+    The size of a set is at most the number of its windows, so the prefix is no shorter than that of the set, and
+    SHARED - 1 keys more where it has them. Shingles in
+    FRONT are negative and thus first; the others are only looked up where those in front don't fill the prefix.
+    A line of fewer words than a shingle matches none of other words and has no prefix.
+    """
+    words = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
+    size = prefix_size(F.greatest(words - (SIZE - 1), F.lit(0)), percent) + (SHARED - 1)
+    front = F.array_distinct(F.transform(_shingles(F.col("line"), f"[{FRONT}]"), lambda s: F.xxhash64(s).bitwiseOR(F.lit(-(1 << 63)))))
+    out = lines.select(*PLACE, "line", size.alias("size"), front.alias("front"))
+    back = F.transform(_shingles(F.col("line"), f"[^{FRONT} ]"), lambda s: F.xxhash64(s).bitwiseAND(F.lit((1 << 63) - 1)))
+    keys = F.when(F.size("front") >= F.col("size"), F.col("front")).otherwise(F.array_distinct(F.concat("front", back)))
+    return out.select(
+        *PLACE, F.xxhash64("line").alias("s1"), F.xxhash64(F.lit(1), "line").alias("s2"), F.slice(F.sort_array(keys), F.lit(1), F.col("size")).alias("prefix")
+    )
+
+
+def _sharing(sketched: DataFrame, percent: int) -> DataFrame:
+    """(s1, s2) of the lines that share enough keys of their prefix with lines of other words.
+
+    Two sets that match have at least ``percent`` of each in common; of these members the first SHARED,
+    or all if they are fewer, lie in both prefixes. A set has no fewer members than its prefix.
+    """
+    keys = sketched.select("s1", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("s1").alias("low"), F.max("s1").alias("high"))
+    keys = stored(keys.where("low <> high").select("key"), "shared-keys")
+    least = F.least(F.lit(SHARED), F.floor((F.size("prefix") * percent + 99) / 100).cast("int")).alias("least")
+    held = sketched.select(F.xxhash64(*PLACE).alias("h"), "s1", "s2", least, F.explode("prefix").alias("key")).join(keys, "key", "left_semi")
+    held = held.groupBy("h", "s1", "s2", "least").agg(F.count(F.lit(1)).alias("n")).where("n >= least")
+    out = stored(held.select("s1", "s2").distinct(), "sharing-lines")
+    release(keys)
+    return out
+
+
+def _levels(sets: DataFrame) -> Column:
     """10-bit step of the count of every bucket, as one array constant of ``2 ** BUCKET_BITS`` entries.
 
     The counts of the buckets are all that the driver gathers; their number is fixed.
     """
     bucket = F.shiftrightunsigned("h", 64 - BUCKET_BITS).alias("id")
-    counts = _occurrences(lines).select(bucket).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    counts = sets.select(F.explode("tokens").alias("h")).select(bucket).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.floor(8 * F.log2(F.col("n") + 1.0)), F.lit(1023))
     known = {r["id"]: r["level"] for r in counts.select("id", level.alias("level")).collect()}
     return F.split(F.lit(",".join(str(known.get(k, 0)) for k in range(1 << BUCKET_BITS))), ",").cast("array<int>")
@@ -87,51 +132,57 @@ def _sets(lines: DataFrame, keep: list[str]) -> DataFrame:
     return out.select(*keep, F.array_distinct(tokens).alias("tokens"))
 
 
-def _signed(lines: DataFrame, levels: Column, percent: int) -> DataFrame:
-    """(doc_id, th, pos, n, s1, s2, parity, prefix): size and hashes of each line's set, its rarest tokens in order."""
-    place = ["doc_id", "th", "pos"]
+def _signed(sets: DataFrame, levels: Column, percent: int) -> DataFrame:
+    """(rep, n, parity, prefix): size of each set, its rarest tokens in order."""
 
     def key(h: Column) -> Column:
         level = F.coalesce(F.get(levels, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")), F.lit(0))
         return F.shiftleft(level.cast("bigint"), 53).bitwiseOR(F.shiftrightunsigned(h, 11))
 
-    out = _sets(lines, place).select(*place, F.sort_array(F.transform("tokens", key)).alias("keys"))
+    out = sets.select("rep", F.sort_array(F.transform("tokens", key)).alias("keys"))
     size = F.size("keys")
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(63).cast("int"))
     return out.select(
-        *place, size.alias("n"), F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"),
+        "rep", size.alias("n"),
         F.aggregate("keys", F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(bit(k))).alias("parity"),
         F.slice("keys", F.lit(1), prefix_size(size, percent)).alias("prefix"),
     )
 
 
+def _cut(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(rep, tokens) of the lines at the places (rep, first); only these are parted into words."""
+    wanted = places.select("rep", *[F.col(f"first.{c}").alias(f"{c}_") for c in PLACE])
+    wanted = stored(wanted.withColumn("h", F.xxhash64(*[f"{c}_" for c in PLACE])), "wanted-lines")
+    lines = marked(_pieces(texts), wanted)
+    here = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("th") == F.col("th_")) & (F.col("pos") == F.col("pos_"))
+    lines = lines.join(wanted, (lines["h"] == wanted["h"]) & here).select("rep", trimmed_words(F.col("line")).alias("words"))
+    sets = stored(_sets(lines, ["rep"]).dropDuplicates(["rep"]), "line-sets")  # rows may repeat a document
+    release(wanted)
+    return sets
+
+
 def first_lines(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """(doc_id, th, pos) of the lines that stay; th is the xxhash64 of the whole text."""
     texts = docs.select(F.col("doc_id"), col(text).cast("string").alias("text"))
-    lines = _lines(texts)
-    signed = stored(_signed(lines, _levels(lines), percent), "lines")
-    classes = signed.groupBy("s1", "s2").agg(
-        F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.min_by(F.struct("n", "parity", "prefix"), F.struct("doc_id", "th", "pos")).alias("x")
-    )
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("rep"), "first", "x.n", "x.parity", "x.prefix"), "line-classes")
+    sketched = stored(_sketched(_lines(texts), percent), "lines")
+    alike = sketched.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE)).alias("first"))
+    classes = stored(alike.select(F.monotonically_increasing_id().alias("rep"), "first", "s1", "s2"), "line-classes")
+    sharing = _sharing(sketched, percent)
+    release(sketched)
+    firsts = stored(classes.join(sharing, ["s1", "s2"]).select("rep", "first"), "sharing-classes")
+    release(sharing)
+    sets = _cut(texts, firsts)
+    signed = stored(_signed(sets, _levels(sets), percent), "line-prefixes")
+    live = live_postings(signed)
     release(signed)
-    live = live_postings(classes)
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """The links among the pairs; only their lines are cut from the texts again."""
+        """The links among the pairs."""
         pairs = stored(pairs.select("a", "b", "na", "nb"), "line-pairs")
-        wanted = classes.join(members(pairs), "rep").select("rep", *[F.col(f"first.{c}").alias(f"{c}_") for c in PLACE])
-        wanted = stored(wanted.withColumn("h", F.xxhash64(*[f"{c}_" for c in PLACE])), "wanted-lines")
-        lines = marked(_pieces(texts), wanted)
-        here = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("th") == F.col("th_")) & (F.col("pos") == F.col("pos_"))
-        lines = lines.join(wanted, (lines["h"] == wanted["h"]) & here).select("rep", trimmed_words(F.col("line")).alias("words"))
-        sets = stored(_sets(lines, ["rep"]), "line-sets")
         links = stored(verified(pairs, sets, percent), "line-links")
-        release(pairs, wanted, sets)
+        release(pairs)
         return links
 
-    firsts = classes.select("rep", "first")
-
     def later(links: DataFrame) -> DataFrame:
         for side in "ab":
             links = links.join(firsts.select(F.col("rep").alias(side), F.col("first").alias(f"first_{side}")), side)
@@ -143,9 +194,9 @@ def first_lines(docs: DataFrame, percent: int = PERCENT, text: str = "text") ->
     ordered = live.join(firsts, "rep")
     open_ = ordered.join(gone, "rep", "left_anti")
     across = checked(run_pairs(ordered, open_, lambda x, y: x("first") < y("first"), percent))
-    release(live)
+    release(live, sets)
     every = stored(gone.unionAll(across.select(F.col("b").alias("rep"))).distinct(), "gone-lines")
-    release(gone, across)
+    release(gone, across, firsts)
     out = stored(classes.join(every, "rep", "left_anti").select("first.*"), "first-lines")
     release(every, classes)
     return out

@@ -130,6 +130,41 @@ def test_near_lines_meet_once_a_run_of_keys(spark, monkeypatch):
     assert len(made) == 2 and 0 < pairs <= most <= 5 * pairs, made
 
 
+def test_only_lines_that_share_keys_are_parted(spark, monkeypatch):
+    rng, parted, real = random.Random(6), [], line_dedup._sets
+    rows = [(i, " ".join(f"{rng.choice('abxyz')}{rng.randrange(10**6)}" for _ in range(30))) for i in range(200)]
+    rows += [(200 + i, rows[i][1] + " more") for i in range(3)] + [(300 + i, rows[i][1]) for i in range(10, 30)]
+
+    def noted(lines, keep):
+        parted.append(lines.count())
+        return real(lines, keep)
+
+    monkeypatch.setattr(line_dedup, "_sets", noted)
+    got = {r["doc_id"]: r["kept_lines"] for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: "0" if i < 200 else "" for i, _ in rows}
+    assert sum(parted) <= 12, parted
+
+
+def test_lines_of_odd_shapes(spark):
+    rng, lines = random.Random(12), []
+    for first in ("a", "c", "ac", "\u00e9\u4e16", "At"):  # all, none and some of the shingles come first in the order of the first filter
+        for n in (5, 6, 9, 12, 25, 40):
+            base = [f"{rng.choice(first)}{rng.randrange(10**6)}" for _ in range(n)]
+            lines.append(base)
+            lines += [base[:k] for k in (n - 1, n - n // 10 - 1)] + [base + ["more"] * k for k in (1, n // 8)] + [base[1:]]
+            for _ in range(3):
+                near = list(base)
+                near[rng.choice((0, n - 1, rng.randrange(n)))] = "other"
+                lines.append(near)
+    lines += [["a", "b", "c", "d", "e"] * k for k in range(1, 6)] + [["x"] * k for k in range(1, 9)] + [["b", "a"] * k for k in range(1, 9)]
+    shapes = (" ", "  ", "\t", " \r", "\x0b ", "\f")
+    texts = [rng.choice(("", " ", "\t")) + "".join(w + (rng.choice(shapes) if k % 2 else " ") for w in words) for k, words in enumerate(lines)]
+    rng.shuffle(texts)
+    rows = [(i, "\n".join(rng.choice(texts) for _ in range(rng.randint(1, 4)))) for i in range(40)] + [(100 + i, t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_lines"], r["kept_lines"]) for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (n, ",".join(map(str, k))) for i, (n, k) in brute.lines_kept(rows).items()}
+
+
 def test_lines_of_odd_rows(spark):
     text = "this line has a few words in it\nand a second line stands below it"
     docs = with_clashes(spark, [(2, text), (2, text), (None, text), (2, "and a second line stands below it")])

@@ -292,3 +292,19 @@ def test_similarity_reads_attributes_once(spark):
     assert rows(got) == [("a", "b", 6, True, ["l"], []), ("b", "b", 7, True, ["l"], ["s"])]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("kind#") and plan.count("Join ") == 1
+
+
+def test_totals_are_added_in_the_order_of_the_orders(spark, tmp_path):
+    # In order 34.49999999999999; from behind or customer by customer 34.5, which rounds to 35.
+    prices = {1: 9.37, 2: 9.04, 3: 8.58, 4: 7.51}
+    tables = {
+        "customer": ("c_custkey bigint, c_name string", [(1, "a"), (2, "a"), (3, "a")]),
+        "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+                   [(k, 1 + (k + 1) % 2, "O", prices[k], None, "1") for k in (4, 2, 1, 3)]),
+        "part": ("p_partkey bigint, p_name string, p_brand string, p_type string, p_size int", [(1, "p", "x", "t", 1)]),
+        "supplier": ("s_suppkey bigint, s_name string, s_nationkey int", [(1, "s", 1)]),
+    }
+    for name, (schema, rows_) in tables.items():
+        spark.createDataFrame(rows_, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = graph_queries.nodes(spark, str(tmp_path)).where("node_type = 'director'").select("name", "properties")
+    assert rows(got) == [("a", '{"film_count":4,"total":34}')]

@@ -9,8 +9,10 @@ A character outside the vocabulary is spelled in the file's byte pieces.
 Documents are read once, in chunks of at most ``CHUNK_TOKENS`` tokens (a longer document is a
 chunk of its own); a chunk has its different words and, for each document, their counts. Words
 are counted over all chunks, each different word is scored once, and scores go back to the chunks
-as one row for each word of a chunk, so a frequent word is no hot key. The driver gathers two sums
-and the counts of the vocabulary's pieces.
+as one row for each word of a chunk, so a frequent word is no hot key. A chunk is stored as rows of
+one document or of ``SLICE`` words, as Spark reads and writes some thousand rows at a time, and only
+the Python worker that adds up its documents holds it whole. The driver gathers two sums and the
+counts of the vocabulary's pieces.
 
 A NULL text is an empty one: its only token is the end. A NULL doc_id counts as training. Repeated
 rows count each time. With no training rows every count is 0. Words are lower-cased for A-Z only.
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,10 +39,11 @@ from strandline.llm.common import col, stored
 
 FOLDS, HELD = 5, 1
 CHUNK_TOKENS = 2_000_000
+SLICE = 256
 SMOOTH = 0.5
 MARK, END = "▁", "</s>"
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
-_CHUNK = "chunk bigint, words array<string>, train array<bigint>, ends bigint, ids array<bigint>, held array<boolean>, sizes array<int>, places array<int>, counts array<int>"
+_CHUNK = "chunk bigint, doc_id bigint, held boolean, places array<int>, counts array<int>, first int, words array<string>, train array<bigint>"
 _OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -48,27 +52,42 @@ def is_held(doc_id: int | None) -> bool:
 
 
 def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each chunk of documents, with its words and its documents' counts of them.
+    """One row for each document with its counts of words, and rows of at most ``SLICE`` words of each chunk.
 
-    ``places`` are the words of each document by their place in ``words``, ascending, as steps
-    from the one before, so that they take little space.
+    ``places`` are the words of a document by their place in the chunk's words, ascending, as steps
+    from the one before, so that they take little space. ``first`` is the place of a row's first word.
     """
     kinds = to_arrow_schema(StructType.fromDDL(_CHUNK))
 
+    def lists(name: str, parts: list, sizes: list[int]) -> pa.Array:
+        kind = kinds.field(name).type
+        values = parts if name == "words" else np.concatenate(parts)
+        return pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), pa.array(values, kind.value_type), type=kind)
+
+    def filled(n: int, **columns) -> pa.RecordBatch:
+        cells = [columns.get(f.name, pa.nulls(n, f.type)) for f in kinds]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cells, kinds)], schema=kinds)
+
+    def documents(number: int, rows: list) -> pa.RecordBatch:
+        ids, held, places, counts = zip(*rows)
+        sizes = [len(x) for x in places]
+        return filled(
+            len(rows), chunk=np.full(len(rows), number), doc_id=list(ids), held=list(held),
+            places=lists("places", places, sizes), counts=lists("counts", counts, sizes),
+        )
+
+    def vocabulary(number: int, seen: dict, train: np.ndarray) -> pa.RecordBatch:
+        first = np.arange(0, len(seen), SLICE)
+        sizes = np.diff(np.append(first, len(seen)))
+        names = [w.decode("utf-8", "surrogatepass") for w in seen]
+        return filled(len(first), chunk=np.full(len(first), number), first=first, words=lists("words", names, sizes), train=lists("train", [train], sizes))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        seen, train, rows, tokens = {}, np.zeros(1 << 16, np.int64), [], 0
-
-        def row() -> pa.RecordBatch:
-            names = [w.decode("utf-8", "surrogatepass") for w in seen]
-            places, counts = (np.concatenate([r[k] for r in rows]) for k in (2, 3))
-            ends = sum(not r[1] for r in rows)
-            cells = [number, names, train[: len(seen)], ends, [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], places, counts]
-            return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, kinds)], schema=kinds)
-
+        seen, train, tokens = {}, np.zeros(1 << 16, np.int64), 0
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+                part, rows = batch.slice(start, 256), []
                 for doc_id, whole in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     found = Counter(whole.encode("utf-8", "surrogatepass").translate(_FOLD).split()) if whole else {}
                     held = is_held(doc_id)
@@ -82,11 +101,14 @@ def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
                     rows.append((doc_id, held, np.diff(places, prepend=np.int32(0)), counts))
                     tokens += int(counts.sum())
                     if tokens >= CHUNK_TOKENS:
-                        yield row()
+                        yield documents(number, rows)
+                        yield vocabulary(number, seen, train[: len(seen)])
                         number += 1
                         seen, train, rows, tokens = {}, np.zeros(1 << 16, np.int64), [], 0
-        if rows:
-            yield row()
+                if rows:
+                    yield documents(number, rows)
+        if seen:
+            yield vocabulary(number, seen, train[: len(seen)])
 
     return docs.select(F.col("doc_id").cast("bigint"), col(text).cast("string")).mapInArrow(cut, _CHUNK)
 
@@ -184,9 +206,10 @@ def scores(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     sc = docs.sparkSession.sparkContext
     parts = stored(chunks(docs, text), "chunks", "zstd")
-    pairs = parts.select(F.explode(F.arrays_zip("words", "train")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.train").alias("c"))
+    listed = parts.where("words IS NOT NULL")
+    pairs = listed.select(F.explode(F.arrays_zip("words", "train")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.train").alias("c"))
     words = stored(pairs.groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
-    ends = parts.agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0]
+    ends = parts.agg(F.count(F.when(~F.col("held"), 1))).first()[0]
     tokens, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     tokens, kinds = tokens + ends, kinds + (ends > 0)
 
@@ -199,37 +222,31 @@ def scores(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     pieces.weigh(counts)
     marks = stored(scored_words(words, sc.broadcast(pieces)), "word-scores")
 
-    own = parts.select("chunk", F.posexplode("words").alias("place", "word")).join(marks, "word")
-    own = own.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("place", "c", "log_weight"))).alias("x"))
-    own = own.select("chunk", F.col("x.c").alias("c"), F.col("x.log_weight").alias("w"))
-    slim = parts.select("chunk", "ids", "held", "sizes", "places", "counts").join(own, "chunk", "left").drop("chunk")
+    own = listed.select("chunk", "first", F.posexplode("words").alias("at", "word")).join(marks, "word")
+    own = own.select(F.col("chunk").alias("of"), (F.col("first") + F.col("at")).alias("place"), "c", "log_weight")
+    told = parts.where("places IS NOT NULL").select("chunk", "doc_id", "held", "places", "counts")
     whole = tokens + SMOOTH * (kinds + 1)
     end_base, end_log = math.log10((ends + SMOOTH) / whole), pieces.log[END]
     out = to_arrow_schema(StructType.fromDDL(_OUT))
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                *cells, c, w = [batch.column(i)[k].values for i in range(7)]
-                none = pa.array([], pa.int64()), pa.array([], pa.float64())
-                yield _totals(*cells, *((c, w) if c is not None else none))
-
-    def _totals(ids, held, sizes, places, n, c, w) -> pa.RecordBatch:
-        sizes, n = sizes.to_numpy(), n.to_numpy().astype(np.int64)
+    def total(docs: pa.Table, words: pa.Table) -> pa.Table:
+        sizes = pc.list_value_length(docs["places"]).to_numpy().astype(np.int64)
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        along = np.append(0, np.cumsum(places.to_numpy(), dtype=np.int64))
+        flat = lambda name: pc.list_flatten(docs[name]).to_numpy().astype(np.int64)
+        along, n = np.append(0, np.cumsum(flat("places"))), flat("counts")
         places = along[1:] - np.repeat(along[np.cumsum(sizes) - sizes], sizes)
-        c, w = c.to_numpy()[places], w.to_numpy()[places]
+        order = np.argsort(words["place"].to_numpy())
+        c, w = (words[name].to_numpy()[order][places] for name in ("c", "log_weight"))
         add = lambda x: np.bincount(owner, x, minlength=len(sizes))
         columns = [
-            ids,
-            held,
+            docs["doc_id"],
+            docs["held"],
             pa.array(add(n).astype(np.int64) + 1),
             pa.array(add(n * (c > 0)).astype(np.int64) + (ends > 0)),
             pa.array(np.full(len(sizes), tokens, np.int64)),
             pa.array(add(n * np.log10((c + SMOOTH) / whole)) + end_base),
             pa.array((add(n * w) + end_log) / math.log(10)),
         ]
-        return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, out)], schema=out)
+        return pa.Table.from_arrays([x.cast(f.type) for x, f in zip(columns, out)], schema=out)
 
-    return slim.mapInArrow(total, _OUT)
+    return told.groupBy("chunk").cogroup(own.groupBy("of")).applyInArrow(total, _OUT)

@@ -230,6 +230,19 @@ def test_language_model(spark):
     assert lattice_lm.scores(twice, path).count() == 5
 
 
+def test_chunks_are_stored_in_small_rows(spark):
+    """A row is one document or a slice of words, however large the chunk."""
+    docs = spark.range(40, numPartitions=2).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(id * 100, id * 100 + 149), x -> concat('w', x))) AS text")
+    got = lattice_lm.chunks(docs).collect()
+    told = [r for r in got if r["places"] is not None]
+    assert sorted(r["doc_id"] for r in told) == list(range(40)) and {len(r["places"]) for r in told} == {150}
+    listed = [r for r in got if r["words"] is not None]
+    assert len(told) + len(listed) == len(got) and max(len(r["words"]) for r in listed) == lattice_lm.SLICE
+    for part in {r["chunk"] for r in listed}:
+        words = [w for r in sorted((r for r in listed if r["chunk"] == part), key=lambda r: r["first"]) for w in r["words"]]
+        assert len(words) == len(set(words)) == 2050
+
+
 def test_the_lattice_sums_all_segmentations():
     pieces = lattice_lm.Pieces(b"")
     weights = {"▁": 0.1, "a": 0.2, "b": 0.15, "▁a": 0.05, "ab": 0.1, "▁ab": 0.02, "<0xC3>": 0.01, "<0xA9>": 0.02}

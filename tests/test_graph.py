@@ -308,3 +308,22 @@ def test_totals_are_added_in_the_order_of_the_orders(spark, tmp_path):
         spark.createDataFrame(rows_, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     got = graph_queries.nodes(spark, str(tmp_path)).where("node_type = 'director'").select("name", "properties")
     assert rows(got) == [("a", '{"film_count":4,"total":34}')]
+
+
+def test_only_networks_with_longer_paths_are_walked(spark, monkeypatch):
+    data = {
+        "flat": [("a", "flat"), ("a", "flat"), ("b", "flat"), ("a", "s"), ("b", "s"), ("loop", "loop")],
+        "deep": [("a", "b"), ("b", "deep"), ("c", "b"), ("c", "b"), ("d", "d")],
+        "pair": [("a", "b"), ("b", "a"), ("c", "c")],
+    }
+    edges = [(e, u, w) for e, pairs in data.items() for u, w in pairs]
+    walked, path_levels = [], graph.path_levels
+    monkeypatch.setattr(graph, "path_levels", lambda ego: walked.append({r["ego"] for r in ego.select("ego").distinct().collect()}) or path_levels(ego))
+    got = {(r["ego"], r["node_id"]): r for r in graph.ego_centrality(spark.createDataFrame(edges, "ego string, source_node_id string, target_node_id string")).collect()}
+    assert walked == [{"deep", "pair"}]
+    for e, pairs in data.items():
+        want = brute_centrality(pairs)
+        assert {v for x, v in got if x == e} == want.keys()
+        for v, (d, c, b) in want.items():
+            r = got[(e, v)]
+            assert (r["degree_centrality"], r["closeness"], r["betweenness"]) == pytest.approx((d, c, b))

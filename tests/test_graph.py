@@ -327,3 +327,34 @@ def test_only_networks_with_longer_paths_are_walked(spark, monkeypatch):
         for v, (d, c, b) in want.items():
             r = got[(e, v)]
             assert (r["degree_centrality"], r["closeness"], r["betweenness"]) == pytest.approx((d, c, b))
+
+
+def shuffled_rows(spark, df):
+    """Rows that the stages of a frame's collection write for shuffles."""
+    def stages():
+        store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+        found = store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), jvm.jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    got = rows(df)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return got, sum(n for k, n in stages().items() if k not in before)
+
+
+def test_a_pair_is_dealt_with_one_row_a_side(spark):
+    held = [(f"e{i}", "location" if k % 2 else "species", f"x{(i + k) % 60:02}") for i in range(20) for k in range(60)]
+    held += [("e0", "director", "d"), ("e1", "director", "d"), ("e0", "owner", "o"), ("lone", "owner", "o")]
+    attributes = spark.createDataFrame(held, "entity string, kind string, attribute string").coalesce(1)
+    pairs = [(f"e{i}", f"e{j}") for i in range(20) for j in range(i + 1, 20)] + [("e0", "lone"), ("lone", "none")]
+    got, dealt = shuffled_rows(spark, graph.attribute_similarity(spark.createDataFrame(pairs, "entity_a string, entity_b string"), attributes))
+    by = {e: {(k, x) for o, k, x in held if o == e} for e, _, _ in held}
+    want = []
+    for x, y in pairs:
+        common = by[x] & by.get(y, set())
+        names = lambda kind: sorted(v for k, v in common if k == kind)
+        if common:
+            led = bool(names("director"))
+            want.append((x, y, 5 * led + len(names("location")) + len(names("species")), led, names("location"), names("species")))
+    assert got == sorted(want, key=repr)
+    assert dealt < 6 * len(pairs)

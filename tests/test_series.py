@@ -117,3 +117,19 @@ def test_constant_member_has_no_correlation(spark):
     df = spark.createDataFrame([("f", t, m, 1.0 if m == "a" else float(t)) for t in range(4) for m in "ab"], "f string, t long, m string, v double")
     aligned = correlation.align_members(df, ["f"], "t", "m", "v", ["a", "b"])
     assert correlation.pairwise_correlation(aligned, ["f"], ["a", "b"]).first()["r"] is None
+
+
+def test_level_is_summed_along_time(spark):
+    """The class at a threshold hangs on the last bit of a sum, so it mustn't hang on the order of rows."""
+    rng = random.Random(3)
+    data = [(f"k{k}", t, rng.choice([-1, 1]) * rng.randint(1, 9999) / 997) for k in range(40) for t in range(30)] + [("gap", 1, None), ("gap", 2, 0.5)]
+    want = {}
+    for k, t, x in sorted(data, key=lambda r: (r[0], r[1])):
+        last = 2 if k == "gap" else 29
+        for name, held in (("avg_compound", True), ("beginning", 10 * t <= last), ("ending", 10 * t >= 9 * last)):
+            total, n = want.get((k, name), (0.0, 0))
+            want[k, name] = (total + x, n + 1) if held and x is not None else (total, n)
+    rng.shuffle(data)
+    df = spark.createDataFrame([(*r, 1) for r in data], "k string, t long, x double, n long").repartition(7)
+    got = profiles.sentiment_summary(df, ["k"], "t", F.col("x"), "x", "n").collect()
+    assert {(r["k"], c): r[c] for r in got for c in ("avg_compound", "beginning", "ending")} == {key: total / n if n else None for key, (total, n) in want.items()}
